@@ -66,7 +66,8 @@ def size_human(size: Column, decimals: int = 2) -> Column:
     kb, mb, gb = 1024, 1024**2, 1024**3
 
     def scaled(unit: int, name: str) -> Column:
-        return F.format_string(f"%.{decimals}f {name}", size.cast("double") / F.lit(float(unit)))
+        value = F.bround(size.cast("double") / F.lit(float(unit)), decimals)  # ties to even
+        return F.format_string(f"%.{decimals}f {name}", value)
 
     return (
         F.when(size >= gb, scaled(gb, "GB"))
