@@ -1,12 +1,16 @@
 """64-bit FNV-1a and SimHash as Arrow UDFs over NumPy, plus Hamming distance.
 
 Fingerprints are unsigned 64-bit values stored in a BIGINT with the same bits.
-The kernels read Arrow's own offset and data buffers, so a batch is never split into
-Python objects and a batch costs a fixed number of NumPy calls, not one per row.
+The kernels work on a whole Arrow batch at once: its text is one byte buffer with row
+offsets, and a batch costs a fixed number of NumPy calls, not one per row.
+
+UDFs here are declared nondeterministic so that Spark evaluates them once per row.
+Otherwise a filter or a generator above one makes the optimizer repeat it below.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +30,34 @@ _BLOCK = 1 << 17  # windows hashed at a time; keeps the work arrays inside the C
 _LANE_MAX = 255  # windows summed into one byte lane before it could overflow
 _LANES = np.uint64(0x0101010101010101)
 
+# A separator or a string of a JSON line; the quantifiers never give back what they took.
+_TOKEN = re.compile(rb'[:,}\]]|"((?:[^"\\]++|\\.)*+)("?)', re.DOTALL)
+
+
+def content_bytes(line: bytes) -> bytes:
+    """String values of a JSON line, each followed by a space, read by quoting alone.
+
+    A string is a value when the nearest separator before it, outside strings, is a colon.
+    So an array of strings yields its first element, and the first key of a nested object
+    counts as a value.  An escape keeps what follows the backslash (``\\n`` gives ``n``).
+    """
+    values, after_colon = [], False
+    for token in _TOKEN.finditer(line):
+        body = token.group(1)
+        if body is None:
+            after_colon = token.group() == b":"
+        elif after_colon:
+            if b"\\" in body:
+                body = b"\\".join(part.replace(b"\\", b"") for part in body.split(b"\\\\"))
+            values += (body, b" ") if token.group(2) else (body,)
+    return b"".join(values)
+
 
 def _byte_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The data bytes of a string/binary array and its row offsets (nulls read as empty)."""
     if array.null_count:
-        array = array.fill_null("" if pa.types.is_string(array.type) else b"")
+        text = pa.types.is_string(array.type) or pa.types.is_large_string(array.type)
+        array = array.fill_null("" if text else b"")
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
     _, offsets, data = array.buffers()
     kind = np.int64 if wide else np.int32
@@ -141,34 +168,72 @@ def _as_bigint(values: np.ndarray, array: pa.Array) -> pa.Array:
     return signed
 
 
+def _contents(lines: pa.Array) -> pa.Array:
+    texts = lines.cast(pa.large_binary()).to_pylist()
+    found = [None if text is None else content_bytes(text) for text in texts]
+    return pa.array(found, pa.large_binary())
+
+
 @lru_cache(maxsize=None)
 def fnv1a64_udf():
     def fnv1a64_batch(texts: pa.Array) -> pa.Array:
         raw, bounds = _byte_view(texts)
         return _as_bigint(fnv_rows(raw, bounds[:-1], bounds[1:]), texts)
 
-    return F.arrow_udf(fnv1a64_batch, "bigint")
+    return F.arrow_udf(fnv1a64_batch, "bigint").asNondeterministic()
 
 
 @lru_cache(maxsize=None)
-def simhash64_udf(shingle: int = DEFAULT_SHINGLE):
+def simhash64_udf(shingle: int = DEFAULT_SHINGLE, json_lines: bool = False, min_bytes: int = 0):
     size = max(shingle, MIN_SHINGLE)
 
-    def simhash64_batch(texts: pa.Array) -> pa.Array:
+    def simhash64_batch(lines: pa.Array) -> pa.Array:
+        texts = _contents(lines) if json_lines else lines
         raw, bounds = _byte_view(texts)
-        return _as_bigint(simhash_rows(raw, bounds[:-1], bounds[1:], size), texts)
+        starts, ends = bounds[:-1], bounds[1:]
+        prints = _as_bigint(simhash_rows(raw, starts, ends, size), texts)
+        if min_bytes > 0:
+            enough = pa.array(ends - starts >= min_bytes)
+            prints = pa.compute.if_else(enough, prints, pa.scalar(None, pa.int64()))
+        return prints
+
+    return F.arrow_udf(simhash64_batch, "bigint").asNondeterministic()
+
+
+@lru_cache(maxsize=None)
+def extract_content_udf():
+    def extract_batch(lines: pa.Array) -> pa.Array:
+        return _contents(lines).cast(pa.binary()).cast(pa.string())
+
+    return F.arrow_udf(extract_batch, "string").asNondeterministic()
 
-    return F.arrow_udf(simhash64_batch, "bigint")
+
+def readable(line: Column) -> Column:
+    """Bytes that are not valid UTF-8 count as the empty line."""
+    return F.when(line.isNull() | F.is_valid_utf8(line), line).otherwise(F.lit(""))
 
 
 def fnv1a64(text: Column) -> Column:
     """FNV-1a of the UTF-8 bytes."""
-    return fnv1a64_udf()(text)
+    return fnv1a64_udf()(readable(text))
+
+
+def simhash64(text: Column, shingle: int = DEFAULT_SHINGLE, min_bytes: int = 0) -> Column:
+    """SimHash over byte shingles; text shorter than a shingle gets its FNV-1a.
+
+    Text of fewer than ``min_bytes`` bytes gets NULL.
+    """
+    return simhash64_udf(shingle, False, min_bytes)(readable(text))
+
+
+def simhash64_json(line: Column, shingle: int = DEFAULT_SHINGLE, min_bytes: int = 0) -> Column:
+    """SimHash of :func:`extract_content`, without the content leaving the Python worker."""
+    return simhash64_udf(shingle, True, min_bytes)(readable(line))
 
 
-def simhash64(text: Column, shingle: int = DEFAULT_SHINGLE) -> Column:
-    """SimHash over byte shingles; text shorter than a shingle gets its FNV-1a."""
-    return simhash64_udf(shingle)(text)
+def extract_content(line: Column) -> Column:
+    """String values of a JSON line; see :func:`content_bytes`."""
+    return extract_content_udf()(readable(line))
 
 
 def hamming_distance(a: Column, b: Column) -> Column:

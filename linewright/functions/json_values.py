@@ -31,8 +31,6 @@ FIX_OPENED = "Added missing <think> tag"
 FIX_TRAILING = "Removed trailing whitespace"
 FIX_NEWLINE = "Trimmed whitespace before newlines"
 
-# Numbers that need care: out of range, beyond 64 bits, negative zero, or tiny.
-_DELICATE_NUMBER = re.compile(r"[0-9][eE][+-]?[0-9]|[0-9]{17}|-0|\.0000")
 _SURROGATE_ESCAPE = re.compile(r"\\u[dD][89a-fA-F]")
 _SURROGATE = re.compile("[\ud800-\udfff]")
 _SPACES_BEFORE_NEWLINE = re.compile(r"(?<! ) +\n")
@@ -70,22 +68,6 @@ def number_text(value: float) -> str:
     return f"{sign}{digits[0]}{tail}e{point - 1}"
 
 
-def _careful_float(text: str) -> Number:
-    value = float(text)
-    if math.isinf(value):
-        raise ValueError("number out of range")
-    return Number(value, number_text(value))
-
-
-def _careful_int(text: str):
-    value = int(text)
-    if value == 0 and text.startswith("-"):
-        return Number(-0.0, "-0.0")
-    if -(1 << 63) <= value < (1 << 64):
-        return value
-    return _careful_float(text)
-
-
 def _depth_ok(value) -> bool:
     level = [value]
     for _ in range(MAX_DEPTH + 1):
@@ -124,33 +106,65 @@ def _has_surrogate(value) -> bool:
     return isinstance(value, list) and any(_has_surrogate(v) for v in value)
 
 
-def parse_strict(text: str):
-    """The parsed value, or ``ValueError`` for anything that is not strict JSON."""
-    try:
-        if _DELICATE_NUMBER.search(text):
-            value = json.loads(
-                text,
-                parse_constant=_reject_constant,
-                parse_float=_careful_float,
-                parse_int=_careful_int,
-            )
-        else:
-            value = json.loads(text, parse_constant=_reject_constant)
-    except RecursionError:
-        raise ValueError("recursion limit exceeded") from None
-    if text.count("[") + text.count("{") > MAX_DEPTH and not _depth_ok(value):
-        raise ValueError("recursion limit exceeded")
-    if _SURROGATE_ESCAPE.search(text) and _has_surrogate(value):
-        raise ValueError("lone surrogate in string")
-    return value
+class StrictParser:
+    """Strict JSON parsing; after each call ``delicate`` tells whether a number needs care.
 
+    Delicate numbers are those Python would write differently: exponents, integers beyond
+    64 bits and negative zero.  They are kept as :class:`Number`.
+    """
 
-def _holds_number_text(value) -> bool:
-    if isinstance(value, dict):
-        return any(_holds_number_text(v) for v in value.values())
-    if isinstance(value, list):
-        return any(_holds_number_text(v) for v in value)
-    return isinstance(value, Number)
+    def __init__(self):
+        self.delicate = False
+        self._decode = json.JSONDecoder(
+            parse_constant=_reject_constant, parse_float=self._float, parse_int=self._int
+        ).decode
+
+    def _float(self, text: str) -> float:
+        value = float(text)
+        if 1e-4 <= abs(value) < 1e16 or (value == 0 and text[0] != "-"):
+            return value
+        if math.isinf(value):
+            raise ValueError("number out of range")
+        self.delicate = True
+        return Number(value, number_text(value))
+
+    def _int(self, text: str):
+        if len(text) < 19 and text != "-0":
+            return int(text)
+        value = int(text)
+        if value and -(1 << 63) <= value < (1 << 64):
+            return value
+        return self._float(text)
+
+    def parse(self, text: str):
+        """The parsed value, or ``ValueError`` for anything that is not strict JSON."""
+        self.delicate = False
+        try:
+            value = self._decode(text)
+        except RecursionError:
+            raise ValueError("recursion limit exceeded") from None
+        if text.count("[") + text.count("{") > MAX_DEPTH and not _depth_ok(value):
+            raise ValueError("recursion limit exceeded")
+        if "\\u" in text and _SURROGATE_ESCAPE.search(text) and _has_surrogate(value):
+            raise ValueError("lone surrogate in string")
+        return value
+
+    def attempt(self, text: str | None):
+        """Whether the text parses, and its value."""
+        if text is None:
+            return False, None
+        try:
+            return True, self.parse(text)
+        except ValueError:
+            return False, None
+
+    def canonical(self, value) -> str:
+        """Compact JSON with sorted keys, for a value just parsed."""
+        return _dump_careful(value) if self.delicate else _COMPACT.encode(value)
+
+    def pretty(self, value) -> str:
+        """JSON with sorted keys indented by two spaces, for a value just parsed."""
+        return _dump_careful(value, 2) if self.delicate else _PRETTY.encode(value)
 
 
 def _dump_careful(value, indent: int = 0, level: int = 1) -> str:
@@ -177,16 +191,6 @@ _COMPACT = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys
 _PRETTY = json.JSONEncoder(ensure_ascii=False, indent=2, sort_keys=True)
 
 
-def canonical_text(value) -> str:
-    """Compact JSON with sorted keys."""
-    return _dump_careful(value) if _holds_number_text(value) else _COMPACT.encode(value)
-
-
-def pretty_text(value) -> str:
-    """JSON with sorted keys, indented by two spaces."""
-    return _dump_careful(value, 2) if _holds_number_text(value) else _PRETTY.encode(value)
-
-
 def fix_text(text: str, fixes: list[str]) -> str:
     """White-space repairs of one string value; new kinds are appended to ``fixes``."""
     stripped = text.rstrip(WHITE_SPACE)
@@ -255,15 +259,6 @@ def _string_array(values: list) -> pa.Array:
     return pa.array(values, pa.string())
 
 
-def _parsed_or_none(text: str | None):
-    if text is None:
-        return False, None
-    try:
-        return True, parse_strict(text)
-    except ValueError:
-        return False, None
-
-
 FACTS_TYPE = (
     "struct<valid:boolean,error:string,missing:array<string>,opens:int,closes:int,"
     "trailing:boolean,blank_content:boolean>"
@@ -288,11 +283,11 @@ def line_facts_udf(required: tuple[str, ...] = (), per_leaf: bool = False, blank
         ]
     )
 
-    def facts(text: str | None):
+    def facts(parser: StrictParser, text: str | None):
         if text is None:
             return None
         try:
-            value = parse_strict(text)
+            value = parser.parse(text)
         except ValueError as error:
             return {"valid": False, "error": str(error)}
         leaves = string_leaves(value, [])
@@ -311,38 +306,40 @@ def line_facts_udf(required: tuple[str, ...] = (), per_leaf: bool = False, blank
         }
 
     def facts_batch(lines: pa.Array) -> pa.Array:
-        return pa.array([facts(text) for text in lines.to_pylist()], arrow_type)
+        parser = StrictParser()
+        return pa.array([facts(parser, text) for text in lines.to_pylist()], arrow_type)
 
-    return F.arrow_udf(facts_batch, FACTS_TYPE)
+    return F.arrow_udf(facts_batch, FACTS_TYPE).asNondeterministic()
 
 
 @lru_cache(maxsize=None)
 def extract_text_udf():
     def text_batch(lines: pa.Array) -> pa.Array:
-        parsed = map(_parsed_or_none, lines.to_pylist())
+        parsed = map(StrictParser().attempt, lines.to_pylist())
         return _string_array([" ".join(string_leaves(v, [])) if ok else None for ok, v in parsed])
 
-    return F.arrow_udf(text_batch, "string")
+    return F.arrow_udf(text_batch, "string").asNondeterministic()
 
 
 @lru_cache(maxsize=None)
 def is_json_udf():
     def valid_batch(lines: pa.Array) -> pa.Array:
-        flags = [None if t is None else _parsed_or_none(t)[0] for t in lines.to_pylist()]
+        parser = StrictParser()
+        flags = [None if t is None else parser.attempt(t)[0] for t in lines.to_pylist()]
         return pa.array(flags, pa.bool_())
 
-    return F.arrow_udf(valid_batch, "boolean")
+    return F.arrow_udf(valid_batch, "boolean").asNondeterministic()
 
 
 @lru_cache(maxsize=None)
 def canonical_json_udf(pretty: bool = False):
-    render = pretty_text if pretty else canonical_text
-
     def render_batch(lines: pa.Array) -> pa.Array:
-        parsed = map(_parsed_or_none, lines.to_pylist())
-        return _string_array([render(v) if ok else None for ok, v in parsed])
+        parser = StrictParser()
+        render = parser.pretty if pretty else parser.canonical
+        parsed = map(parser.attempt, lines.to_pylist())
+        return _string_array([render(value) if ok else None for ok, value in parsed])
 
-    return F.arrow_udf(render_batch, "string")
+    return F.arrow_udf(render_batch, "string").asNondeterministic()
 
 
 FIX_TYPE = "struct<outcome:string,line:string,fixes:array<string>,skip_reason:string>"
@@ -359,27 +356,28 @@ def fix_line_udf(canonicalize: bool = True):
         ]
     )
 
-    def fix_one(text: str | None):
+    def fix_one(parser: StrictParser, text: str | None):
         if text is None:
             return None
         trimmed = text.strip(WHITE_SPACE)
         if not trimmed:
             return {"outcome": "skipped", "fixes": [], "skip_reason": "Empty line"}
         try:
-            value = parse_strict(trimmed)
+            value = parser.parse(trimmed)
         except ValueError as error:
             return {"outcome": "skipped", "fixes": [], "skip_reason": f"Invalid JSON: {error}"}
         fixes: list[str] = []
         repaired = fix_parsed(value, fixes)
         if fixes:
-            return {"outcome": "fixed", "line": canonical_text(repaired), "fixes": fixes}
-        same = canonical_text(value) if canonicalize else text
+            return {"outcome": "fixed", "line": parser.canonical(repaired), "fixes": fixes}
+        same = parser.canonical(value) if canonicalize else text
         return {"outcome": "unchanged", "line": same, "fixes": []}
 
     def fix_batch(lines: pa.Array) -> pa.Array:
-        return pa.array([fix_one(text) for text in lines.to_pylist()], arrow_type)
+        parser = StrictParser()
+        return pa.array([fix_one(parser, text) for text in lines.to_pylist()], arrow_type)
 
-    return F.arrow_udf(fix_batch, FIX_TYPE)
+    return F.arrow_udf(fix_batch, FIX_TYPE).asNondeterministic()
 
 
 def _readable(line: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from linewright.functions.hashing import fnv1a64_udf, simhash64_udf
+from linewright.functions.hashing import extract_content_udf, fnv1a64_udf, simhash64_udf
 from linewright.functions.json_values import (
     canonical_json_udf,
     extract_text_udf,
@@ -12,7 +12,7 @@ from linewright.functions.json_values import (
     is_json_udf,
     line_facts_udf,
 )
-from linewright.functions.tokens import Tokenizer, _token_udf
+from linewright.functions.tokens import Tokenizer, count_tokens_udf, token_details_udf, token_ids_udf
 
 
 def register_functions(spark: SparkSession, tokenizer: Tokenizer | None = None) -> list[str]:
@@ -20,6 +20,8 @@ def register_functions(spark: SparkSession, tokenizer: Tokenizer | None = None)
     functions = {
         "fnv1a64": fnv1a64_udf(),
         "simhash64": simhash64_udf(),
+        "simhash64_json": simhash64_udf(json_lines=True),
+        "json_content": extract_content_udf(),
         "is_strict_json": is_json_udf(),
         "json_text": extract_text_udf(),
         "canonical_json": canonical_json_udf(),
@@ -27,11 +29,9 @@ def register_functions(spark: SparkSession, tokenizer: Tokenizer | None = None)
         "line_facts": line_facts_udf(),
     }
     if tokenizer is not None:
-        import pyarrow as pa
-
-        functions["count_tokens"] = _token_udf(
-            tokenizer, lambda _, found: len(found[0]), pa.int32(), "int"
-        )
+        functions["count_tokens"] = count_tokens_udf(tokenizer)
+        functions["token_ids"] = token_ids_udf(tokenizer)
+        functions["token_details"] = token_details_udf(tokenizer)
     for name, udf in functions.items():
         spark.udf.register(name, udf)
     return list(functions)

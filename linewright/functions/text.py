@@ -111,31 +111,3 @@ def open_think_tag(text: Column) -> Column:
     """Prepend ``<think>`` once per closer that has no opener."""
     missing = count_literal(text, CLOSE_TAG) - count_literal(text, OPEN_TAG)
     return F.when(missing > 0, F.concat(F.repeat(F.lit(OPEN_TAG), missing), text)).otherwise(text)
-
-
-# --- string values of a JSON line, read by quoting alone ------------------------------
-#
-# A string counts as a value when the nearest separator before it, outside strings, is
-# a colon.  Possessive quantifiers keep the scan linear and free of recursion, whatever
-# the length of the line.
-
-_STRING_BODY = r'(?:[^"\\]++|\\.)*+'
-_STRING_END = r'(?:"|\\?\z)'
-_SEGMENT = r'(?s)[:,}\]]?(?:[^":,}\]]++|"' + _STRING_BODY + _STRING_END + r")*+"
-_BODIES = r'(?s)[^"]*+"(' + _STRING_BODY + r')("|\\?\z)|[^"]++'
-
-
-def extract_content(line: Column) -> Column:
-    """String values of a JSON line, each followed by a space, without parsing the JSON.
-
-    An escape keeps the character after the backslash (``\\n`` gives ``n``); an array of
-    strings yields its first element; the first key of a nested object counts as a value.
-    Lines that are not valid UTF-8 give the empty string.
-    """
-    segments = F.filter(
-        F.regexp_extract_all(line, F.lit(_SEGMENT), F.lit(0)), lambda s: s.startswith(":")
-    )
-    bodies = F.array_join(F.transform(segments, lambda s: F.regexp_replace(s, _BODIES, "$1$2")), "")
-    spaced = F.regexp_replace(bodies, r'(?s)\G(' + _STRING_BODY + r')"', "$1 ")
-    plain = F.regexp_replace(spaced, r"(?s)\\(.)?", "$1")
-    return F.when(F.is_valid_utf8(line), plain).otherwise(F.lit(""))

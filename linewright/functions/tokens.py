@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -59,63 +60,60 @@ class Tokenizer:
     kind: str
     payload: Broadcast
 
-    def build(self) -> Callable[[list[str]], list]:
-        """A function from texts to encodings ``(ids, spans, pieces)``, built in the task."""
+    def ids(self) -> Callable[[list[str]], list[list[int]]]:
+        """A function from texts to token ids, built in the task."""
         if self.kind == TIKTOKEN:
-            return _tiktoken_encoder(self.payload.value)
-        return _huggingface_encoder(self.payload.value)
+            encoding = _tiktoken(self.payload.value)
+            return lambda texts: [encoding.encode(text, allowed_special="all") for text in texts]
+        tokenizer = _huggingface(self.payload.value)
+        return lambda texts: [
+            found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ]
+
+    def spans(self) -> Callable[[list[str]], list[tuple]]:
+        """A function from texts to ``(ids, byte spans, token texts)``, built in the task."""
+        if self.kind == TIKTOKEN:
+            encoding = _tiktoken(self.payload.value)
+            return lambda texts: [_tiktoken_spans(encoding, text) for text in texts]
+        tokenizer = _huggingface(self.payload.value)
+        return lambda texts: [
+            (found.ids, _byte_spans(text, found.offsets), found.tokens)
+            for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False))
+        ]
 
 
-def _tiktoken_encoder(parts: dict):
+def _tiktoken(parts: dict):
     import tiktoken
 
-    encoding = tiktoken.Encoding(**parts)
-
-    def encode(texts: list[str]) -> list:
-        results = []
-        for text in texts:
-            raw = text.encode("utf-8")
-            ids = encoding.encode(text, allowed_special="all")
-            spans, pieces, at = [], [], 0
-            for token in ids:
-                end = at + len(encoding.decode_single_token_bytes(token))
-                spans.append((at, end))
-                pieces.append(raw[at:end].decode("utf-8", errors="replace"))
-                at = end
-            results.append((ids, spans, pieces))
-        return results
-
-    return encode
+    return tiktoken.Encoding(**parts)
 
 
-def _byte_positions(text: str) -> list[int] | None:
-    """Byte position of every character boundary; None for ASCII, where they coincide."""
-    if text.isascii():
-        return None
-    positions, at = [0], 0
-    for char in text:
-        at += len(char.encode("utf-8"))
-        positions.append(at)
-    return positions
-
-
-def _huggingface_encoder(definition: str):
+def _huggingface(definition: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
     import tokenizers
 
-    tokenizer = tokenizers.Tokenizer.from_str(definition)
+    return tokenizers.Tokenizer.from_str(definition)
+
 
-    def encode(texts: list[str]) -> list:
-        results = []
-        for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
-            positions = _byte_positions(text)
-            spans = found.offsets
-            if positions:
-                spans = [(positions[start], positions[end]) for start, end in spans]
-            results.append((found.ids, spans, found.tokens))
-        return results
+def _tiktoken_spans(encoding, text: str) -> tuple:
+    """Spans from token lengths; a token that ends inside a character shows a replacement."""
+    raw = text.encode("utf-8")
+    ids = encoding.encode(text, allowed_special="all")
+    spans, pieces, at = [], [], 0
+    for token in ids:
+        end = at + len(encoding.decode_single_token_bytes(token))
+        spans.append((at, end))
+        pieces.append(raw[at:end].decode("utf-8", errors="replace"))
+        at = end
+    return ids, spans, pieces
 
-    return encode
+
+def _byte_spans(text: str, offsets: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character offsets as byte offsets; in ASCII text they are the same."""
+    if text.isascii():
+        return offsets
+    positions = [0, *accumulate(len(char.encode("utf-8")) for char in text)]
+    return [(positions[start], positions[end]) for start, end in offsets]
 
 
 def tokenizer_from_file(spark: SparkSession, path: str) -> Tokenizer:
@@ -229,16 +227,32 @@ def _span(text: str, encoding) -> list[dict]:
     return [{"byte_start": s, "byte_end": e} for s, e in encoding[1]]
 
 
-def _token_udf(tokenizer: Tokenizer, shape, arrow_type: pa.DataType, sql_type: str):
+def _token_udf(
+    tokenizer: Tokenizer, shape: Callable, arrow_type: pa.DataType, sql_type: str, spans: bool = True
+):
     def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = tokenizer.build()
+        encode = tokenizer.spans() if spans else tokenizer.ids()
         for batch in batches:
             texts = batch.to_pylist()
             present = [text for text in texts if text is not None]
             shaped = map(shape, present, encode(present))
             yield pa.array([None if t is None else next(shaped) for t in texts], arrow_type)
 
-    return F.arrow_udf(encode_batches, sql_type)
+    return F.arrow_udf(encode_batches, sql_type).asNondeterministic()
+
+
+def count_tokens_udf(tokenizer: Tokenizer):
+    return _token_udf(tokenizer, lambda _, ids: len(ids), pa.int32(), "int", spans=False)
+
+
+def token_ids_udf(tokenizer: Tokenizer):
+    kind = pa.list_(pa.int32())
+    return _token_udf(tokenizer, lambda _, ids: ids, kind, "array<int>", spans=False)
+
+
+def token_details_udf(tokenizer: Tokenizer):
+    kind = "array<struct<token_id:int,byte_start:int,byte_end:int,text:string>>"
+    return _token_udf(tokenizer, _detail, pa.list_(_DETAIL), kind)
 
 
 def _readable(text: Column) -> Column:
@@ -247,19 +261,16 @@ def _readable(text: Column) -> Column:
 
 def count_tokens(text: Column, tokenizer: Tokenizer) -> Column:
     """Tokens per text, none added around it; text that cannot be read has none."""
-    udf = _token_udf(tokenizer, lambda _, found: len(found[0]), pa.int32(), "int")
-    return F.coalesce(udf(_readable(text)), F.lit(0))
+    return F.coalesce(count_tokens_udf(tokenizer)(_readable(text)), F.lit(0))
 
 
 def token_ids(text: Column, tokenizer: Tokenizer) -> Column:
-    udf = _token_udf(tokenizer, lambda _, found: found[0], pa.list_(pa.int32()), "array<int>")
-    return udf(_readable(text))
+    return token_ids_udf(tokenizer)(_readable(text))
 
 
 def token_details(text: Column, tokenizer: Tokenizer) -> Column:
     """``array<struct<token_id, byte_start, byte_end, text>>``, offsets in UTF-8 bytes."""
-    kind = "array<struct<token_id:int,byte_start:int,byte_end:int,text:string>>"
-    return _token_udf(tokenizer, _detail, pa.list_(_DETAIL), kind)(_readable(text))
+    return token_details_udf(tokenizer)(_readable(text))
 
 
 def token_offsets(text: Column, tokenizer: Tokenizer) -> Column:

@@ -9,16 +9,17 @@ Result columns: ``row_id``, ``fingerprint``, ``is_duplicate``, ``canonical_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions.hashing import (
     DEFAULT_SHINGLE,
     fnv1a64,
     hamming_distance,
+    readable,
     simhash64,
+    simhash64_json,
 )
-from linewright.functions.text import extract_content
 from linewright.plans.attach import COLD_MEMBERS, attach_groups
 from linewright.plans.durable import written
 from linewright.plans.first_fit import first_fit
@@ -33,30 +34,20 @@ def strategy_label(strategy: str, threshold: int = DEFAULT_THRESHOLD) -> str:
     return EXACT if strategy == EXACT else f"simhash(t={threshold})"
 
 
-def _readable(line: Column) -> Column:
-    """Bytes that are not valid UTF-8 count as the empty line."""
-    return F.when(F.is_valid_utf8(line), line).otherwise(F.lit(""))
-
-
-def content_of(line: Column, raw: bool = False) -> Column:
-    """What near-duplicate detection compares: JSON string values, or the line itself."""
-    return _readable(line) if raw else extract_content(line)
-
-
 def fingerprints(
     lines: DataFrame,
     shingle: int = DEFAULT_SHINGLE,
     raw: bool = False,
     min_content_bytes: int = 0,
 ) -> DataFrame:
-    """``row_id``, ``fingerprint``: SimHash of each line's content.
+    """``row_id``, ``fingerprint``: SimHash of each line's JSON string values.
 
-    Contents shorter than ``min_content_bytes`` get NULL: such rows stay out of dedup.
+    ``raw`` hashes the line itself.  Contents shorter than ``min_content_bytes`` get NULL:
+    such rows stay out of dedup.
     """
-    content = content_of(F.col("line"), raw)
-    if min_content_bytes > 0:
-        content = F.when(F.octet_length(content) >= min_content_bytes, content)
-    return lines.select("row_id", simhash64(content, shingle).alias("fingerprint"))
+    simhash = simhash64 if raw else simhash64_json
+    value = simhash(F.coalesce("line", F.lit("")), shingle, min_content_bytes)
+    return lines.select("row_id", value.alias("fingerprint"))
 
 
 def _decided(rows: DataFrame) -> DataFrame:
@@ -78,7 +69,7 @@ def dedup_exact(
     before the shuffle, and only lines that do repeat are looked up again.  The
     fingerprint is the digest's first 64 bits, or the line's FNV-1a on request.
     """
-    line = _readable(F.col("line"))
+    line = readable(F.coalesce("line", F.lit("")))
     digest = F.unhex(F.sha2(line, 256))
     columns = [F.col("row_id"), digest.alias("digest")]
     if fnv_fingerprint:
@@ -89,6 +80,8 @@ def dedup_exact(
         .agg(F.min("row_id").alias("canonical"), F.count(F.lit(1)).alias("members"))
         .filter(F.col("members") > 1)
     )
+    if count > cold_members:  # used twice below; its true size also guides the join
+        groups, _ = written(groups, "groups")
     joined = attach_groups(hashed, groups, "digest", count, "left", cold_members)
     if fnv_fingerprint:
         fingerprint = F.col("fnv")
@@ -165,7 +158,7 @@ def near_duplicate_pairs(
     first = prints.filter(F.col("fingerprint").isNotNull()).groupBy("fingerprint")
     nodes = first.agg(F.min("row_id").alias("id")).select("id", F.col("fingerprint").alias("fp"))
     table, count = written(nodes, "distinct")
-    scheme = BlockScheme.build(threshold, bit_balance(table), blocks)
+    scheme = BlockScheme.build(threshold, bit_balance(table, count), blocks)
     pairs = pairs_within(table, table, scheme, count, count, **limits)
     return pairs.select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), "distance")
 

@@ -75,19 +75,20 @@ def _issue(rule: str, **fields: Column) -> Column:
     )
 
 
-def _checkable(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.is_valid_utf8("line") & ~is_blank(F.col("line")))
-
-
 def lint_facts(
     lines: DataFrame,
     required_keys: Sequence[str] = (),
     per_leaf: bool = False,
     check_empty: bool = False,
 ) -> DataFrame:
-    """The parse facts every rule is derived from: ``row_id``, ``facts``."""
-    facts = line_facts(F.col("line"), tuple(required_keys), per_leaf, check_empty)
-    return _checkable(lines).select("row_id", facts.alias("facts"))
+    """The parse facts every rule is derived from: ``row_id``, ``facts``.
+
+    Blank lines and lines that are not valid UTF-8 have NULL facts.  They are masked rather
+    than filtered: a filter on a computed line would compute the line again.
+    """
+    line = F.when(~is_blank(F.col("line")), F.col("line"))
+    facts = line_facts(line, tuple(required_keys), per_leaf, check_empty)
+    return lines.select("row_id", facts.alias("facts"))
 
 
 def lint(
@@ -120,10 +121,12 @@ def lint(
     found = F.concat(
         invalid.cast(kind), F.coalesce(missing, none), *[part.cast(kind) for part in others]
     )
+    # The outer form keeps Spark from filtering on the array before building it.
     issues = (
         lint_facts(lines, required_keys, per_leaf, check_empty)
-        .select("row_id", found.alias("found"))
-        .select("row_id", F.posexplode("found").alias("ordinal", "issue"))
+        .select("row_id", F.when(facts.isNotNull(), found).alias("found"))
+        .select("row_id", F.posexplode_outer("found").alias("ordinal", "issue"))
+        .filter(F.col("ordinal").isNotNull())
     )
     issue = F.col("issue")
     return issues.select(

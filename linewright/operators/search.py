@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions.text import UNICODE_FLAGS, numbered
 from linewright.operators.rows import first_n_matches, line_count
+from linewright.plans.durable import written
 
 DEFAULT_MATCHES = 50
 # With this many wanted rows or fewer, their ids are sent to the lines instead of
@@ -20,7 +21,7 @@ def search(lines: DataFrame, pattern: str, limit: int | None = None) -> DataFram
     Java syntax with Unicode classes; a malformed pattern fails the query.  Lines that
     are not valid UTF-8 never match.
     """
-    hit = F.is_valid_utf8("line") & F.col("line").rlike(UNICODE_FLAGS + pattern)
+    hit = F.col("line").rlike(UNICODE_FLAGS + pattern) & F.is_valid_utf8("line")
     found = lines.filter(hit)
     return found if limit is None else first_n_matches(found, limit)
 
@@ -32,13 +33,19 @@ def search_with_context(
 
     The hit is marked ``>>>``; overlapping contexts repeat their lines.  Wanted row ids
     are spelled out and joined by equality; a group holds at most ``2 * context + 1`` rows.
+    Without a limit the wanted ids are written first, so that their number decides whether
+    they go to the lines or the lines are shuffled to them.
     """
     hits = search(lines, pattern, limit).select(F.col("row_id").alias("_hit"))
     around = F.sequence(
         F.greatest(F.col("_hit") - context, F.lit(0)), F.col("_hit") + context
     )
     wanted = hits.select("_hit", F.explode(around).alias("row_id"))
-    if limit is not None and limit * (2 * context + 1) <= MAX_BROADCAST_ROWS:
+    if limit is None:
+        wanted, rows = written(wanted, "context")
+    else:
+        rows = limit * (2 * context + 1)
+    if rows <= MAX_BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     row = F.col("row_id")
     marker = F.when(row == F.col("_hit"), ">>> ").otherwise("    ")

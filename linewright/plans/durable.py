@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -33,13 +33,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/linewright/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+def written(
+    df: DataFrame, label: str, counted: Column | None = None
+) -> tuple[DataFrame, int]:
     """Write ``df`` once and return the table read back, with its row count.
 
-    The count is observed during the write, so it costs no extra job.
+    With ``counted``, only rows where it holds are counted.  The count is observed during
+    the write, so it costs no extra job.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    df.observe(seen, rows.alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

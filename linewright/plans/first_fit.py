@@ -9,7 +9,8 @@ The graph itself can be quadratic in the number of fingerprints, so it is never
 a whole.  Ids are taken in growing prefixes: pairs are listed only inside a prefix, its
 kept ids are settled, and everything later that is close to one of them is dropped before
 the next prefix is taken.  Kept fingerprints are pairwise far apart, so a later one is
-close to few of them.
+close to few of them.  Early prefixes keep few enough ids to be broadcast against the
+rest; the number of prefixes grows with the logarithm of the input.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from linewright.plans.durable import written
 from linewright.plans.hamming import BITS, BlockScheme, bit_balance, pairs_within
 
 FIRST_PREFIX = 50_000
-GROWTH = 4
+GROWTH = 8
 
 
 def _prefix_bounds(prints: DataFrame, rows: int, first: int, growth: int) -> list[int]:
@@ -60,10 +61,10 @@ def _later_copies(edges: DataFrame, count: int) -> DataFrame | None:
                 F.coalesce("lost", F.lit(False)).alias("a_lost"),
             )
         )
-        decided, _ = written(labelled.filter("b_lost or not a_lost"), "round")
+        open_edge = ~F.col("a_lost") & ~F.col("b_lost")
+        decided, count = written(labelled.filter("b_lost or not a_lost"), "round", open_edge)
         dropped.append(decided.filter("b_lost").select("b"))
-        edges = decided.filter("not a_lost and not b_lost").select("a", "b")
-        count = edges.count()
+        edges = decided.filter(open_edge).select("a", "b")
     return reduce(DataFrame.unionAll, dropped).distinct() if dropped else None
 
 
@@ -76,10 +77,9 @@ def _settle(prefix: DataFrame, rows: int, scheme: BlockScheme, **limits) -> Data
         return prefix.withColumn("canonical", F.col("id"))
     from_kept = edges.join(lost.withColumnRenamed("b", "a"), "a", "left_anti")
     nearest = from_kept.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("canonical"))
-    settled = prefix.join(nearest, "id", "left").select(
+    return prefix.join(nearest, "id", "left").select(
         "id", "fp", F.coalesce("canonical", "id").alias("canonical")
     )
-    return written(settled, "settled")[0]
 
 
 def first_fit(
@@ -99,7 +99,7 @@ def first_fit(
         return prints.select("id", F.col("id").alias("canonical"))
     if k >= BITS:
         return prints.select("id", prints.agg(F.min("id")).scalar().alias("canonical"))
-    scheme = BlockScheme.build(k, bit_balance(prints), blocks)
+    scheme = BlockScheme.build(k, bit_balance(prints, rows), blocks)
     parts = []
     remaining, left_over = prints.select("id", "fp"), rows
     for bound in [*_prefix_bounds(prints, rows, first_prefix, growth), None]:
@@ -107,16 +107,16 @@ def first_fit(
             parts.append(_settle(remaining, left_over, scheme, **limits))
             break
         prefix, size = written(remaining.filter(F.col("id") <= bound), "prefix")
-        settled = _settle(prefix, size, scheme, **limits)
+        settled, _ = written(_settle(prefix, size, scheme, **limits), "settled")
         parts.append(settled)
         kept = settled.filter(F.col("id") == F.col("canonical")).select("id", "fp")
         later = remaining.filter(F.col("id") > bound)
         close = pairs_within(kept, later, scheme, size, left_over - size, **limits)
         nearest = close.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("canonical"))
-        swept, _ = written(later.join(nearest, "id", "left"), "swept")
-        parts.append(swept.filter(F.col("canonical").isNotNull()))
-        remaining = swept.filter(F.col("canonical").isNull()).select("id", "fp")
-        left_over = remaining.count()
+        free = F.col("canonical").isNull()
+        swept, left_over = written(later.join(nearest, "id", "left"), "swept", free)
+        parts.append(swept.filter(~free))
+        remaining = swept.filter(free).select("id", "fp")
         if not left_over:
             break
     return reduce(DataFrame.unionAll, [part.select("id", "canonical") for part in parts])

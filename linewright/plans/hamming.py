@@ -34,6 +34,10 @@ _SIGN = 1 << 63
 
 # Variants per row beyond which salting is the cheaper way through a large bucket.
 MAX_VARIANTS = 20_000
+# Fewer left rows than this cannot make a bucket worth counting for.
+COUNTED_ROWS = 20_000
+# Fingerprints looked at to deal bits into blocks.
+BALANCE_ROWS = 100_000
 # Rows of one bucket on the right side before it is spread over several tasks.
 SALT_ROWS = 1_000_000
 SALTS = 64
@@ -49,15 +53,21 @@ def ball(bits: int, radius: int) -> int:
     return sum(comb(bits, flips) for flips in range(radius + 1))
 
 
-def bit_balance(prints: DataFrame, column: str = "fp") -> list[float]:
-    """For each bit, how far its share of ones is from one half (one aggregate row)."""
-    one = F.lit(1).cast("bigint")
-    shares = [
-        F.avg(F.shiftrightunsigned(F.col(column), i).bitwiseAND(one).cast("double")).alias(f"b{i}")
-        for i in range(BITS)
-    ]
-    row = prints.agg(*shares).first()
-    return [abs((share if share is not None else 0.5) - 0.5) for share in row]
+def bit_balance(prints: DataFrame, rows: int, column: str = "fp") -> list[float]:
+    """For each bit, how far its share of ones is from one half.
+
+    The shares only steer which bits share a block; any choice gives the same pairs.  So
+    a sample is enough, and it keeps this step small on large inputs.
+    """
+    if rows > BALANCE_ROWS:
+        prints = prints.sample(BALANCE_ROWS / rows, seed=0)
+    bits = prints.select(column, F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
+    one = F.getbit(F.col(column), F.col("bit")).cast("bigint")
+    shares = bits.groupBy("bit").agg(F.avg(one).alias("share")).collect()
+    balance = [0.0] * BITS
+    for row in shares:
+        balance[row["bit"]] = abs(row["share"] - 0.5)
+    return balance
 
 
 @dataclass(frozen=True)
@@ -119,7 +129,7 @@ class BlockScheme:
 
 
 def _bigints(values: list[int]) -> Column:
-    return F.array(*[F.lit(signed(v)).cast("bigint") for v in values])
+    return F.expr("array(" + ",".join(f"{signed(v)}L" for v in values) + ")")
 
 
 def _keyed(prints: DataFrame, scheme: BlockScheme, side: str) -> DataFrame:
@@ -221,11 +231,12 @@ def pairs_within(
     """
     by_variants = scheme.variants() <= MAX_VARIANTS
     limit = bucket_limit if bucket_limit is not None else scheme.variants()
+    counted_rows = limit if bucket_limit is not None else max(limit, COUNTED_ROWS)
     keyed_left, keyed_right = _keyed(left, scheme, "a"), _keyed(right, scheme, "b")
     bucket = ["choice", "key"]
 
     hot, hot_count = None, 0
-    if (by_variants and left_rows > limit) or right_rows > salt_rows:
+    if (by_variants and left_rows > counted_rows) or right_rows > salt_rows:
         sides = keyed_left.select(*bucket, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
             keyed_right.select(*bucket, F.lit(0).alias("l"), F.lit(1).alias("r"))
         )

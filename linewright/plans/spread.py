@@ -1,0 +1,16 @@
+"""Parallelism for small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Give a file scan one partition per core when it has fewer.
+
+    A file with a single row group is read by one task, and so would be every Python
+    function behind it.  Scans with enough partitions, as all large ones have, are
+    returned as they are: no shuffle is added to them.  Planning only; no job runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -7,34 +7,79 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewright.operators.dedup import duplicate_bitmap
 from linewright.operators.fix import skip_policy
+from linewright.plans.durable import written
 
+# Bitmaps of 4 KB that may be broadcast: 200 MB, flags for over a billion and a half rows.
+BITMAP_BUCKETS = 50_000
+# Ids count as dense while they fill at least one part in this many of their range.
+DENSE = 4
 
-def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write ``line`` as text in ``row_id`` order: part files follow each other.
 
-    A range partitioning by ``row_id`` sorts without passing the data through one task.
+def in_row_order(lines: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Partitions that follow each other in ``row_id`` order, each sorted.
+
+    Dense ids are cut into equal ranges by arithmetic.  That needs their extent, a scan of
+    the ids alone, where a global sort would run the whole plan once more to sample it;
+    ids with large gaps still take the sort.  ``ids`` may name a frame that has at least
+    these ids and is cheaper to scan.
     """
-    lines.orderBy("row_id").select("line").write.mode(mode).text(path)
+    extent = (lines if ids is None else ids).agg(
+        F.min("row_id").alias("low"),
+        F.max("row_id").alias("high"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    low, high, rows = extent.first()
+    if not rows or high - low + 1 > DENSE * rows:
+        return lines.orderBy("row_id")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (F.col("row_id") - low).cast("double") / F.lit(float(high - low + 1))
+    slot = F.least(F.floor(share * parts).cast("int"), F.lit(parts - 1))
+    return lines.repartitionById(parts, slot).sortWithinPartitions("row_id")
 
 
-def unique_lines(lines: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Lines not flagged as duplicates, without those that are not valid UTF-8."""
-    flagged = duplicates.filter("is_duplicate").select("row_id")
-    return lines.filter(F.is_valid_utf8("line")).join(flagged, "row_id", "left_anti")
+def write_lines(
+    lines: DataFrame, path: str, mode: str = "errorifexists", ids: DataFrame | None = None
+) -> None:
+    """Write ``line`` as text; the part files follow each other in ``row_id`` order."""
+    in_row_order(lines, ids).select("line").write.mode(mode).text(path)
+
+
+def unique_lines(
+    lines: DataFrame, duplicates: DataFrame, bitmap_buckets: int = BITMAP_BUCKETS
+) -> DataFrame:
+    """Lines not flagged as duplicates, without those that are not valid UTF-8.
+
+    The flags are packed into bitmaps and written.  Up to ``bitmap_buckets`` of them
+    (4 KB each, 32,768 row ids) are broadcast, so the lines need no shuffle; beyond that
+    the flagged ids take part in an anti join.
+    """
+    readable = lines.filter(F.is_valid_utf8("line"))
+    packed, buckets = written(duplicate_bitmap(duplicates), "bitmap")
+    if buckets > bitmap_buckets:
+        flagged = duplicates.filter("is_duplicate").select("row_id")
+        return readable.join(flagged, "row_id", "left_anti")
+    bits = F.broadcast(packed.select("bucket", "bitmap"))
+    bucket = F.bitmap_bucket_number("row_id").alias("bucket")
+    marked = readable.select("*", bucket).join(bits, "bucket", "left")
+    position = F.bitmap_bit_position("row_id")
+    byte = F.substring("bitmap", F.floor(position / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int"))
+    return marked.filter(F.col("bitmap").isNull() | (bit == 0)).select(*lines.columns)
 
 
 def export_unique(
     lines: DataFrame, duplicates: DataFrame, path: str, mode: str = "errorifexists"
 ) -> None:
-    write_lines(unique_lines(lines, duplicates), path, mode)
+    write_lines(unique_lines(lines, duplicates), path, mode, ids=lines)
 
 
 def write_fixed(
     fixed: DataFrame, path: str, skip_invalid: bool = False, mode: str = "errorifexists"
 ) -> None:
     """Write the result of ``fix``; rejected lines stay verbatim unless ``skip_invalid``."""
-    write_lines(skip_policy(fixed, skip_invalid), path, mode)
+    write_lines(skip_policy(fixed, skip_invalid), path, mode, ids=fixed)
 
 
 def fixed_output_path(path: str, explicit: str | None = None) -> str:

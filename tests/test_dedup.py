@@ -7,6 +7,7 @@ from linewright.operators import dedup as D
 from linewright.plans.attach import attach_groups
 from linewright.plans.durable import written
 from linewright.plans.hamming import BlockScheme, ball, pairs_within, signed
+from linewright.sources import writers
 
 
 def first_fit(rows, k):
@@ -177,3 +178,13 @@ def test_attach_groups_hot_cold_and_null(spark):
     plain = rows.join(groups, "k", "left").select("id", "k", "m").orderBy("id").collect()
     split = attach_groups(rows, groups, "k", 100, "left", cold_members=3, null_keys=True)
     assert split.select("id", "k", "m").orderBy("id").collect() == plain
+
+
+@pytest.mark.parametrize("buckets", [50_000, 0])
+def test_unique_lines(spark, buckets):
+    texts = [f"t{i % 70}" for i in range(500)]
+    lines = spark.createDataFrame(
+        [(i * 997 - 3000, text) for i, text in enumerate(texts)], "row_id bigint, line string"
+    )
+    kept = writers.unique_lines(lines, D.dedup_exact(lines), bitmap_buckets=buckets)
+    assert sorted(r.row_id for r in kept.collect()) == [i * 997 - 3000 for i in range(70)]

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linewright.functions import hashing as H
-from linewright.functions.text import extract_content
 
 GOLDEN = [
     (
@@ -50,14 +49,15 @@ def rows(texts):
 
 def test_golden_vectors(spark):
     frame = spark.createDataFrame(GOLDEN, "line string, sim string, fnv string")
-    content = extract_content(F.col("line"))
+    content = H.extract_content(F.col("line"))
     found = frame.select(
         "sim",
         "fnv",
         H.fingerprint_hex(H.simhash64(content)).alias("got_sim"),
+        H.fingerprint_hex(H.simhash64_json(F.col("line"))).alias("got_json"),
         H.fingerprint_hex(H.fnv1a64(F.col("line"))).alias("got_fnv"),
     ).collect()
-    assert all(r.sim == r.got_sim and r.fnv == r.got_fnv for r in found)
+    assert all(r.sim == r.got_sim == r.got_json and r.fnv == r.got_fnv for r in found)
 
 
 def test_nulls_stay_null(spark):
@@ -96,3 +96,43 @@ def test_blocks_and_slices(monkeypatch):
 def test_hamming(spark, a, b, distance):
     frame = spark.createDataFrame([(a, b)], "a bigint, b bigint")
     assert frame.select(H.hamming_distance(F.col("a"), F.col("b"))).first()[0] == distance
+
+
+def one(spark, column, value):
+    frame = spark.createDataFrame([(value,)], "v string")
+    return frame.select(column(F.col("v")).alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize(
+    "line, content",
+    [
+        ('{"prompt":"hello world","response":"goodbye moon"}', "hello world goodbye moon "),
+        ('{"messages":[{"role":"user","content":"What is Rust?"}]}', "role user What is Rust? "),
+        ('{"a":["x1","y2","z3"],"b":"w"}', "x1 w "),
+        (r'{"a":"line\nbreak \u00e9"}', "linenbreak u00e9 "),
+        ('{"o":{"k":"v"}}', "k v "),
+        ('{"id":1,"ok":true}', ""),
+        ("plain text no json", ""),
+        ("", ""),
+        (r'{"a":"open \"x', 'open "x'),
+        (r'{"a":"b\"c","d:e":"f"}', 'b"c f '),
+        ('{"a":"lone\\', "lone"),
+        ('{"a":"b" "c", "d"}', "b c "),
+    ],
+)
+def test_extract_content(spark, line, content):
+    assert one(spark, H.extract_content, line) == content
+
+
+def test_extract_content_of_very_long_values(spark):
+    line = '{"a":"' + r"x\n" * 200_000 + '"}'
+    length = one(spark, lambda c: F.length(H.extract_content(c)), line)
+    assert length == 400_001
+
+
+def test_extract_content_of_invalid_utf8_is_empty(spark):
+    def broken(column):
+        raw = F.concat(F.lit('{"a":"x').cast("binary"), F.unhex(F.lit("FF")), column.cast("binary"))
+        return H.extract_content(raw.cast("string"))
+
+    assert one(spark, broken, '"}') == ""

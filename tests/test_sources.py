@@ -234,6 +234,15 @@ def test_write_lines_in_order(spark, tmp_path):
     assert back.filter(F.col("row_id") != F.col("line").cast("bigint")).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 1000])
+def test_row_order_of_dense_and_sparse_ids(spark, step):
+    ids = spark.range(200).select((F.col("id") * step + 7).alias("row_id"), F.lit("x").alias("line"))
+    ordered = writers.in_row_order(ids.repartition(5))
+    rows = [r.row_id for r in ordered.collect()]
+    assert rows == [i * step + 7 for i in range(200)]
+    assert writers.in_row_order(ids.filter("row_id < 0")).count() == 0
+
+
 def test_dataset_info(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_bytes(b"x" * 2047 + b"\n")

@@ -9,41 +9,6 @@ def one(spark, column, value, kind="string"):
     return frame.select(column(F.col("v")).alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize(
-    "line, content",
-    [
-        ('{"prompt":"hello world","response":"goodbye moon"}', "hello world goodbye moon "),
-        ('{"messages":[{"role":"user","content":"What is Rust?"}]}', "role user What is Rust? "),
-        ('{"a":["x1","y2","z3"],"b":"w"}', "x1 w "),
-        (r'{"a":"line\nbreak \u00e9"}', "linenbreak u00e9 "),
-        ('{"o":{"k":"v"}}', "k v "),
-        ('{"id":1,"ok":true}', ""),
-        ("plain text no json", ""),
-        ("", ""),
-        (r'{"a":"open \"x', 'open "x'),
-        (r'{"a":"b\"c","d:e":"f"}', 'b"c f '),
-        ('{"a":"lone\\', "lone"),
-        ('{"a":"b" "c", "d"}', "b c "),
-    ],
-)
-def test_extract_content(spark, line, content):
-    assert one(spark, T.extract_content, line) == content
-
-
-def test_extract_content_of_very_long_values(spark):
-    line = '{"a":"' + r"x\n" * 200_000 + '"}'
-    length = one(spark, lambda c: F.length(T.extract_content(c)), line)
-    assert length == 400_001
-
-
-def test_extract_content_of_invalid_utf8_is_empty(spark):
-    def broken(column):
-        raw = F.concat(F.lit('{"a":"x').cast("binary"), F.unhex(F.lit("FF")), column.cast("binary"))
-        return T.extract_content(raw.cast("string"))
-
-    assert one(spark, broken, '"}') == ""
-
-
 @pytest.mark.parametrize(
     "value, blank",
     [("", True), (" \t\r", True), ("  　", True), ("\x1c", False), (" x ", False)],

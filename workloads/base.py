@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.plans.durable import fresh_path
+from linewright.plans.spread import spread_small
 from linewright.sources.readers import lines_from_dataframe
 
 DOC_COLUMNS = ["doc_id", "lang", "source", "text"]
@@ -15,14 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores even when their file is small."""
+    return spread_small(table(spark, sf_dir, "documents"))
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON record lines."""
-    return lines_from_dataframe(table(spark, sf_dir, "documents"), "doc_id", columns=DOC_COLUMNS)
+    return lines_from_dataframe(documents(spark, sf_dir), "doc_id", columns=DOC_COLUMNS)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as plain text lines."""
-    return lines_from_dataframe(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines_from_dataframe(documents(spark, sf_dir), "doc_id", "text")
 
 
 DIRTY_TEXT = """case doc_id % 10
@@ -43,7 +49,7 @@ DIRTY_LINE = """case doc_id % 23
 
 def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with defects placed by rule: ``doc_id``, ``t``, ``line``."""
-    docs = table(spark, sf_dir, "documents").withColumn("t", F.expr(DIRTY_TEXT))
+    docs = documents(spark, sf_dir).withColumn("t", F.expr(DIRTY_TEXT))
     record = F.to_json(F.struct("doc_id", "lang", "source", F.col("t").alias("text")))
     return docs.withColumn("j", record).withColumn("line", F.expr(DIRTY_LINE))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linewright.functions import hashing
-from linewright.functions.text import extract_content
 from linewright.operators import dedup as D
 from linewright.sources.writers import dedup_report
 from workloads.base import (
@@ -42,7 +41,7 @@ def fnv1a64(spark, sf_dir):
 )
 def extract_content_query(spark, sf_dir):
     lines = doc_lines(spark, sf_dir)
-    return lines.select("row_id", extract_content(F.col("line")).alias("content"))
+    return lines.select("row_id", hashing.extract_content(F.col("line")).alias("content"))
 
 
 PRINTS = f"WITH RECURSIVE {TEXT_LINES_SQL}, {sql_simhash('text_lines', 'line')}"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linewright.functions import tokens as T
 from linewright.operators.tokens import token_budget, token_rows
 from linewright.streaming.lines import load_available
-from workloads.base import table, text_lines
+from workloads.base import documents, text_lines
 from workloads.reading import _document_stream
 from workloads.registry import query
 
@@ -55,7 +55,7 @@ def count_tokens(spark, sf_dir):
 FROM documents GROUP BY lang, source""",
 )
 def token_budget_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return token_budget(docs, word_tokenizer(spark), "text", ["lang", "source"])
 
 
