@@ -25,6 +25,7 @@ from linewright.plans.hamming import BITS, BlockScheme, bit_balance, pairs_withi
 
 FIRST_PREFIX = 50_000
 GROWTH = 8
+FEW_EDGES = 1_000_000
 
 
 def _prefix_bounds(prints: DataFrame, rows: int, first: int, growth: int) -> list[int]:
@@ -47,7 +48,9 @@ def _later_copies(edges: DataFrame, count: int) -> DataFrame | None:
     """
     dropped = []
     while count:
-        targets = edges.select(F.col("b").alias("a")).distinct()
+        targets = edges.select(F.col("b").alias("a"))
+        if count > FEW_EDGES:  # below that, repeats cost less than removing them
+            targets = targets.distinct()
         losers = edges.join(targets, "a", "left_anti").select("b").distinct()
         marks = losers.withColumn("lost", F.lit(True))
         labelled = (

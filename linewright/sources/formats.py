@@ -49,6 +49,12 @@ def parse_format(option: str | None, path: str) -> str:
     return detect_format(path)
 
 
+def parse_format_col(option: Column, path: Column) -> Column:
+    """:func:`parse_format` for columns of options and paths."""
+    words = F.create_map(*[F.lit(x) for pair in OPTIONS.items() for x in pair])
+    return F.coalesce(F.element_at(words, F.lower(option)), detect_format_col(path))
+
+
 def format_name_col(fmt: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in FORMAT_NAMES.items() for x in pair])
     return F.coalesce(F.element_at(names, fmt), fmt)

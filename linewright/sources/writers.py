@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.operators.dedup import duplicate_bitmap
@@ -91,6 +91,11 @@ def fixed_output_path(path: str, explicit: str | None = None) -> str:
     return posixpath.join(folder, f"{stem}_fixed{extension}")
 
 
+def fixed_output_path_col(path: Column) -> Column:
+    """:func:`fixed_output_path` for a column of paths."""
+    return F.regexp_replace(path, r"^(|.*/)([^/]+?)(\.[^./]*)?$", "$1$2_fixed$3")
+
+
 def overwrite_in_place(lines: DataFrame, path: str) -> None:
     """Replace the text at ``path`` by ``lines``, which may have been read from it.
 

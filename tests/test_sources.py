@@ -154,15 +154,17 @@ def test_detect_format(spark, path, fmt):
     "option, fmt",
     [("jsonl", "jsonl"), ("PARQUET", "parquet"), ("csv", "csv"), ("auto", "parquet"), ("unknown", "parquet"), (None, "parquet")],
 )
-def test_parse_format(option, fmt):
+def test_parse_format(spark, option, fmt):
+    frame = spark.createDataFrame([(option, "x.pq")], "o string, p string")
+    assert frame.select(formats.parse_format_col(F.col("o"), F.col("p"))).first()[0] == fmt
     assert formats.parse_format(option, "x.pq") == fmt
 
 
 def test_addresses(spark):
     cases = {
-        "hf://allenai/c4": ("allenai", "c4", "default", "train"),
-        "hf://allenai/c4/validation": ("allenai", "c4", "default", "validation"),
-        "hf://allenai/c4/en/train": ("allenai", "c4", "en", "train"),
+        "hf://someorg/data": ("someorg", "data", "default", "train"),
+        "hf://someorg/data/validation": ("someorg", "data", "default", "validation"),
+        "hf://someorg/data/en/train": ("someorg", "data", "en", "train"),
         "hf://a/b/c/d/e": ("a", "b", "c", "d/e"),
         "not_hf://foo/bar": None,
         "hf://single": None,
@@ -211,9 +213,11 @@ def test_not_parquet(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "path, out",
-    [("d/a.jsonl", "d/a_fixed.jsonl"), ("a", "a_fixed"), ("d.x/a", "d.x/a_fixed"), ("a.b.csv", "a.b_fixed.csv")],
+    [("d/a.jsonl", "d/a_fixed.jsonl"), ("a", "a_fixed"), ("d.x/a", "d.x/a_fixed"), ("a.b.csv", "a.b_fixed.csv"), ("d/.x", "d/.x_fixed")],
 )
-def test_fixed_output_path(path, out):
+def test_fixed_output_path(spark, path, out):
+    frame = spark.createDataFrame([(path,)], "p string")
+    assert frame.select(writers.fixed_output_path_col(F.col("p"))).first()[0] == out
     assert writers.fixed_output_path(path) == out
     assert writers.fixed_output_path(path, "other") == "other"
 

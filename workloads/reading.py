@@ -145,6 +145,37 @@ def detect_format(spark, sf_dir):
     return paths.withColumn("format", formats.detect_format_col(F.col("path")))
 
 
+OPTION = """case doc_id % 8 when 0 then 'auto' when 1 then 'JSONL' when 2 then 'pq'
+  when 3 then 'Csv' when 4 then 'ndjson' when 5 then 'excel' when 6 then 'parquet' else 'json' end"""
+
+
+@query(
+    "parse_format",
+    f"""WITH p AS (SELECT doc_id, {OPTION} AS option, {PATH} AS path FROM documents)
+SELECT doc_id, case when lower(option) in ('jsonl', 'json', 'ndjson') then 'jsonl'
+  when lower(option) in ('pq', 'parquet') then 'parquet' when lower(option) = 'csv' then 'csv'
+  when path like '%.parquet' or path like '%.pq' then 'parquet' when path like '%.csv' then 'csv'
+  when path like '%.tsv' then 'tsv' else 'jsonl' end AS format FROM p""",
+)
+def parse_format(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chosen = formats.parse_format_col(F.expr(OPTION), F.expr(PATH))
+    return docs.select("doc_id", chosen.alias("format"))
+
+
+@query(
+    "fixed_output_path",
+    f"""WITH p AS (SELECT doc_id, doc_id % 9 AS m, source, lang, {PATH} AS path FROM documents)
+SELECT doc_id, '/data/' || source || '/' || lang || case m when 0 then '_fixed.jsonl'
+  when 1 then '_fixed.parquet' when 2 then '_fixed.pq' when 3 then '_fixed.csv'
+  when 4 then '_fixed.tsv' when 5 then '_fixed' when 6 then '_fixed.CSV'
+  when 7 then '.json_fixed.gz' else '.d/part_fixed' end AS target FROM p""",
+)
+def fixed_output_path(spark, sf_dir):
+    paths = table(spark, sf_dir, "documents").select("doc_id", F.expr(PATH).alias("path"))
+    return paths.select("doc_id", writers.fixed_output_path_col(F.col("path")).alias("target"))
+
+
 ADDRESS = """concat(case when doc_id % 7 = 0 then 'file://' else 'hf://' end, source,
   case doc_id % 6 when 0 then '' when 1 then concat('/', lang)
     when 2 then concat('/', lang, '/test') when 3 then concat('/', lang, '/en/train')
