@@ -9,12 +9,12 @@ its first matching choice, so nothing needs de-duplicating.
 Large buckets are never expanded into all their pairs:
 
 * A bucket with many rows on the left is joined on *variants*: the left rows with up to
-  ``k // 2`` of their free bits flipped against the right rows with up to
-  ``k - k // 2`` flipped.  Only true pairs meet, and since fingerprints are distinct, no
+  ``k - k // 2`` of their free bits flipped against the right rows with up to ``k // 2``
+  flipped.  Only true pairs meet, and since fingerprints are distinct, no
   variant is shared by more rows than a ball of that radius holds.
 * A bucket with few rows on the left and very many on the right is salted.
 
-Bucket sizes are counted only when the input is large enough for one to matter.
+Bucket sizes are looked at only when the input is large enough for one to matter.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ BALANCE_ROWS = 100_000
 # Rows of one bucket on the right side before it is spread over several tasks.
 SALT_ROWS = 1_000_000
 SALTS = 64
+# Sampled rows that give such a bucket away.
+LONG_HITS = 200
+# Keys of the left side that may be broadcast: about 64 bytes each in memory.
+BROADCAST_KEYS = 2_000_000
 
 
 def signed(value: int) -> int:
@@ -120,7 +124,8 @@ class BlockScheme:
 
     @property
     def radii(self) -> tuple[int, int]:
-        return self.k // 2, self.k - self.k // 2
+        """Flips on the left and on the right; the right side, often longer, has fewer."""
+        return self.k - self.k // 2, self.k // 2
 
     def variants(self) -> int:
         """Rows per fingerprint, both sides together, when a bucket is joined on variants."""
@@ -186,19 +191,20 @@ def _variant_pairs(left: DataFrame, right: DataFrame, scheme: BlockScheme) -> Da
     differing bits.
     """
     spark = left.sparkSession
-    near, far = scheme.radii
+    flips_left, flips_right = scheme.radii
     schema = "choice int, flip bigint"
-    near_flips = F.broadcast(spark.createDataFrame(_flips(scheme, near), schema))
-    far_flips = F.broadcast(spark.createDataFrame(_flips(scheme, far), schema))
-    spread_left = left.join(near_flips, "choice").select(
+    left_flips = F.broadcast(spark.createDataFrame(_flips(scheme, flips_left), schema))
+    right_flips = F.broadcast(spark.createDataFrame(_flips(scheme, flips_right), schema))
+    spread_left = left.join(left_flips, "choice").select(
         "choice", "a", "fp_a", "flip", F.col("fp_a").bitwiseXOR(F.col("flip")).alias("variant")
     )
-    spread_right = right.join(far_flips, "choice").select(
+    spread_right = right.join(right_flips, "choice").select(
         "choice", "b", "fp_b", F.col("fp_b").bitwiseXOR(F.col("flip")).alias("variant")
     )
     delta = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     joined = spread_left.join(spread_right, ["choice", "variant"])
-    return _pairs(joined.filter(_is_pair(scheme) & (F.col("flip") == _lowest_bits(delta, near))))
+    lowest = _lowest_bits(delta, flips_left)
+    return _pairs(joined.filter(_is_pair(scheme) & (F.col("flip") == lowest)))
 
 
 def _salted_pairs(
@@ -212,6 +218,34 @@ def _salted_pairs(
     return _pairs(joined.filter(_is_pair(scheme)))
 
 
+def _large_buckets(
+    left: DataFrame,
+    right: DataFrame,
+    scheme: BlockScheme,
+    limit: int | None,
+    salt_rows: int | None,
+) -> DataFrame:
+    """``choice``, ``key``, ``wide`` of buckets that need care.
+
+    Wide ones have more than ``limit`` left rows, counted exactly.  Long ones have about
+    ``salt_rows`` right rows or more; a sample finds them, since one that slips through is
+    joined all the same and only makes an uneven task.  None skips either kind.
+    """
+    found = []
+    if limit is not None:
+        counts = _keyed(left, scheme, "a").groupBy("choice", "key").agg(F.count("a").alias("n"))
+        found.append(counts.filter(F.col("n") > limit).withColumn("wide", F.lit(True)))
+    if salt_rows is not None:
+        share = min(1.0, LONG_HITS / salt_rows)
+        seen = right if share == 1.0 else right.sample(share, seed=0)
+        counts = _keyed(seen, scheme, "b").groupBy("choice", "key").agg(F.count("b").alias("n"))
+        found.append(
+            counts.filter(F.col("n") > salt_rows * share).withColumn("wide", F.lit(False))
+        )
+    buckets = found[0] if len(found) == 1 else found[0].unionAll(found[1])
+    return buckets.groupBy("choice", "key").agg(F.max("wide").alias("wide"))
+
+
 def pairs_within(
     left: DataFrame,
     right: DataFrame,
@@ -221,61 +255,53 @@ def pairs_within(
     bucket_limit: int | None = None,
     salt_rows: int = SALT_ROWS,
     salts: int = SALTS,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """All pairs ``a < b``, ``a`` on the left and ``b`` on the right, within ``scheme.k``.
 
     Both sides are ``id BIGINT, fp BIGINT`` with distinct fingerprints per side, written
-    or otherwise cheap to read again.  ``bucket_limit`` is the number of left rows beyond
-    which a bucket counts as large; by default that is where variants become cheaper than
-    pairs.
+    or otherwise cheap to read again.  A left side of at most ``broadcast_keys`` keys is
+    broadcast, so the right side is not shuffled; a larger one never is.
+    ``bucket_limit`` is the number of left rows beyond which a bucket counts as large; by
+    default that is where variants become cheaper than pairs.
     """
-    by_variants = scheme.variants() <= MAX_VARIANTS
     limit = bucket_limit if bucket_limit is not None else scheme.variants()
     counted_rows = limit if bucket_limit is not None else max(limit, COUNTED_ROWS)
+    by_variants = scheme.variants() <= MAX_VARIANTS
+    small_left = left_rows * len(scheme.masks) <= broadcast_keys
     keyed_left, keyed_right = _keyed(left, scheme, "a"), _keyed(right, scheme, "b")
     bucket = ["choice", "key"]
 
-    hot, hot_count = None, 0
-    if (by_variants and left_rows > counted_rows) or right_rows > salt_rows:
-        sides = keyed_left.select(*bucket, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
-            keyed_right.select(*bucket, F.lit(0).alias("l"), F.lit(1).alias("r"))
-        )
-        sizes = sides.groupBy(*bucket).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        wide = (F.col("l") > limit) if by_variants else F.lit(False)
-        large = sizes.filter((F.col("l") > 0) & (F.col("r") > 0)).filter(
-            wide | (F.col("r") > salt_rows)
-        )
-        hot, hot_count = written(large.select(*bucket, wide.alias("wide")), "buckets")
+    def plain(one: DataFrame, other: DataFrame) -> DataFrame:
+        placed = F.broadcast(one) if small_left else one.hint("merge")
+        return _pairs(placed.join(other, bucket).filter(_is_pair(scheme)))
 
+    count_left = by_variants and left_rows > counted_rows
+    count_right = not small_left and right_rows > salt_rows
+    if not (count_left or count_right):
+        return plain(keyed_left, keyed_right)
+    large = _large_buckets(
+        left, right, scheme, limit if count_left else None, salt_rows if count_right else None
+    )
+    hot, hot_count = written(large, "buckets")
     if not hot_count:
-        return _pairs(keyed_left.join(keyed_right, bucket).filter(_is_pair(scheme)))
+        return plain(keyed_left, keyed_right)
 
-    parts = [
-        _pairs(
-            keyed_left.join(hot, bucket, "left_anti")
-            .join(keyed_right.join(hot, bucket, "left_anti"), bucket)
-            .filter(_is_pair(scheme))
-        )
-    ]
-    long_buckets = hot.filter(~F.col("wide")).drop("wide")
-    parts.append(
-        _salted_pairs(
-            keyed_left.join(long_buckets, bucket, "left_semi"),
-            keyed_right.join(long_buckets, bucket, "left_semi"),
-            scheme,
-            salts,
-        )
+    result = plain(
+        keyed_left.join(hot, bucket, "left_anti"), keyed_right.join(hot, bucket, "left_anti")
     )
-    if by_variants:
-        wide_buckets = hot.filter("wide").drop("wide")
-        parts.append(
-            _variant_pairs(
-                keyed_left.join(wide_buckets, bucket, "left_semi"),
-                keyed_right.join(wide_buckets, bucket, "left_semi"),
-                scheme,
-            )
+    ways = []
+    if count_left:
+        ways.append((F.col("wide"), _variant_pairs, ()))
+    if count_right:
+        ways.append((~F.col("wide"), _salted_pairs, (salts,)))
+    for kind, join, extra in ways:
+        chosen = hot.filter(kind).select(*bucket)
+        part = join(
+            keyed_left.join(chosen, bucket, "left_semi"),
+            keyed_right.join(chosen, bucket, "left_semi"),
+            scheme,
+            *extra,
         )
-    result = parts[0]
-    for part in parts[1:]:
         result = result.unionAll(part)
     return result

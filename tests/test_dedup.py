@@ -49,9 +49,9 @@ def frame_of(spark, rows):
         (3, {}),
         (3, {"blocks": 4}),
         (3, {"first_prefix": 40, "growth": 2}),
-        (3, {"bucket_limit": 2, "salt_rows": 5, "salts": 3}),
+        (3, {"bucket_limit": 2, "salt_rows": 5, "salts": 3, "broadcast_keys": 0}),
         (2, {"bucket_limit": 1, "first_prefix": 50, "growth": 3}),
-        (7, {"salt_rows": 10, "salts": 4}),
+        (7, {"salt_rows": 10, "salts": 4, "broadcast_keys": 0}),
         (64, {}),
     ],
 )
@@ -76,7 +76,7 @@ def test_one_dense_cluster(spark):
     assert {r.row_id: r.canonical_id for r in got} == expected
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_limit": 2}, {"salt_rows": 3, "salts": 4}])
+@pytest.mark.parametrize("options", [{}, {"bucket_limit": 2}, {"salt_rows": 3, "salts": 4, "broadcast_keys": 0}])
 @pytest.mark.parametrize("k", [1, 3, 5])
 def test_pairs_are_complete_and_unique(spark, k, options):
     rows = noisy_prints(150, seed=10 + k)
