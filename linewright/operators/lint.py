@@ -25,17 +25,6 @@ SEVERITIES = {
     EMPTY_CONTENT: "WARNING",
 }
 
-ISSUE_COLUMNS = (
-    "row_id",
-    "ordinal",
-    "rule",
-    "severity",
-    "message",
-    "key",
-    "open_count",
-    "close_count",
-)
-
 
 def parse_required_keys(option: str | None) -> list[str]:
     """Comma-separated key list, trimmed; empty entries are dropped."""
@@ -75,20 +64,35 @@ def _issue(rule: str, **fields: Column) -> Column:
     )
 
 
-def lint_facts(
-    lines: DataFrame,
-    required_keys: Sequence[str] = (),
-    per_leaf: bool = False,
-    check_empty: bool = False,
-) -> DataFrame:
-    """The parse facts every rule is derived from: ``row_id``, ``facts``.
+def _facts(required_keys: Sequence[str], per_leaf: bool, check_empty: bool) -> Column:
+    """Parse facts of ``line``; NULL for blank lines and lines that are not valid UTF-8.
 
-    Blank lines and lines that are not valid UTF-8 have NULL facts.  They are masked rather
-    than filtered: a filter on a computed line would compute the line again.
+    Such lines are masked rather than filtered out: a filter on a computed line would
+    compute the line again.
     """
     line = F.when(~is_blank(F.col("line")), F.col("line"))
-    facts = line_facts(line, tuple(required_keys), per_leaf, check_empty)
-    return lines.select("row_id", facts.alias("facts"))
+    return line_facts(line, tuple(required_keys), per_leaf, check_empty)
+
+
+def _issues_of(facts: Column, check_empty: bool) -> Column:
+    """The issues of a line in rule order, as an array; NULL facts give NULL."""
+    kind = "array<struct<rule:string,key:string,open_count:int,close_count:int,error:string>>"
+    none = F.array().cast(kind)
+
+    def when(hit: Column, issue: Column) -> Column:
+        return F.when(hit, F.array(issue).cast(kind)).otherwise(none)
+
+    opens, closes = facts["opens"], facts["closes"]
+    missing = F.transform(facts["missing"], lambda key: _issue(MISSING_KEY, key=key))
+    parts = [
+        when(~facts["valid"], _issue(INVALID_JSON, error=facts["error"])),
+        F.coalesce(missing, none),
+        when(opens != closes, _issue(THINK_TAGS, open_count=opens, close_count=closes)),
+        when(facts["trailing"], _issue(TRAILING_WHITESPACE)),
+    ]
+    if check_empty:
+        parts.append(when(facts["blank_content"], _issue(EMPTY_CONTENT)))
+    return F.when(facts.isNotNull(), F.concat(*parts))
 
 
 def lint(
@@ -97,34 +101,17 @@ def lint(
     per_leaf: bool = False,
     check_empty: bool = False,
 ) -> DataFrame:
-    """All rules over all non-blank lines.
+    """All rules over all non-blank lines, one row per issue.
 
     The text rules look at all string leaves joined by one space, where other leaves
     count as empty strings; ``per_leaf`` checks white space in each string by itself.
     ``check_empty`` adds the rule for blank ``content``/``text`` strings.  The plan is one
     narrow stage: a single parse per line, then native columns.
     """
-    facts = F.col("facts")
-    valid = facts["valid"]
-    missing = F.transform(facts["missing"], lambda key: _issue(MISSING_KEY, key=key))
-    opens, closes = facts["opens"], facts["closes"]
-    checks = [
-        (~valid, _issue(INVALID_JSON, error=facts["error"])),
-        (opens != closes, _issue(THINK_TAGS, open_count=opens, close_count=closes)),
-        (facts["trailing"], _issue(TRAILING_WHITESPACE)),
-    ]
-    if check_empty:
-        checks.append((facts["blank_content"], _issue(EMPTY_CONTENT)))
-    invalid, *others = [F.when(hit, F.array(issue)).otherwise(F.array()) for hit, issue in checks]
-    kind = "array<struct<rule:string,key:string,open_count:int,close_count:int,error:string>>"
-    none = F.array().cast(kind)
-    found = F.concat(
-        invalid.cast(kind), F.coalesce(missing, none), *[part.cast(kind) for part in others]
-    )
     # The outer form keeps Spark from filtering on the array before building it.
     issues = (
-        lint_facts(lines, required_keys, per_leaf, check_empty)
-        .select("row_id", F.when(facts.isNotNull(), found).alias("found"))
+        lines.select("row_id", _facts(required_keys, per_leaf, check_empty).alias("facts"))
+        .select("row_id", _issues_of(F.col("facts"), check_empty).alias("found"))
         .select("row_id", F.posexplode_outer("found").alias("ordinal", "issue"))
         .filter(F.col("ordinal").isNotNull())
     )
@@ -185,4 +172,14 @@ def first_issue(issues: DataFrame) -> DataFrame:
 
 
 def rows_with_issues(lines: DataFrame, issues: DataFrame) -> DataFrame:
+    """Lines that appear in a table of issues."""
     return lines.join(issues.select("row_id"), "row_id", "left_semi")
+
+
+def failing_rows(
+    lines: DataFrame, required_keys: Sequence[str] = (), per_leaf: bool = False
+) -> DataFrame:
+    """Lines with at least one issue, found while reading them: no join, no shuffle."""
+    checked = lines.select("*", _facts(required_keys, per_leaf, False).alias("_facts"))
+    found = F.size(_issues_of(F.col("_facts"), False)) > 0
+    return checked.filter(F.coalesce(found, F.lit(False))).select(*lines.columns)

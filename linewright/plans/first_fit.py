@@ -40,6 +40,14 @@ def _prefix_bounds(prints: DataFrame, rows: int, first: int, growth: int) -> lis
     return sorted(set(ids))
 
 
+def _sized(ids: DataFrame, rows: int) -> DataFrame:
+    """A join side of at most ``rows`` ids: broadcast if few, shuffled without repeats if not.
+
+    Left to itself, Catalyst would go by the size of the file, which ids compress well in.
+    """
+    return F.broadcast(ids) if rows <= FEW_EDGES else ids.distinct().hint("merge")
+
+
 def _later_copies(edges: DataFrame, count: int) -> DataFrame | None:
     """The ``b`` of every edge whose fate is to be dropped, from edges ``a < b``.
 
@@ -48,11 +56,9 @@ def _later_copies(edges: DataFrame, count: int) -> DataFrame | None:
     """
     dropped = []
     while count:
-        targets = edges.select(F.col("b").alias("a"))
-        if count > FEW_EDGES:  # below that, repeats cost less than removing them
-            targets = targets.distinct()
+        targets = _sized(edges.select(F.col("b").alias("a")), count)
         losers = edges.join(targets, "a", "left_anti").select("b").distinct()
-        marks = losers.withColumn("lost", F.lit(True))
+        marks = _sized(losers.withColumn("lost", F.lit(True)), count)
         labelled = (
             edges.join(marks, "b", "left")
             .withColumnRenamed("lost", "b_lost")
@@ -78,7 +84,7 @@ def _settle(prefix: DataFrame, rows: int, scheme: BlockScheme, **limits) -> Data
     lost = _later_copies(edges, count)
     if lost is None:
         return prefix.withColumn("canonical", F.col("id"))
-    from_kept = edges.join(lost.withColumnRenamed("b", "a"), "a", "left_anti")
+    from_kept = edges.join(_sized(lost.withColumnRenamed("b", "a"), count), "a", "left_anti")
     nearest = from_kept.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("canonical"))
     return prefix.join(nearest, "id", "left").select(
         "id", "fp", F.coalesce("canonical", "id").alias("canonical")

@@ -20,8 +20,8 @@ def resolve_split_address(address: Column) -> Column:
     parts = F.split(F.substr(address, F.lit(len(SCHEME) + 1)), "/", 4)
     size = F.size(parts)
     target = F.struct(
-        parts[0].alias("org"),
-        parts[1].alias("dataset"),
+        F.get(parts, F.lit(0)).alias("org"),
+        F.get(parts, F.lit(1)).alias("dataset"),
         F.when(size == 4, F.get(parts, F.lit(2))).otherwise(DEFAULT_CONFIG).alias("config"),
         F.when(size == 4, F.get(parts, F.lit(3)))
         .when(size == 3, F.get(parts, F.lit(2)))

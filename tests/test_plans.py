@@ -30,6 +30,7 @@ def texts(spark):
 def test_per_line_operators_do_not_shuffle(spark, texts):
     for frame in (
         lint.lint(texts, ["a"]),
+        lint.failing_rows(texts, ["a"]),
         fix.skip_policy(fix.fix(texts), skip_invalid=True),
         dedup.fingerprints(texts),
         search.search(texts, "a"),
@@ -44,6 +45,7 @@ def test_python_runs_once_per_row(spark, texts):
     for frame in (
         issues,
         lint.lint_rule(texts, "think_tags"),
+        lint.failing_rows(texts, ["a"]),
         lint.first_issue(issues),
         fix.fix_counts_by_type(fixed),
         fix.fix_summary(fixed),

@@ -325,6 +325,14 @@ def rows_with_issues(spark, sf_dir):
     return linting.rows_with_issues(dirty_lines(spark, sf_dir), _issues(spark, sf_dir))
 
 
+@query(
+    "failing_rows",
+    f"{LINT_CTE} SELECT row_id, line FROM dirty WHERE row_id IN (SELECT row_id FROM issues)",
+)
+def failing_rows(spark, sf_dir):
+    return linting.failing_rows(dirty_lines(spark, sf_dir), ["text"])
+
+
 @query(
     "extract_text",
     f"""{DIRTY} SELECT row_id, case when row_id % 23 in (0, 1) then null
