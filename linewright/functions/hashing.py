@@ -101,10 +101,11 @@ def fnv_rows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 def _window_hashes(raw: np.ndarray, begin: int, end: int, shingle: int) -> np.ndarray:
     """FNV-1a of the ``shingle`` bytes starting at each position in ``[begin, end)``."""
     prime = np.uint64(FNV_PRIME)
+    wide = raw[begin : end + shingle - 1].astype(np.uint64)
     hashes = np.full(end - begin + 1, FNV_OFFSET, dtype=np.uint64)
     body = hashes[:-1]
     for step in range(shingle):
-        body ^= raw[begin + step : end + step]
+        body ^= wide[step : step + end - begin]
         body *= prime
     hashes[-1] = 0
     return hashes

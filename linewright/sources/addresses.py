@@ -49,7 +49,6 @@ def select_split_files(
     if config != DEFAULT_CONFIG:
         wanted = wanted & (F.col("config") == config)
     matching = listing.filter(wanted)
-    first = listing.orderBy(order).limit(1)
-    any_match = matching.select(F.lit(1).alias("_found")).limit(1)
-    fallback = first.join(any_match, F.lit(True), "left_anti")
+    found = matching.limit(1).agg(F.count(F.lit(1))).scalar()
+    fallback = listing.orderBy(order).limit(1).filter(found == 0)
     return matching.unionByName(fallback)

@@ -65,9 +65,18 @@ def load_available(stream: DataFrame, label: str = "stream") -> tuple[StreamingQ
     return query, spark.read.schema(stream.schema).parquet(f"{target}/data")
 
 
+def loaded_units(query: StreamingQuery) -> int:
+    """Micro-batches finished since the stream began, over restarts too."""
+    last = query.lastProgress
+    return last.batchId + 1 if last else 0
+
+
 def stream_progress(query: StreamingQuery) -> DataFrame:
-    """Units loaded so far: one row per micro-batch that brought rows."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    """The latest units: one row per micro-batch that brought rows.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` of them.
+    """
+    spark = SparkSession.active()
     rows = [
         (p.batchId, p.numInputRows, int(p.batchDuration))
         for p in query.recentProgress

@@ -76,8 +76,17 @@ def test_one_dense_cluster(spark):
     assert {r.row_id: r.canonical_id for r in got} == expected
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_limit": 2}, {"salt_rows": 3, "salts": 4, "broadcast_keys": 0}])
-@pytest.mark.parametrize("k", [1, 3, 5])
+@pytest.mark.parametrize(
+    "k, options",
+    [
+        (3, {}),
+        (5, {}),
+        (1, {"bucket_limit": 2}),
+        (3, {"bucket_limit": 2}),
+        (4, {"bucket_limit": 1, "broadcast_keys": 0}),
+        (5, {"salt_rows": 3, "salts": 4, "broadcast_keys": 0}),
+    ],
+)
 def test_pairs_are_complete_and_unique(spark, k, options):
     rows = noisy_prints(150, seed=10 + k)
     distinct = {}

@@ -106,6 +106,7 @@ def test_stream_lines_and_progress(spark, tmp_path):
     progress = streams.stream_progress(query).orderBy("batch").collect()
     assert sorted(p.rows for p in progress) == [1, 2, 2]
     assert streams.is_complete(query)
+    assert streams.loaded_units(query) == 3
 
 
 def test_operators_on_a_stream_match_batch(spark, tmp_path):
