@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,7 +166,7 @@ def simhash_rows(
 def _as_bigint(values: np.ndarray, array: pa.Array) -> pa.Array:
     signed = pa.array(values.view(np.int64))
     if array.null_count:
-        return pa.compute.if_else(array.is_valid(), signed, pa.scalar(None, pa.int64()))
+        return pc.if_else(array.is_valid(), signed, pa.scalar(None, pa.int64()))
     return signed
 
 
@@ -195,7 +196,7 @@ def simhash64_udf(shingle: int = DEFAULT_SHINGLE, json_lines: bool = False, min_
         prints = _as_bigint(simhash_rows(raw, starts, ends, size), texts)
         if min_bytes > 0:
             enough = pa.array(ends - starts >= min_bytes)
-            prints = pa.compute.if_else(enough, prints, pa.scalar(None, pa.int64()))
+            prints = pc.if_else(enough, prints, pa.scalar(None, pa.int64()))
         return prints
 
     return F.arrow_udf(simhash64_batch, "bigint").asNondeterministic()

@@ -74,7 +74,7 @@ def dedup_exact(
     columns = [F.col("row_id"), digest.alias("digest")]
     if fnv_fingerprint:
         columns.append(fnv1a64(line).alias("fnv"))
-    hashed, count = written(lines.select(*columns), "digests")
+    hashed, count = written(lines.select(*columns), "digests", narrow=True)
     groups = (
         hashed.groupBy("digest")
         .agg(F.min("row_id").alias("canonical"), F.count(F.lit(1)).alias("members"))
@@ -105,7 +105,9 @@ def dedup_fingerprints(
     ``threshold``; it maps to the smallest such row.  Equal fingerprints share the fate of
     their first row, so only distinct ones enter the search.
     """
-    hashed, count = written(prints.select("row_id", "fingerprint"), "fingerprints")
+    hashed, count = written(
+        prints.select("row_id", "fingerprint"), "fingerprints", narrow=True
+    )
     groups = (
         hashed.filter(F.col("fingerprint").isNotNull())
         .groupBy("fingerprint")

@@ -29,21 +29,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/linewright/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/linewright/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, once results are saved."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    filesystem = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    filesystem.delete(folder, True)
 
 
 def written(
-    df: DataFrame, label: str, counted: Column | None = None
+    df: DataFrame, label: str, counted: Column | None = None, narrow: bool = False
 ) -> tuple[DataFrame, int]:
     """Write ``df`` once and return the table read back, with its row count.
 
     With ``counted``, only rows where it holds are counted.  The count is observed during
-    the write, so it costs no extra job.
+    the write, so it costs no extra job.  ``narrow`` is for few columns taken from a wide
+    scan: its many partitions would each write a tiny file, so they are merged first.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     seen = Observation()
     rows = F.count(F.lit(1)) if counted is None else F.count_if(counted)
-    df.observe(seen, rows.alias("rows")).write.parquet(path)
+    source = df.hint("rebalance") if narrow else df
+    source.observe(seen, rows.alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

@@ -95,8 +95,8 @@ def read_csv_lines(
     """Delimited text with a header row; every value is a string, keys are sorted.
 
     A repeated header keeps its last column.  A ragged row, or a file whose header differs
-    from the first file's, fails the query.  Quoted newlines need ``multiline``, which makes each file one task; switch it off for large
-    files that have none, so they split.
+    from the first file's, fails the query.  Quoted newlines need ``multiline``, which makes
+    each file one task; switch it off for large files that have none, so they split.
     """
     paths = _as_list(paths)
     options = {"sep": sep, "escape": '"', "multiLine": multiline}
