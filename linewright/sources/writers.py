@@ -13,6 +13,8 @@ from linewright.plans.durable import written
 
 # Bitmaps of 4 KB that may be broadcast: 200 MB, flags for over a billion and a half rows.
 BITMAP_BUCKETS = 50_000
+# Rows of one part file: no more than the first, and few parts below the second.
+MOST_ROWS, FEW_ROWS = 200_000, 5_000
 # Ids count as dense while they fill at least one part in this many of their range.
 DENSE = 4
 
@@ -33,7 +35,8 @@ def in_row_order(lines: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     low, high, rows = extent.first()
     if not rows or high - low + 1 > DENSE * rows:
         return lines.orderBy("row_id")
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-rows // MOST_ROWS), min(usual, -(-rows // FEW_ROWS)))
     share = (F.col("row_id") - low).cast("double") / F.lit(float(high - low + 1))
     slot = F.least(F.floor(share * parts).cast("int"), F.lit(parts - 1))
     return lines.repartitionById(parts, slot).sortWithinPartitions("row_id")

@@ -239,11 +239,14 @@ def test_write_lines_in_order(spark, tmp_path):
 
 
 @pytest.mark.parametrize("step", [1, 1000])
-def test_row_order_of_dense_and_sparse_ids(spark, step):
+def test_row_order_of_dense_and_sparse_ids(spark, step, monkeypatch):
+    monkeypatch.setattr(writers, "MOST_ROWS", 15)
     ids = spark.range(200).select((F.col("id") * step + 7).alias("row_id"), F.lit("x").alias("line"))
     ordered = writers.in_row_order(ids.repartition(5))
     rows = [r.row_id for r in ordered.collect()]
     assert rows == [i * step + 7 for i in range(200)]
+    if step == 1:
+        assert ordered.rdd.getNumPartitions() == 14
     assert writers.in_row_order(ids.filter("row_id < 0")).count() == 0
 
 
