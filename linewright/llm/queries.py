@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.llm.frequent_lines import line_verdicts
 from linewright.llm.hilbert import hilbert_shards
+from linewright.llm.repeats import repeat_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,27 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
+wins AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS s FROM starts),
+ranked AS (
+  SELECT doc_id, i, rank() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM wins),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1),
+places AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE
+    list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ps, k - 1)),
+      lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN places USING (doc_id)
+"""
+
+
 def op9_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents")).drop("digest", "keys")
 
@@ -80,9 +102,11 @@ FROM base
 
 QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_block_anchors": op2_block_anchors,
     "op9_frequent_lines": op9_frequent_lines,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_block_anchors": OP2_SQL,
     "op9_frequent_lines": OP9_SQL,
 }
