@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linewright.llm.frequent_lines import line_verdicts
 from linewright.llm.hilbert import hilbert_shards
 from linewright.llm.repeats import repeat_digests
+from linewright.llm.simhash_trees import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +54,10 @@ FROM d LEFT JOIN places USING (doc_id)
 """
 
 
+def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op9_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents")).drop("digest", "keys")
 
@@ -103,6 +108,7 @@ FROM base
 QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_block_anchors": op2_block_anchors,
+    "op3_simhash_trees": op3_simhash_trees,
     "op9_frequent_lines": op9_frequent_lines,
 }
 
