@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
 from linewright.llm.frequent_lines import line_verdicts
 from linewright.llm.hilbert import hilbert_shards
+from linewright.llm.packing import pack
 from linewright.llm.repeats import repeat_digests
 from linewright.llm.simhash_trees import simhash_components
 
@@ -58,6 +60,12 @@ def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096
+    )
+
+
 def op9_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents")).drop("digest", "keys")
 
@@ -109,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_block_anchors": op2_block_anchors,
     "op3_simhash_trees": op3_simhash_trees,
+    "op7_shortest_pack_first": op7_shortest_pack_first,
     "op9_frequent_lines": op9_frequent_lines,
 }
 
