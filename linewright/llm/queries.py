@@ -13,6 +13,7 @@ from linewright.llm.hilbert import hilbert_shards
 from linewright.llm.packing import pack
 from linewright.llm.repeats import repeat_digests
 from linewright.llm.simhash_trees import simhash_components
+from linewright.llm.suffix_tree import suffix_tree_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,10 @@ def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096
@@ -117,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_block_anchors": op2_block_anchors,
     "op3_simhash_trees": op3_simhash_trees,
+    "op5_suffix_tree": op5_suffix_tree,
     "op7_shortest_pack_first": op7_shortest_pack_first,
     "op9_frequent_lines": op9_frequent_lines,
 }
