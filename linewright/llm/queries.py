@@ -14,6 +14,7 @@ from linewright.llm.packing import pack
 from linewright.llm.repeats import repeat_digests
 from linewright.llm.simhash_trees import simhash_components
 from linewright.llm.suffix_tree import suffix_tree_scores
+from linewright.llm.top_k import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +119,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base
 """
 
+def op10_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_block_anchors": op2_block_anchors,
@@ -125,9 +147,11 @@ QUERIES: dict[str, Query] = {
     "op5_suffix_tree": op5_suffix_tree,
     "op7_shortest_pack_first": op7_shortest_pack_first,
     "op9_frequent_lines": op9_frequent_lines,
+    "op10_term_at_a_time": op10_term_at_a_time,
 }
 
 ORACLES: dict[str, str] = {
     "op2_block_anchors": OP2_SQL,
     "op9_frequent_lines": OP9_SQL,
+    "op10_term_at_a_time": OP10_SQL,
 }
