@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from linewright.llm.chat_format import format_digests
 from linewright.llm.frequent_lines import line_verdicts
 from linewright.llm.hilbert import hilbert_shards
 from linewright.llm.packing import pack
@@ -72,6 +73,42 @@ def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return format_digests(rows.unionByName(extra))
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]'
+  FROM range(2) t(i)),
+b AS (
+  SELECT *,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) <> role, true) AS opens,
+    length(text) + len(regexp_extract_all(text,
+      '\|<\|im_(?:start|sep|end)\|>|</?s>|\[/?INST\]')) AS size
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  (sum(size) + sum(CASE WHEN opens THEN 24 + length(role) ELSE 10 END))::BIGINT
+    AS formatted_chars
+FROM b GROUP BY conv_id
+"""
+
+
 def op9_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents")).drop("digest", "keys")
 
@@ -146,12 +183,14 @@ QUERIES: dict[str, Query] = {
     "op3_simhash_trees": op3_simhash_trees,
     "op5_suffix_tree": op5_suffix_tree,
     "op7_shortest_pack_first": op7_shortest_pack_first,
+    "op8_relational_chat": op8_relational_chat,
     "op9_frequent_lines": op9_frequent_lines,
     "op10_term_at_a_time": op10_term_at_a_time,
 }
 
 ORACLES: dict[str, str] = {
     "op2_block_anchors": OP2_SQL,
+    "op8_relational_chat": OP8_SQL,
     "op9_frequent_lines": OP9_SQL,
     "op10_term_at_a_time": OP10_SQL,
 }
