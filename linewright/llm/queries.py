@@ -12,6 +12,7 @@ from linewright.llm.chat_format import format_digests
 from linewright.llm.frequent_lines import line_verdicts
 from linewright.llm.hilbert import hilbert_shards
 from linewright.llm.packing import pack
+from linewright.llm.private_data import private_spans
 from linewright.llm.repeats import repeat_digests
 from linewright.llm.simhash_trees import simhash_components
 from linewright.llm.suffix_tree import suffix_tree_scores
@@ -63,6 +64,10 @@ def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_skip_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))
 
@@ -181,6 +186,7 @@ QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_block_anchors": op2_block_anchors,
     "op3_simhash_trees": op3_simhash_trees,
+    "op4_skip_chain_field": op4_skip_chain_field,
     "op5_suffix_tree": op5_suffix_tree,
     "op7_shortest_pack_first": op7_shortest_pack_first,
     "op8_relational_chat": op8_relational_chat,
