@@ -12,6 +12,7 @@ from linewright.llm.chat_format import format_digests
 from linewright.llm.frequent_lines import line_verdicts
 from linewright.llm.hilbert import hilbert_shards
 from linewright.llm.packing import pack
+from linewright.llm.piece_sampling import sampling_digests
 from linewright.llm.private_data import private_spans
 from linewright.llm.repeats import repeat_digests
 from linewright.llm.simhash_trees import simhash_components
@@ -72,6 +73,12 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling_digests(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096
@@ -188,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash_trees": op3_simhash_trees,
     "op4_skip_chain_field": op4_skip_chain_field,
     "op5_suffix_tree": op5_suffix_tree,
+    "op6_piece_sampling": op6_piece_sampling,
     "op7_shortest_pack_first": op7_shortest_pack_first,
     "op8_relational_chat": op8_relational_chat,
     "op9_frequent_lines": op9_frequent_lines,
