@@ -190,9 +190,7 @@ def line_verdicts(
         .agg(F.sum("words").alias("n_removed"), F.collect_set("key").alias("keys"))
     )
     left = F.col("n_words") - F.coalesce(F.col("n_removed"), F.lit(0))
-    depleted = F.col("n_removed").isNotNull() & (
-        (left < MIN_WORDS) | (left * 100 < F.col("n_words") * min_left_percent)
-    )
+    depleted = left * 100 < F.col("n_words") * min_left_percent
     return keyed.join(removed, "row", "left").select(
         "doc_id",
         "digest",
@@ -230,11 +228,16 @@ def clean_documents(
         .withColumnRenamed("keys", "_keys")
         .dropDuplicates(["_id", "_digest"])
     )
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (
-        document_digest(F.col(host_column), F.col(text_column)) == F.col("_digest")
+    others = [F.col(c) for c in docs.columns if c != text_column]
+    packed = docs.select(
+        F.struct(*others).alias("row"),
+        F.col(id_column).alias("key"),
+        document_digest(F.col(host_column), F.col(text_column)).alias("digest"),
+        F.col(text_column).alias("text"),
     )
-    text = without_lines(F.col(text_column), F.col("_keys"))
-    return docs.join(kept, same).withColumn(text_column, text).select(*docs.columns)
+    same = F.col("key").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    cleaned = without_lines(F.col("text"), F.col("_keys")).alias(text_column)
+    return packed.join(kept, same).select("row.*", cleaned).select(*docs.columns)
 
 
 def without_lines(text: Column, keys: Column) -> Column:

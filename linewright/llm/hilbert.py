@@ -111,12 +111,13 @@ def quantised(df: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
             for i, d in enumerate(dimensions)
         ]
     ).first()
-    cells = []
-    for i, dimension in enumerate(dimensions):
-        edges = F.array(*[F.lit(x).cast("long") for x in cuts[i] or []]).cast("array<bigint>")
+
+    def cell(dimension: str, edges: list[int] | None) -> Column:
         value = F.coalesce(ordinal(df, dimension), F.lit(-(1 << 63)))
-        cells.append(F.size(F.filter(edges, lambda edge, value=value: edge < value)))
-    return cells
+        known = F.array(*[F.lit(x).cast("long") for x in edges or []]).cast("array<bigint>")
+        return F.size(F.filter(known, lambda edge: edge < value))
+
+    return [cell(dimension, cuts[i]) for i, dimension in enumerate(dimensions)]
 
 
 def hilbert_shards(
@@ -154,11 +155,12 @@ def hilbert_shards(
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_column: str = "doc_id") -> None:
     """Write the rows of ``docs`` into one folder per shard, in slot order."""
     places = placed.select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.drop("shard", "slot").join(places, F.col(id_column).eqNullSafe(F.col("_id")))
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"))
+    rows = packed.join(places, F.col(f"row.{id_column}").eqNullSafe(F.col("_id")))
     (
-        rows.drop("_id")
-        .repartition("shard")
+        rows.repartition("shard")
         .sortWithinPartitions("shard", "slot")
+        .select("row.*", "shard")
         .write.partitionBy("shard")
         .parquet(path)
     )

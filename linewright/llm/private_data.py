@@ -36,6 +36,8 @@ SAMPLE_DOCUMENTS = 40_000
 # Documents of more candidates than this are left out of the fit, not of the search.
 SAMPLE_CANDIDATES = 200
 LEAST_BELIEF = 0.9
+# Agreement of linked words where the sample says nothing else.
+AGREEMENT = 4.0
 ROUNDS = 30
 SETTLED = 1e-4
 TRAINING_STEPS = 200
@@ -258,15 +260,16 @@ def fit_field(graphs: list[tuple[list[str], list[int], list[tuple[int, int, int]
         context.append(around)
         labels += given
         rows += [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
+    # Weights are drawn towards these: words that repeat or resemble each other agree.
     pair = np.zeros((_LINKS, _LABELS, _LABELS))
-    # With nothing to learn from, likes attract a little.
-    pair += 0.5 * np.eye(_LABELS)
+    pair[_SAME:] = AGREEMENT * np.eye(_LABELS)
     unary = np.zeros((max(1, len(names)), _LABELS))
     if not labels:
         return Field(names, unary, pair)
     x, y = np.array(rows), np.array(labels)
     c = np.concatenate(context)
-    weights = np.zeros((c.shape[1], _LABELS))
+    start = np.concatenate([pair, pair]).reshape(-1, _LABELS)
+    weights = start.copy()
     target = np.eye(_LABELS)[y]
     rate, decay = 2.0, 1e-4
     for _ in range(TRAINING_STEPS):
@@ -277,11 +280,10 @@ def fit_field(graphs: list[tuple[list[str], list[int], list[tuple[int, int, int]
         for column in range(x.shape[1]):
             np.add.at(step, x[:, column], error)
         unary -= rate * (step + decay * unary)
-        weights -= rate * (c.T @ error + decay * weights)
+        weights -= rate * (c.T @ error + decay * (weights - start))
     before = weights[: _LINKS * _LABELS].reshape(_LINKS, _LABELS, _LABELS)
     after = weights[_LINKS * _LABELS :].reshape(_LINKS, _LABELS, _LABELS)
-    pair += 0.5 * (before + after.transpose(0, 2, 1))
-    return Field(names, unary, pair)
+    return Field(names, unary, 0.5 * (before + after.transpose(0, 2, 1)))
 
 
 def added_spans(graph: Graph, field: Field) -> list[tuple[int, int, int, int]]:

@@ -157,14 +157,13 @@ counted AS (
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    coalesce(r.n, 0) AS n_repeat_words, len(w) - coalesce(x.n, 0) AS n_left,
-    x.n IS NOT NULL AS touched
+    coalesce(r.n, 0) AS n_repeat_words, len(w) - coalesce(x.n, 0) AS n_left
   FROM d LEFT JOIN repeated r USING (doc_id) LEFT JOIN removed x USING (doc_id)),
 base AS (
   SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   n_left::BIGINT AS n_left,
-  NOT base_failed AND NOT (touched AND (n_left < 10 OR n_left * 100 < n_words * 30)) AS kept
+  NOT base_failed AND n_left * 100 >= n_words * 30 AS kept
 FROM base
 """
 

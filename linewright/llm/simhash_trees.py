@@ -350,5 +350,6 @@ def one_of_each(
     found = simhash_components(docs, shingle, distance, id_column, text_column)
     # A row may share its doc_id with others, so the id decides, once.
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.join(kept, F.col(id_column).cast("long") == F.col("_id"), "left_semi")
-    return keyed.unionByName(docs.filter(F.col(id_column).isNull()))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("key"))
+    keyed = packed.join(kept, F.col("key") == F.col("_id"), "left_semi")
+    return keyed.unionByName(packed.filter(F.col("key").isNull())).select("row.*")
