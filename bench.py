@@ -35,7 +35,12 @@ HEADLINE = [
     "near_duplicate_pairs",
     "dedup_exact",
     "dedup_simhash",
+    "dedup_simhash_k5",
+    "dedup_simhash_k8",
     "dedup_json_lines",
+    "export_unique",
+    "write_fixed",
+    "search_all_with_context",
     "count_tokens",
     "token_budget",
     "stream_fix",

@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewright.plans.bitmaps import with_flags
+
 
 def annotate(lines: DataFrame, issues: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Add ``status`` (``error`` before ``duplicate`` before ``ok``) and ``label``.
 
-    The small facts are combined per row first, so the lines take part in one join only.
+    Issues and copies become bitmaps of row ids, which are attached to the lines where they are.
     """
     errors = issues.select("row_id", F.lit(True).alias("_error"), F.lit(False).alias("_dup"))
     copies = duplicates.filter("is_duplicate").select(
         "row_id", F.lit(False).alias("_error"), F.lit(True).alias("_dup")
     )
-    marks = (
-        errors.unionByName(copies)
-        .groupBy("row_id")
-        .agg(F.max("_error").alias("_error"), F.max("_dup").alias("_dup"))
-    )
-    marked = lines.join(marks, "row_id", "left")
+    marked = with_flags(lines, errors.unionByName(copies), ["_error", "_dup"])
     status = F.when(F.col("_error"), "error").when(F.col("_dup"), "duplicate").otherwise("ok")
     return marked.select(
         "row_id",

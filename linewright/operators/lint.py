@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions.json_values import line_facts
 from linewright.functions.text import is_blank
+from linewright.plans.bitmaps import with_flags
 
 INVALID_JSON = "invalid_json"
 MISSING_KEY = "missing_key"
@@ -172,8 +173,9 @@ def first_issue(issues: DataFrame) -> DataFrame:
 
 
 def rows_with_issues(lines: DataFrame, issues: DataFrame) -> DataFrame:
-    """Lines that appear in a table of issues."""
-    return lines.join(issues.select("row_id"), "row_id", "left_semi")
+    """Lines that appear in a table of issues, found by bitmaps: the lines are not shuffled."""
+    marks = issues.select("row_id", F.lit(True).alias("_issue"))
+    return with_flags(lines, marks, ["_issue"]).filter("_issue").select(*lines.columns)
 
 
 def failing_rows(

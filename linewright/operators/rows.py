@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions.text import numbered
 
-# How many lines one range request and one preview return.
-MAX_RANGE = 500
+# How many lines a range request and a preview return unless told otherwise.
 DEFAULT_RANGE = 10
 PREVIEW_LINES = 100
 
@@ -31,8 +30,8 @@ def get_line(lines: DataFrame, index: int) -> DataFrame:
 
 
 def get_lines(lines: DataFrame, start: int = 0, count: int = DEFAULT_RANGE) -> DataFrame:
-    """Lines ``[start, start + count)`` in order; one request covers at most 500."""
-    return _window(lines, start, min(count, MAX_RANGE))
+    """Lines ``[start, start + count)`` in order."""
+    return _window(lines, start, count)
 
 
 def _window(lines: DataFrame, start: int | Column, count: int) -> DataFrame:
@@ -47,9 +46,8 @@ def format_numbered(lines: DataFrame) -> DataFrame:
 
 def range_header(lines: DataFrame, start: int = 0, count: int = DEFAULT_RANGE) -> DataFrame:
     """The heading above a range: ``Lines a-b of N:`` or a note that there are none."""
-    size = min(count, MAX_RANGE)
     total = F.col("line_count")
-    last = F.least(F.lit(start + size), total)
+    last = F.least(F.lit(start + count), total)
     found = F.format_string("Lines %d-%d of %d:", F.lit(start + 1), last, total)
     none = F.format_string("No lines found at index %d (dataset has %d lines)", F.lit(start), total)
     return line_count(lines).select(F.when(last > start, found).otherwise(none).alias("header"))

@@ -9,7 +9,6 @@ from linewright.functions.text import UNICODE_FLAGS, numbered
 from linewright.operators.rows import first_n_matches, line_count
 from linewright.plans.durable import written
 
-DEFAULT_MATCHES = 50
 # With this many wanted rows or fewer, their ids are sent to the lines instead of
 # shuffling the lines to them.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -27,7 +26,7 @@ def search(lines: DataFrame, pattern: str, limit: int | None = None) -> DataFram
 
 
 def search_with_context(
-    lines: DataFrame, pattern: str, context: int, limit: int | None = DEFAULT_MATCHES
+    lines: DataFrame, pattern: str, context: int, limit: int | None = None
 ) -> DataFrame:
     """Each hit with ``context`` lines on either side, as ``row_id``, ``context``.
 
@@ -60,15 +59,21 @@ def search_with_context(
     )
 
 
-def search_summary(
-    lines: DataFrame, pattern: str, limit: int | None = DEFAULT_MATCHES
-) -> DataFrame:
-    """One row: ``Found n match(es) for `p` in N lines`` or a note that there are none."""
+def search_summary(lines: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
+    """One row: ``Found n match(es) for `p` in N lines`` or a note that there are none.
+
+    With a limit, a count that reaches it is called that of the first matches.
+    """
     found = search(lines, pattern, limit).agg(F.count(F.lit(1)).alias("matches"))
     total = line_count(lines).scalar()
     some = F.format_string(
         "Found %d match(es) for `%s` in %d lines", F.col("matches"), F.lit(pattern), total
     )
+    if limit is not None:
+        first = F.format_string(
+            "Found the first %d match(es) for `%s` in %d lines", F.col("matches"), F.lit(pattern), total
+        )
+        some = F.when(F.col("matches") == limit, first).otherwise(some)
     none = F.lit(f"No matches found for pattern: `{pattern}`")
     return found.select(
         F.when(F.col("matches") == 0, none).otherwise(some).alias("summary"), "matches"

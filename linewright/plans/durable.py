@@ -14,19 +14,35 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+WORK_KEY = "spark.linewright.workDir"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Temporary folders of applications in local mode that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
+def _is_local(master: str) -> bool:
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's, or a temporary one in local mode."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    """The folder for intermediate tables.
+
+    ``spark.linewright.workDir`` if it is set, else the cluster's ``spark.checkpoint.dir``;
+    in local mode, where one machine does all the work, a temporary one without either.
+    """
+    context = spark.sparkContext
+    folder = (
+        spark.conf.get(WORK_KEY, None)
+        or spark.conf.get(CHECKPOINT_KEY, None)
+        or context.getCheckpointDir()
+    )
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _is_local(context.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="linewright-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="linewright-")
+    return _LOCAL[context.applicationId]
 
 
 def _own_folder(spark: SparkSession) -> str:

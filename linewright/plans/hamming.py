@@ -6,24 +6,25 @@ and Das Sarma, WWW 2007).  Each fingerprint is emitted once per choice under the
 the chosen blocks, and an equality join finds every pair; a pair is reported only under
 its first matching choice, so nothing needs de-duplicating.
 
-Large buckets are never expanded into all their pairs:
+Bucket sizes are measured wherever a bucket could be large, and large ones are split:
 
-* A bucket with many rows on the left is joined on *variants*: the left rows with up to
-  ``k - k // 2`` of their free bits flipped against the right rows with up to ``k // 2``
-  flipped.  Only true pairs meet, and since fingerprints are distinct, no
+* Where flipping bits is cheaper than testing pairs, the bucket is joined on *variants*: the
+  left rows with up to ``k - k // 2`` of their free bits flipped against the right rows with
+  up to ``k // 2`` flipped.  Only true pairs meet, and since fingerprints are distinct, no
   variant is shared by more rows than a ball of that radius holds.
-* A bucket with few rows on the left and very many on the right is salted.
-
-Bucket sizes are looked at only when the input is large enough for one to matter.
+* Otherwise the bucket is laid over a grid: its left rows are dealt into rows of cells and its
+  right rows into columns, as many as its measured product asks for, so that no task tests
+  more than CELL_TESTS pairs of it, at any distance.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions.hashing import hamming_distance
@@ -32,17 +33,10 @@ from linewright.plans.durable import written
 BITS = 64
 _SIGN = 1 << 63
 
-# Variants per row beyond which salting is the cheaper way through a large bucket.
-MAX_VARIANTS = 20_000
-# Fewer left rows than this cannot make a bucket worth counting for.
-COUNTED_ROWS = 20_000
 # Fingerprints looked at to deal bits into blocks.
 BALANCE_ROWS = 100_000
-# Rows of one bucket on the right side before it is spread over several tasks.
-SALT_ROWS = 1_000_000
-SALTS = 64
-# Sampled rows that give such a bucket away.
-LONG_HITS = 200
+# Pairs of one bucket that one task tests; a bucket with more is split.
+CELL_TESTS = 20_000_000
 # Keys of the left side that may be broadcast: about 64 bytes each in memory.
 BROADCAST_KEYS = 2_000_000
 
@@ -173,28 +167,38 @@ def _lowest_bits(delta: Column, count: int) -> Column:
     return delta.bitwiseXOR(rest)
 
 
-def _flips(scheme: BlockScheme, radius: int) -> list[tuple[int, int]]:
-    """Per choice, every way to flip up to ``radius`` bits outside its mask."""
-    rows = []
-    for number, mask in enumerate(scheme.masks):
-        free = [1 << i for i in range(BITS) if not mask >> i & 1]
-        for flips in range(radius + 1):
-            rows += [(number, signed(sum(bits))) for bits in combinations(free, flips)]
-    return rows
+def _flips(spark: SparkSession, scheme: BlockScheme, radius: int) -> DataFrame:
+    """``choice, flip``: per choice, every way to flip up to ``radius`` bits outside its mask.
+
+    Spark builds them bit by bit: each round adds one bit above the highest so far.
+    """
+    free = [(number, mask) for number, mask in enumerate(scheme.masks)]
+    masks = spark.createDataFrame([(n, signed(m)) for n, m in free], "choice int, mask bigint")
+    single = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    none = masks.select("choice", "mask", F.lit(0).cast("bigint").alias("flip"), F.lit(-1).alias("top"))
+    rounds = [none]
+    for _ in range(radius):
+        grown = rounds[-1].filter(F.col("top") < BITS - 1).select(
+            "choice", "mask", "flip", F.explode(F.sequence(F.col("top") + 1, F.lit(BITS - 1))).alias("bit")
+        )
+        unset = grown.filter(F.col("mask").bitwiseAND(single) == 0)
+        rounds.append(
+            unset.select("choice", "mask", F.col("flip").bitwiseOR(single).alias("flip"), F.col("bit").alias("top"))
+        )
+    return reduce(DataFrame.unionAll, rounds).select("choice", "flip")
 
 
 def _variant_pairs(left: DataFrame, right: DataFrame, scheme: BlockScheme) -> DataFrame:
     """Pairs of large buckets: rows meet on a common variant of their fingerprints.
 
-    The flip tables hold a fixed number of rows per choice, so broadcasting them is safe.
+    The flip tables depend on the distance alone and are small where variants pay.
     A pair shares several variants; it counts only where the left side flipped the lowest
     differing bits.
     """
     spark = left.sparkSession
     flips_left, flips_right = scheme.radii
-    schema = "choice int, flip bigint"
-    left_flips = F.broadcast(spark.createDataFrame(_flips(scheme, flips_left), schema))
-    right_flips = F.broadcast(spark.createDataFrame(_flips(scheme, flips_right), schema))
+    left_flips = F.broadcast(_flips(spark, scheme, flips_left))
+    right_flips = F.broadcast(_flips(spark, scheme, flips_right))
     spread_left = left.join(left_flips, "choice").select(
         "choice", "a", "fp_a", "flip", F.col("fp_a").bitwiseXOR(F.col("flip")).alias("variant")
     )
@@ -207,43 +211,46 @@ def _variant_pairs(left: DataFrame, right: DataFrame, scheme: BlockScheme) -> Da
     return _pairs(joined.filter(_is_pair(scheme) & (F.col("flip") == lowest)))
 
 
-def _salted_pairs(
-    left: DataFrame, right: DataFrame, scheme: BlockScheme, salts: int
-) -> DataFrame:
-    """Pairs of buckets with a long right side, which is dealt over ``salts`` tasks."""
-    copies = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread_left = left.withColumn("salt", F.explode(copies))
-    spread_right = right.withColumn("salt", F.pmod(F.hash("b"), F.lit(salts)))
-    joined = spread_left.join(spread_right, ["choice", "key", "salt"])
+def _grid_pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, scheme: BlockScheme) -> DataFrame:
+    """Pairs of large buckets, each over a grid of ``across`` by ``down`` cells.
+
+    ``sizes`` has ``choice, key, across, down``.  A left row goes to one row of cells and is
+    copied along it, a right row to one column.
+    """
+    bucket = ["choice", "key"]
+    placed_left = left.join(sizes, bucket).select(
+        *bucket, "a", "fp_a",
+        F.pmod(F.xxhash64("a"), F.col("down")).cast("int").alias("y"),
+        F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"),
+    )
+    placed_right = right.join(sizes, bucket).select(
+        *bucket, "b", "fp_b",
+        F.pmod(F.xxhash64("b"), F.col("across")).cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
+    )
+    joined = placed_left.hint("merge").join(placed_right, [*bucket, "x", "y"])
     return _pairs(joined.filter(_is_pair(scheme)))
 
 
 def _large_buckets(
-    left: DataFrame,
-    right: DataFrame,
-    scheme: BlockScheme,
-    limit: int | None,
-    salt_rows: int | None,
+    keyed_left: DataFrame, keyed_right: DataFrame, scheme: BlockScheme, limit: int, tests: int
 ) -> DataFrame:
-    """``choice``, ``key``, ``wide`` of buckets that need care.
+    """``choice, key, wide, across, down`` of buckets of more than ``tests`` pairs.
 
-    Wide ones have more than ``limit`` left rows, counted exactly.  Long ones have about
-    ``salt_rows`` right rows or more; a sample finds them, since one that slips through is
-    joined all the same and only makes an uneven task.  None skips either kind.
+    Wide ones have more than ``limit`` left rows and go by variants.  The cells of a grid are as
+    square as the bucket allows, since each side is copied once per cell of the other.
     """
-    found = []
-    if limit is not None:
-        counts = _keyed(left, scheme, "a").groupBy("choice", "key").agg(F.count("a").alias("n"))
-        found.append(counts.filter(F.col("n") > limit).withColumn("wide", F.lit(True)))
-    if salt_rows is not None:
-        share = min(1.0, LONG_HITS / salt_rows)
-        seen = right if share == 1.0 else right.sample(share, seed=0)
-        counts = _keyed(seen, scheme, "b").groupBy("choice", "key").agg(F.count("b").alias("n"))
-        found.append(
-            counts.filter(F.col("n") > salt_rows * share).withColumn("wide", F.lit(False))
-        )
-    buckets = found[0] if len(found) == 1 else found[0].unionAll(found[1])
-    return buckets.groupBy("choice", "key").agg(F.max("wide").alias("wide"))
+    lefts = keyed_left.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"))
+    rights = keyed_right.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("m"))
+    side = F.lit(float(tests) ** 0.5)
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    # A side shorter than the square's takes one cell, and the other side the rest.
+    down = F.greatest(F.ceil(n / F.greatest(side, tests / m)), F.lit(1)).cast("int")
+    across = F.greatest(F.ceil(m / F.greatest(side, tests / n)), F.lit(1)).cast("int")
+    large = lefts.join(rights, ["choice", "key"]).filter(n * m > tests)
+    return large.select(
+        "choice", "key", (F.col("n") > limit).alias("wide"), across.alias("across"), down.alias("down")
+    )
 
 
 def pairs_within(
@@ -253,8 +260,7 @@ def pairs_within(
     left_rows: int,
     right_rows: int,
     bucket_limit: int | None = None,
-    salt_rows: int = SALT_ROWS,
-    salts: int = SALTS,
+    cell_tests: int = CELL_TESTS,
     broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """All pairs ``a < b``, ``a`` on the left and ``b`` on the right, within ``scheme.k``.
@@ -262,12 +268,11 @@ def pairs_within(
     Both sides are ``id BIGINT, fp BIGINT`` with distinct fingerprints per side, written
     or otherwise cheap to read again.  A left side of at most ``broadcast_keys`` keys is
     broadcast, so the right side is not shuffled; a larger one never is.
-    ``bucket_limit`` is the number of left rows beyond which a bucket counts as large; by
-    default that is where variants become cheaper than pairs.
+    Buckets of more than ``cell_tests`` pairs are split.  Of these, the ones with more than
+    ``bucket_limit`` left rows go by variants; by default that is where variants, which are so
+    many per row, become cheaper than pairs, and at larger distances that is never.
     """
     limit = bucket_limit if bucket_limit is not None else scheme.variants()
-    counted_rows = limit if bucket_limit is not None else max(limit, COUNTED_ROWS)
-    by_variants = scheme.variants() <= MAX_VARIANTS
     small_left = left_rows * len(scheme.masks) <= broadcast_keys
     keyed_left, keyed_right = _keyed(left, scheme, "a"), _keyed(right, scheme, "b")
     bucket = ["choice", "key"]
@@ -276,32 +281,25 @@ def pairs_within(
         placed = F.broadcast(one) if small_left else one.hint("merge")
         return _pairs(placed.join(other, bucket).filter(_is_pair(scheme)))
 
-    count_left = by_variants and left_rows > counted_rows
-    count_right = not small_left and right_rows > salt_rows
-    if not (count_left or count_right):
+    if left_rows * right_rows <= cell_tests:
+        # No bucket can hold more pairs than there are.
         return plain(keyed_left, keyed_right)
-    large = _large_buckets(
-        left, right, scheme, limit if count_left else None, salt_rows if count_right else None
-    )
+    large = _large_buckets(keyed_left, keyed_right, scheme, limit, cell_tests)
     hot, hot_count = written(large, "buckets")
     if not hot_count:
         return plain(keyed_left, keyed_right)
-
+    keys = hot.select(*bucket)
     result = plain(
-        keyed_left.join(hot, bucket, "left_anti"), keyed_right.join(hot, bucket, "left_anti")
+        keyed_left.join(keys, bucket, "left_anti"), keyed_right.join(keys, bucket, "left_anti")
     )
-    ways = []
-    if count_left:
-        ways.append((F.col("wide"), _variant_pairs, ()))
-    if count_right:
-        ways.append((~F.col("wide"), _salted_pairs, (salts,)))
-    for kind, join, extra in ways:
-        chosen = hot.filter(kind).select(*bucket)
-        part = join(
-            keyed_left.join(chosen, bucket, "left_semi"),
-            keyed_right.join(chosen, bucket, "left_semi"),
-            scheme,
-            *extra,
+    wide = hot.filter("wide").select(*bucket)
+    if hot.filter("wide").limit(1).count():
+        result = result.unionAll(
+            _variant_pairs(
+                keyed_left.join(wide, bucket, "left_semi"),
+                keyed_right.join(wide, bucket, "left_semi"),
+                scheme,
+            )
         )
-        result = result.unionAll(part)
-    return result
+    sizes = hot.filter(~F.col("wide")).select(*bucket, "across", "down")
+    return result.unionAll(_grid_pairs(keyed_left, keyed_right, sizes, scheme))

@@ -39,16 +39,20 @@ def display_name(target: Column) -> Column:
 
 
 def select_split_files(
-    listing: DataFrame, config: str, split: str, order: str = "path"
+    listing: DataFrame, config: str, split: str, order: str = "path", first_file: bool = False
 ) -> DataFrame:
-    """Listed files (``config``, ``split``, ``path``, ...) of one split, or the first file.
+    """Listed files (``config``, ``split``, ``path``, ...) of one split.
 
-    Every shard of the split is returned.  Wanting ``default`` accepts any configuration.
+    Every shard of the split is returned, and none if there is no such split.  Wanting
+    ``default`` accepts any configuration.  With ``first_file``, a split that is not there
+    is answered with the first file of the listing.
     """
     wanted = F.col("split") == split
     if config != DEFAULT_CONFIG:
         wanted = wanted & (F.col("config") == config)
     matching = listing.filter(wanted)
+    if not first_file:
+        return matching
     found = matching.limit(1).agg(F.count(F.lit(1))).scalar()
     fallback = listing.orderBy(order).limit(1).filter(found == 0)
     return matching.unionByName(fallback)

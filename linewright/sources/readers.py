@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +15,13 @@ from pyspark.sql import types as T
 
 from linewright.functions.text import is_blank
 from linewright.sources.formats import CSV, PARQUET, TSV, parse_format
-from linewright.sources.rowid import parquet_row_id, with_row_id
+from linewright.sources.rowid import (
+    POSITION,
+    numbered_rows,
+    parquet_row_id,
+    scan_position,
+    with_row_id,
+)
 
 log = logging.getLogger(__name__)
 
@@ -44,45 +54,95 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _json_value(field: T.StructField) -> Column:
-    """A top-level column in the form its JSON text should take."""
-    column = named(field.name)
-    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-        micros = F.date_format(column, "SSSSSS")
-        fraction = (
-            F.when(micros == "000000", "")
-            .when(F.substring(micros, 4, 3) == "000", F.concat(F.lit("."), F.left(micros, F.lit(3))))
-            .otherwise(F.concat(F.lit("."), micros))
-        )
-        zone = F.lit("Z") if isinstance(field.dataType, T.TimestampType) else F.lit("")
-        text = F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), fraction, zone)
-        return text.alias(field.name)
-    if isinstance(field.dataType, T.BinaryType):
-        return F.lower(F.hex(column)).alias(field.name)
-    return column.alias(field.name)
+def _timestamp_text(column: Column, zoned: bool) -> Column:
+    micros = F.date_format(column, "SSSSSS")
+    fraction = (
+        F.when(micros == "000000", "")
+        .when(F.substring(micros, 4, 3) == "000", F.concat(F.lit("."), F.left(micros, F.lit(3))))
+        .otherwise(F.concat(F.lit("."), micros))
+    )
+    zone = F.lit("Z") if zoned else F.lit("")
+    return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), fraction, zone)
+
+
+def _is_plain(kind: T.DataType) -> bool:
+    """Whether ``to_json`` already writes the type, and all it holds, as it should be."""
+    if isinstance(kind, T.StructType):
+        return all(_is_plain(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _is_plain(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _is_plain(kind.keyType) and _is_plain(kind.valueType)
+    return not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.BinaryType))
+
+
+def _json_form(column: Column, kind: T.DataType) -> Column:
+    """A value in the form its JSON text should take, at any depth.
+
+    Timestamps keep their microseconds, and binary values are hexadecimal.
+    """
+    if _is_plain(kind):
+        return column
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return _timestamp_text(column, isinstance(kind, T.TimestampType))
+    if isinstance(kind, T.BinaryType):
+        return F.lower(F.hex(column))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _json_form(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keyed = F.transform_keys(column, lambda k, v: _json_form(k, kind.keyType))
+        return F.transform_values(keyed, lambda k, v: _json_form(v, kind.valueType))
+    fields = [_json_form(column.getField(f.name), f.dataType).alias(f.name) for f in kind]
+    return F.when(column.isNotNull(), F.struct(*fields))
 
 
 def row_to_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """One JSON object per row, columns in order, NULLs left out."""
     wanted = list(columns) if columns is not None else df.columns
-    fields = [df.schema[name] for name in wanted]
-    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
-    return F.to_json(F.struct(*[_json_value(field) for field in fields]), micros)
+    fields = [_json_form(named(n), df.schema[n].dataType).alias(n) for n in wanted]
+    return F.to_json(F.struct(*fields))
 
 
 def read_parquet_lines(
     spark: SparkSession, paths: Paths, keep_source: bool = False
 ) -> DataFrame:
-    frame = spark.read.parquet(*_as_list(paths))
+    """Rows as JSON lines; files may differ in columns, and no column of any of them is lost."""
+    frame = spark.read.option("mergeSchema", "true").parquet(*_as_list(paths))
     lines = parquet_row_id(frame, keep_source)
     source = ["source_path"] if keep_source else []
     return lines.select("row_id", row_to_json(frame).alias("line"), *source)
 
 
-def _header(spark: SparkSession, paths: list[str], options: dict) -> list[str]:
-    """Column names of the first file: one row is read."""
-    first = spark.read.options(**options).csv(paths).first()
-    return [] if first is None else [value or "" for value in first]
+def _first_record(spark: SparkSession, path: str, sep: str) -> tuple[str, ...] | None:
+    """The header of one file: its first lines are read, through Spark's own filesystems."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        source = codec.createInputStream(stream) if codec else stream
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"))
+        text = lines.readLine()
+        while text is not None and text.count('"') % 2:
+            more = lines.readLine()
+            if more is None:
+                break
+            text += "\n" + more
+    finally:
+        stream.close()
+    return None if text is None else tuple(next(csv.reader([text.lstrip("\ufeff")], delimiter=sep), ()))
+
+
+def _by_header(spark: SparkSession, paths: list[str], sep: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header.  The driver lists the files of a scan anyway."""
+    files = sorted(spark.read.text(paths).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda file: _first_record(spark, unquote(file), sep), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files):
+        if header is not None:
+            groups.setdefault(header, []).append(file)
+    return groups
 
 
 def read_csv_lines(
@@ -92,25 +152,28 @@ def read_csv_lines(
     keep_source: bool = False,
     multiline: bool = True,
 ) -> DataFrame:
-    """Delimited text with a header row; every value is a string, keys are sorted.
+    """Delimited text with a header row per file; every value is a string, keys are sorted.
 
-    A repeated header keeps its last column.  A ragged row, or a file whose header differs
-    from the first file's, fails the query.  Quoted newlines need ``multiline``, which makes
+    Files may have different headers; each is read by its own.  A repeated name keeps its last
+    column.  A ragged row fails the query.  Quoted newlines need ``multiline``, which makes
     each file one task; switch it off for large files that have none, so they split.
     """
-    paths = _as_list(paths)
-    options = {"sep": sep, "escape": '"', "multiLine": multiline}
-    names = _header(spark, paths, options)
-    distinct = len({name.lower() for name in names}) == len(names) and all(names)
-    columns = names if distinct else [f"_c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    reader = spark.read.options(header=True, mode="FAILFAST", **options)
-    frame = reader.option("enforceSchema", not distinct).schema(schema).csv(paths)
-    last = dict(zip(names, columns))
-    pairs = [F.coalesce(named(last[name]), F.lit("")).alias(name) for name in sorted(last)]
-    lines = with_row_id(frame, keep_source)
-    source = ["source_path"] if keep_source else []
-    return lines.select("row_id", F.to_json(F.struct(*pairs)).alias("line"), *source)
+    groups = _by_header(spark, _as_list(paths), sep)
+    options = {"sep": sep, "escape": '"', "multiLine": multiline, "header": True}
+    scans = []
+    for header, files in groups.items():
+        # Columns by place: the header of these files is known, so it is only skipped.
+        columns = [f"_c{i}" for i in range(len(header))]
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+        reader = spark.read.options(mode="FAILFAST", enforceSchema=True, **options)
+        last = dict(zip(header, columns))
+        pairs = [F.coalesce(named(last[n]), F.lit("")).alias(n) for n in sorted(last)]
+        frame = scan_position(reader.schema(schema).csv([unquote(f) for f in files]))
+        scans.append(frame.select(F.to_json(F.struct(*pairs)).alias("line"), *POSITION))
+    if not scans:
+        empty = "row_id bigint, line string" + (", source_path string" if keep_source else "")
+        return spark.createDataFrame([], empty)
+    return numbered_rows(reduce(DataFrame.unionByName, scans), ["line"], keep_source)
 
 
 def read_tsv_lines(spark: SparkSession, paths: Paths, **options) -> DataFrame:

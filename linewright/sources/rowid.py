@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_SPLITS = 1_000_000
 
 _FILE, _BLOCK, _TICK = "_file", "_block", "_tick"
+POSITION = (_FILE, _BLOCK, _TICK)
 
 
 def scan_position(df: DataFrame) -> DataFrame:
@@ -68,10 +69,15 @@ def with_row_id(df: DataFrame, keep_source: bool = False) -> DataFrame:
 
     Files count in path order.  ``keep_source`` also keeps the path as ``source_path``.
     """
-    columns = df.columns
-    positioned = scan_position(df)
-    offsets = split_offsets(positioned.select(_FILE, _BLOCK, _TICK))
-    if split_bound(df) <= MAX_BROADCAST_SPLITS:
+    return numbered_rows(scan_position(df), df.columns, keep_source)
+
+
+def numbered_rows(
+    positioned: DataFrame, columns: list[str], keep_source: bool = False
+) -> DataFrame:
+    """``row_id`` and ``columns`` of one or several scans that ``scan_position`` has marked."""
+    offsets = split_offsets(positioned.select(*POSITION))
+    if split_bound(positioned) <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     source = [F.col(_FILE).alias("source_path")] if keep_source else []
     return positioned.join(offsets, [_FILE, _BLOCK]).select(

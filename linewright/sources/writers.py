@@ -7,12 +7,9 @@ import posixpath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.operators.dedup import duplicate_bitmap
 from linewright.operators.fix import skip_policy
-from linewright.plans.durable import written
+from linewright.plans.bitmaps import with_flags
 
-# Bitmaps of 4 KB that may be broadcast: 200 MB, flags for over a billion and a half rows.
-BITMAP_BUCKETS = 50_000
 # Rows of one part file: no more than the first, and few parts below the second.
 MOST_ROWS, FEW_ROWS = 200_000, 5_000
 # Ids count as dense while they fill at least one part in this many of their range.
@@ -50,26 +47,16 @@ def write_lines(
 
 
 def unique_lines(
-    lines: DataFrame, duplicates: DataFrame, bitmap_buckets: int = BITMAP_BUCKETS
+    lines: DataFrame, duplicates: DataFrame, bitmap_buckets: int | None = None
 ) -> DataFrame:
     """Lines not flagged as duplicates, without those that are not valid UTF-8.
 
-    The flags are packed into bitmaps and written.  Up to ``bitmap_buckets`` of them
-    (4 KB each, 32,768 row ids) are broadcast, so the lines need no shuffle; beyond that
-    the flagged ids take part in an anti join.
+    The flags are attached as bitmaps, so the lines need no shuffle.
     """
     readable = lines.filter(F.is_valid_utf8("line"))
-    packed, buckets = written(duplicate_bitmap(duplicates), "bitmap")
-    if buckets > bitmap_buckets:
-        flagged = duplicates.filter("is_duplicate").select("row_id")
-        return readable.join(flagged, "row_id", "left_anti")
-    bits = F.broadcast(packed.select("bucket", "bitmap"))
-    bucket = F.bitmap_bucket_number("row_id").alias("bucket")
-    marked = readable.select("*", bucket).join(bits, "bucket", "left")
-    position = F.bitmap_bit_position("row_id")
-    byte = F.substring("bitmap", F.floor(position / 8).cast("int") + 1, F.lit(1))
-    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int"))
-    return marked.filter(F.col("bitmap").isNull() | (bit == 0)).select(*lines.columns)
+    marks = duplicates.filter("is_duplicate").select("row_id", F.lit(True).alias("_copy"))
+    marked = with_flags(readable, marks, ["_copy"], bitmap_buckets)
+    return marked.filter(~F.col("_copy")).select(*lines.columns)
 
 
 def export_unique(

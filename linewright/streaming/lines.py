@@ -15,21 +15,29 @@ from linewright.plans.durable import fresh_path
 from linewright.sources.formats import CSV, PARQUET, TSV, parse_format
 from linewright.sources.readers import row_to_json
 
+# A query keeps a short record of each of its units; this only bounds a runaway one.
+MAX_UNITS = 10_000_000
+_REMEMBERED = "spark.sql.streaming.numRecentProgressUpdates"
 PROGRESS_SCHEMA = "batch bigint, rows bigint, duration_ms bigint"
 
 
 def stream_rows(
     spark: SparkSession, path: str, schema: StructType, fmt: str = "auto", files: int = 1
 ) -> DataFrame:
-    """Typed rows from a folder; each micro-batch takes ``files`` new files."""
+    """Typed rows from a folder; each micro-batch takes ``files`` new files.
+
+    A row that does not fit the schema stops the stream, as it does when read in batch.
+    """
     chosen = parse_format(fmt, path)
     reader = spark.readStream.option("maxFilesPerTrigger", files).schema(schema)
     if chosen == PARQUET:
         return reader.parquet(path)
     if chosen in (CSV, TSV):
         sep = "\t" if chosen == TSV else ","
-        return reader.csv(path, header=True, sep=sep, escape='"', multiLine=True)
-    return reader.json(path)
+        return reader.csv(
+            path, header=True, sep=sep, escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False
+        )
+    return reader.json(path, mode="FAILFAST")
 
 
 def stream_lines(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -54,14 +62,20 @@ def load_available(stream: DataFrame, label: str = "stream") -> tuple[StreamingQ
     """
     spark = stream.sparkSession
     target = fresh_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{target}/data")
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    # All of the query's units are remembered, not the last few.
+    usual = spark.conf.get(_REMEMBERED)
+    spark.conf.set(_REMEMBERED, MAX_UNITS)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{target}/data")
+            .option("checkpointLocation", f"{target}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_REMEMBERED, usual)
     return query, spark.read.schema(stream.schema).parquet(f"{target}/data")
 
 
@@ -72,9 +86,10 @@ def loaded_units(query: StreamingQuery) -> int:
 
 
 def stream_progress(query: StreamingQuery) -> DataFrame:
-    """The latest units: one row per micro-batch that brought rows.
+    """The units so far: one row per micro-batch that brought rows.
 
-    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` of them.
+    All of them for a query of ``load_available``; of others Spark keeps the last
+    ``spark.sql.streaming.numRecentProgressUpdates``.
     """
     spark = SparkSession.active()
     rows = [

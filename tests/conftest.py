@@ -10,10 +10,9 @@ from linewright.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[8]", shuffle_partitions=8, driver_memory="6g")
+    work_dir = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("tests", "local[8]", 8, driver_memory="6g", work_dir=work_dir)
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linewright.operators import dedup as D
+from linewright.plans import hamming
 from linewright.plans.attach import attach_groups
 from linewright.plans.durable import written
 from linewright.plans.hamming import BlockScheme, ball, pairs_within, signed
@@ -49,9 +50,9 @@ def frame_of(spark, rows):
         (3, {}),
         (3, {"blocks": 4}),
         (3, {"first_prefix": 40, "growth": 2}),
-        (3, {"bucket_limit": 2, "salt_rows": 5, "salts": 3, "broadcast_keys": 0}),
-        (2, {"bucket_limit": 1, "first_prefix": 50, "growth": 3}),
-        (7, {"salt_rows": 10, "salts": 4, "broadcast_keys": 0}),
+        (3, {"bucket_limit": 2, "cell_tests": 5, "broadcast_keys": 0}),
+        (2, {"bucket_limit": 1, "cell_tests": 3, "first_prefix": 50, "growth": 3}),
+        (7, {"cell_tests": 10, "broadcast_keys": 0}),
         (64, {}),
     ],
 )
@@ -72,7 +73,7 @@ def test_one_dense_cluster(spark):
     rows = [(i, rng.getrandbits(64)) for i in range(200)]
     rows += [(200 + i, fixed ^ rng.getrandbits(12)) for i in range(100)]
     expected = first_fit(rows, 3)
-    got = D.dedup_fingerprints(frame_of(spark, rows), 3, bucket_limit=10).collect()
+    got = D.dedup_fingerprints(frame_of(spark, rows), 3, bucket_limit=10, cell_tests=50).collect()
     assert {r.row_id: r.canonical_id for r in got} == expected
 
 
@@ -81,10 +82,11 @@ def test_one_dense_cluster(spark):
     [
         (3, {}),
         (5, {}),
-        (1, {"bucket_limit": 2}),
-        (3, {"bucket_limit": 2}),
-        (4, {"bucket_limit": 1, "broadcast_keys": 0}),
-        (5, {"salt_rows": 3, "salts": 4, "broadcast_keys": 0}),
+        (1, {"bucket_limit": 2, "cell_tests": 4}),
+        (3, {"bucket_limit": 2, "cell_tests": 4}),
+        (4, {"bucket_limit": 1, "cell_tests": 2, "broadcast_keys": 0}),
+        (5, {"cell_tests": 3, "broadcast_keys": 0}),
+        (8, {"cell_tests": 6}),
     ],
 )
 def test_pairs_are_complete_and_unique(spark, k, options):
@@ -197,3 +199,22 @@ def test_unique_lines(spark, buckets):
     )
     kept = writers.unique_lines(lines, D.dedup_exact(lines), bitmap_buckets=buckets)
     assert sorted(r.row_id for r in kept.collect()) == [i * 997 - 3000 for i in range(70)]
+
+
+def test_one_wide_bucket_is_spread(spark):
+    """Thousands of fingerprints that share most bits: no cell tests more than its share."""
+    rng = random.Random(9)
+    scheme = BlockScheme.build(8)
+    # All agree on the blocks of the first choice.
+    values = sorted({rng.getrandbits(64) & ~scheme.masks[0] for _ in range(3000)})
+    frame = spark.createDataFrame([(i, signed(v)) for i, v in enumerate(values)], "id bigint, fp bigint")
+    keyed = hamming._keyed(frame, scheme, "a"), hamming._keyed(frame, scheme, "b")
+    sizes = hamming._large_buckets(*keyed, scheme, scheme.variants(), 100_000).collect()
+    assert sizes and not any(r["wide"] for r in sizes)
+    largest = max(sizes, key=lambda r: r["across"] * r["down"])
+    assert len(values) ** 2 / (largest["across"] * largest["down"]) <= 110_000
+    got = pairs_within(frame, frame, scheme, len(values), len(values), cell_tests=100_000)
+    expected = sum(
+        (values[i] ^ values[j]).bit_count() <= 8 for i in range(len(values)) for j in range(i)
+    )
+    assert got.count() == got.select("a", "b").distinct().count() == expected

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -28,3 +30,30 @@ def test_release_deletes_only_own_tables(spark, tmp_path, monkeypatch):
     assert os.listdir(own)
     durable.release(spark)
     assert not own.exists() and other.exists()
+
+
+def test_a_plain_local_session_needs_no_settings(tmp_path):
+    """With an empty configuration folder: dedup, an export and a stream."""
+    program = """
+import sys
+from pyspark.sql import SparkSession
+from linewright.operators.dedup import dedup
+from linewright.sources.readers import read_jsonl
+from linewright.sources.writers import export_unique
+from linewright.streaming.lines import load_available, stream_lines
+spark = SparkSession.builder.master("local[2]").getOrCreate()
+folder = sys.argv[1]
+lines = read_jsonl(spark, folder + "/in")
+export_unique(lines, dedup(lines, "exact"), folder + "/out")
+print("kept", spark.read.text(folder + "/out").count())
+print("streamed", load_available(stream_lines(spark, folder + "/in"))[1].count())
+"""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"a":1}\n{"a":2}\n{"a":1}\n')
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": root}
+    done = subprocess.run(
+        [sys.executable, "-c", program, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True
+    )
+    assert "kept 2" in done.stdout and "streamed 3" in done.stdout, done.stderr[-2000:]

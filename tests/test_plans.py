@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from linewright.functions import tokens as T
 from linewright.operators import dedup, fix, lint, rows, search
-from linewright.plans.spread import spread_small
 from linewright.sources import readers
 from workloads.counting import word_tokenizer
 
@@ -82,10 +81,3 @@ def test_row_ids_do_not_shuffle_lines(spark, tmp_path):
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
     lines_side = shown.split("BroadcastHashJoin", 1)[1].split("BroadcastExchange", 1)[0]
     assert "Exchange" not in lines_side
-
-
-def test_spread_only_when_small(spark):
-    small = spark.range(10, numPartitions=2)
-    large = spark.range(10, numPartitions=16)
-    assert "Exchange" in plan(spread_small(small))
-    assert spread_small(large) is large

@@ -65,6 +65,16 @@ def test_context(hundred):
     assert search.search_with_context(hundred, "line", 2, limit=None).count() == 100
 
 
+def test_nothing_is_cut_unless_asked(spark):
+    lines = spark.range(3000).selectExpr("id as row_id", "concat('line ', id) as line")
+    assert len(ids(rows.get_lines(lines, 100, 2000))) == 2000
+    assert rows.range_header(lines, 100, 2000).first().header == "Lines 101-2100 of 3000:"
+    assert search.search_with_context(lines, "line", 1).count() == 3000
+    assert search.search_summary(lines, "line").first().matches == 3000
+    limited = search.search_summary(lines, "line", limit=7).first()
+    assert limited.summary == "Found the first 7 match(es) for `line` in 3000 lines"
+
+
 def test_summary(hundred):
     row = search.search_summary(hundred, "line 1").first()
     assert row.summary == "Found 11 match(es) for `line 1` in 100 lines"

@@ -1,3 +1,4 @@
+import gzip
 import json
 import os
 
@@ -75,6 +76,24 @@ def test_csv_keys_are_sorted_and_last_duplicate_wins(spark, tmp_path):
     assert listed(readers.read_csv_lines(spark, str(path))) == [(0, '{"a":"2","b":"3"}')]
 
 
+def test_csv_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "0.csv").write_text("a,b,a\n1,2,3\n")
+    (tmp_path / "1.csv").write_text("b,a,b\nB,A,B2\n")
+    (tmp_path / "2.csv").write_text('"x\ny",z\n7,8\n')
+    (tmp_path / "3.csv").write_text("")
+    with gzip.open(tmp_path / "4 %.csv.gz", "wt") as out:
+        out.write("a\n9\n")
+    assert listed(readers.read_csv_lines(spark, str(tmp_path))) == [
+        (0, '{"a":"3","b":"2"}'),
+        (1, '{"a":"A","b":"B2"}'),
+        (2, '{"x\\ny":"7","z":"8"}'),
+        (3, '{"a":"9"}'),
+    ]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "0.csv").write_text("")
+    assert listed(readers.read_csv_lines(spark, str(tmp_path / "empty"))) == []
+
+
 def test_csv_odd_names(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text("x.y,`q`,X.Y\n1,2,3\n")
@@ -113,6 +132,26 @@ def test_parquet_lines_leave_out_nulls(spark, tmp_path):
     ]
 
 
+def test_parquet_shards_with_other_columns(spark, tmp_path):
+    pq.write_table(pa.table({"id": [0, 1]}), tmp_path / "0.parquet")
+    pq.write_table(pa.table({"extra": ["x"], "id": [2]}), tmp_path / "1.parquet")
+    lines = [json.loads(line) for _, line in listed(readers.read_parquet_lines(spark, str(tmp_path)))]
+    assert lines == [{"id": 0}, {"id": 1}, {"id": 2, "extra": "x"}]
+
+
+def test_nested_times_and_bytes(spark):
+    frame = spark.sql(
+        "select named_struct('t', timestamp_ntz'2024-01-02 03:04:05.123456', 'n', 1) s, "
+        "array(X'00ff', null) a, map('k', timestamp_ntz'2024-01-02 03:04:05') m, "
+        "cast(null as struct<b: binary>) z"
+    )
+    assert json.loads(frame.select(readers.row_to_json(frame)).first()[0]) == {
+        "s": {"t": "2024-01-02T03:04:05.123456", "n": 1},
+        "a": ["00ff", None],
+        "m": {"k": "2024-01-02T03:04:05"},
+    }
+
+
 def test_parquet_times_and_bytes(spark):
     frame = spark.sql(
         "select timestamp_ntz'2024-01-02 03:04:05' a, timestamp_ntz'2024-01-02 03:04:05.25' b, "
@@ -186,7 +225,9 @@ def test_split_files(spark):
 
     assert chosen("en", "train") == ["p0", "p1"]
     assert chosen("default", "train") == ["p0", "p1", "p3"]
-    assert chosen("de", "train") == ["p0"]
+    assert chosen("de", "train") == chosen("en", "nosuch") == []
+    first = addresses.select_split_files(listing, "de", "train", first_file=True)
+    assert [r.path for r in first.collect()] == ["p0"]
 
 
 def test_row_groups(spark, tmp_path):

@@ -1,5 +1,6 @@
 
 import pytest
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql import functions as F
 
 from linewright.functions import register
@@ -148,3 +149,21 @@ def test_failed_unit_keeps_what_arrived(spark, tmp_path):
     assert spark.read.parquet(target).count() == 5
 
 
+
+
+def test_progress_has_every_unit(spark, tmp_path):
+    for i in range(110):
+        (tmp_path / f"{i:03}.jsonl").write_text(f'{{"n": {i}}}\n')
+    query, table = streams.load_available(streams.stream_lines(spark, str(tmp_path)))
+    assert table.count() == 110 and streams.stream_progress(query).count() == 110
+
+
+@pytest.mark.parametrize(
+    "name, body", [("bad.csv", "a,b\nonly\n"), ("bad.csv", "a,b\n3,4,5\n"), ("bad.json", '{"a": "1"\n')]
+)
+def test_a_stream_refuses_what_a_batch_refuses(spark, tmp_path, name, body):
+    (tmp_path / name).write_text(body)
+    schema = StructType([StructField(c, StringType()) for c in "ab"])
+    rows = streams.stream_rows(spark, str(tmp_path), schema, "csv" if "csv" in name else "jsonl")
+    with pytest.raises(Exception):
+        streams.load_available(rows)

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.plans.durable import fresh_path
-from linewright.plans.spread import spread_small
 from linewright.sources.readers import lines_from_dataframe
 
-DOC_COLUMNS = ["doc_id", "lang", "source", "text"]
+DOC_COLUMNS = ["doc_id", "lang", "source", "text", "n_chars"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores even when their file is small."""
-    return spread_small(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +96,8 @@ DIRTY_TURNS_SQL = (
 
 DOC_LINES_SQL = """doc_lines AS (
   SELECT doc_id AS row_id,
-    to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'text': text})::varchar AS line
+    to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'text': text,
+      'n_chars': n_chars})::varchar AS line
   FROM documents)"""
 TEXT_LINES_SQL = "text_lines AS (SELECT doc_id AS row_id, text AS line FROM documents)"
 
@@ -131,13 +130,41 @@ def _export_dirty(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 
 def _export_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents")
     _in_order(docs, "doc_id").write.csv(path, header=True, escape='"')
 
 
 def _export_tsv(spark: SparkSession, sf_dir: str, path: str) -> None:
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
-    _in_order(events, "event_id").write.csv(path, header=True, sep="\t", escape='"')
+    events = table(spark, sf_dir, "events")
+    written = events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    _in_order(written, "event_id").write.csv(path, header=True, sep="\t", escape='"')
+
+
+def _export_csv_orders(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Two folders whose files repeat a name and have their columns in different orders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    for part, columns in enumerate((["lang", "doc_id", "source"], ["source", "lang", "doc_id"])):
+        rows = docs.filter(F.col("doc_id") % 2 == part)
+        # The name "lang" comes twice; the last of the two counts.
+        twice = rows.select(F.lit("no").alias("_0"), *columns)
+        named = twice.toDF("lang", *columns)
+        names = spark.createDataFrame([(0, *named.columns)], ["at", *[f"_{i}" for i in range(4)]])
+        values = twice.toDF(*[f"_{i}" for i in range(4)]).select(
+            F.col(f"_{1 + columns.index('doc_id')}").cast("bigint").alias("at"),
+            *[F.col(f"_{i}").cast("string") for i in range(4)],
+        )
+        both = names.withColumn("at", F.lit(-1).cast("bigint")).unionByName(values)
+        ordered = both.repartition(1).sortWithinPartitions("at").drop("at")
+        ordered.write.csv(f"{path}/{part}", escape='"')
+
+
+def _export_drift(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Shards of which only some have a column."""
+    docs = table(spark, sf_dir, "documents")
+    for part in range(2):
+        rows = docs.filter(F.col("doc_id") % 2 == part).select("doc_id", "lang", "text")
+        shard = rows.withColumn("extra", F.length("text")) if part else rows
+        _in_order(shard, "doc_id", 1).write.parquet(f"{path}/part={part}")
 
 
 def _export_parquet(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -165,6 +192,8 @@ _EXPORTS = {
     "parquet": _export_parquet,
     "events": _export_events,
     "splits": _export_splits,
+    "csv_orders": _export_csv_orders,
+    "drift": _export_drift,
 }
 
 

@@ -159,6 +159,16 @@ def dedup_simhash_k5(spark, sf_dir):
     return _with_hex(_near(spark, sf_dir, 5))
 
 
+@query("dedup_simhash_k8", f"{_fit(8)} {FIT_ROWS}")
+def dedup_simhash_k8(spark, sf_dir):
+    return _with_hex(_near(spark, sf_dir, 8))
+
+
+@query("dedup_simhash_k10", f"{_fit(10)} {FIT_ROWS}")
+def dedup_simhash_k10(spark, sf_dir):
+    return _with_hex(_near(spark, sf_dir, 10))
+
+
 @query(
     "dedup_json_lines",
     f"{CONTENT}, {sql_first_fit('prints', 3)} {FIT_ROWS}",

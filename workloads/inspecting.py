@@ -43,10 +43,10 @@ def get_lines(spark, sf_dir):
 
 
 @query(
-    "get_lines_capped",
-    f"{LINES} SELECT row_id, line FROM doc_lines WHERE row_id BETWEEN 100 AND 599",
+    "get_lines_long",
+    f"{LINES} SELECT row_id, line FROM doc_lines WHERE row_id BETWEEN 100 AND 10099",
 )
-def get_lines_capped(spark, sf_dir):
+def get_lines_long(spark, sf_dir):
     return rows.get_lines(doc_lines(spark, sf_dir), 100, 10_000)
 
 
@@ -126,7 +126,7 @@ GROUP BY h.row_id"""
     TEXTS + CONTEXT_SQL.format(pattern="[0-9]{4}", limit=" ORDER BY row_id LIMIT 50"),
 )
 def search_with_context(spark, sf_dir):
-    return search.search_with_context(text_lines(spark, sf_dir), "[0-9]{4}", 2)
+    return search.search_with_context(text_lines(spark, sf_dir), "[0-9]{4}", 2, limit=50)
 
 
 @query(
@@ -134,7 +134,7 @@ def search_with_context(spark, sf_dir):
     TEXTS + CONTEXT_SQL.format(pattern="[0-9]{4}", limit=""),
 )
 def search_all_with_context(spark, sf_dir):
-    return search.search_with_context(text_lines(spark, sf_dir), "[0-9]{4}", 2, limit=None)
+    return search.search_with_context(text_lines(spark, sf_dir), "[0-9]{4}", 2)
 
 
 @query(
@@ -155,7 +155,7 @@ SELECT 'Found ' || matches || ' match(es) for `tion` in ' || total || ' lines' A
 FROM n""",
 )
 def search_summary(spark, sf_dir):
-    return search.search_summary(text_lines(spark, sf_dir), "tion", limit=None)
+    return search.search_summary(text_lines(spark, sf_dir), "tion")
 
 
 @query(

@@ -57,13 +57,23 @@ def with_row_id(spark, sf_dir):
   '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') ||
   case when microsecond(ts) % 1000000 = 0 then ''
     when microsecond(ts) % 1000 = 0 then strftime(ts, '.%g') else strftime(ts, '.%f') end ||
-  '","user_id":' || user_id || ',"event_type":' || to_json(event_type) || ',"props":' ||
-  to_json(props) || '}' AS line FROM events""",
+  '","user_id":' || user_id || ',"event_type":' || to_json(event_type) || ',"value":' ||
+  to_json(value) || ',"props":' || to_json(props) || '}' AS line FROM events""",
 )
 def read_parquet_lines(spark, sf_dir):
-    frame = spark.read.parquet(exported(spark, sf_dir, "events")).drop("value")
-    lines = readers.parquet_row_id(frame)
-    return lines.select("row_id", readers.row_to_json(frame).alias("line"))
+    return readers.read_parquet_lines(spark, exported(spark, sf_dir, "events"))
+
+
+@query(
+    "read_parquet_drift",
+    """SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS row_id,
+  case when doc_id % 2 = 0 then
+    to_json({'doc_id': doc_id, 'lang': lang, 'text': text, 'part': 0})::varchar
+  else to_json({'doc_id': doc_id, 'lang': lang, 'text': text, 'extra': length(text), 'part': 1})::varchar
+  end AS line FROM documents""",
+)
+def read_parquet_drift(spark, sf_dir):
+    return readers.read_parquet_lines(spark, exported(spark, sf_dir, "drift"))
 
 
 @query(
@@ -78,7 +88,8 @@ def read_parquet_documents(spark, sf_dir):
 
 
 CSV_SQL = """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id,
-  to_json({'doc_id': doc_id::varchar, 'lang': lang, 'source': source, 'text': text})::varchar AS line
+  to_json({'doc_id': doc_id::varchar, 'lang': lang, 'n_chars': n_chars::varchar, 'source': source,
+    'text': text})::varchar AS line
 FROM documents"""
 
 
@@ -90,13 +101,26 @@ def read_csv_lines(spark, sf_dir):
 @query(
     "read_tsv_lines",
     """SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id,
-  to_json({'event_id': event_id::varchar, 'event_type': event_type, 'props': props})::varchar AS line
+  to_json({'event_id': event_id::varchar, 'event_type': event_type, 'props': props,
+    'ts': strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), 'user_id': user_id::varchar,
+    'value': value::varchar})::varchar AS line
 FROM events""",
 )
 def read_tsv_lines(spark, sf_dir):
     return readers.read_tsv_lines(spark, exported(spark, sf_dir, "tsv"))
 
 
+@query(
+    "read_csv_orders",
+    """SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS row_id,
+  to_json({'doc_id': doc_id::varchar, 'lang': lang, 'source': source})::varchar AS line
+FROM documents""",
+)
+def read_csv_orders(spark, sf_dir):
+    path = exported(spark, sf_dir, "csv_orders")
+    return readers.read_csv_lines(spark, [f"{path}/0", f"{path}/1"])
+
+
 @query("read_dataset", CSV_SQL)
 def read_dataset(spark, sf_dir):
     return readers.read_dataset(spark, exported(spark, sf_dir, "csv"), "CSV")
