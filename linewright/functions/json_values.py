@@ -26,6 +26,7 @@ MAX_DEPTH = 127
 
 OPEN_TAG = "<think>"
 CLOSE_TAG = "</think>"
+# How repairs are called in reports.
 FIX_CLOSED = "Added missing </think> tag"
 FIX_OPENED = "Added missing <think> tag"
 FIX_TRAILING = "Removed trailing whitespace"

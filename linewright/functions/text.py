@@ -84,6 +84,7 @@ def format_size(size: Column) -> Column:
 
 # --- reasoning tags on one text column ------------------------------------------------
 
+# The tags of reasoning.
 OPEN_TAG = "<think>"
 CLOSE_TAG = "</think>"
 

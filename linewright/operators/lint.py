@@ -40,6 +40,7 @@ def lint_severity(rule: Column) -> Column:
 def lint_message(
     rule: Column, key: Column, opens: Column, closes: Column, error: Column
 ) -> Column:
+    # The messages of issues.
     return (
         F.when(rule == INVALID_JSON, F.concat(F.lit("Invalid JSON: "), error))
         .when(rule == MISSING_KEY, F.concat(F.lit("Missing required key: "), key))

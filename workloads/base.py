@@ -250,6 +250,7 @@ def sql_extract_content(column: str) -> str:
     )
 
 
+# The start and factor of 64-bit FNV-1a.
 FNV_START, FNV_FACTOR = 14695981039346656037, 1099511628211
 
 
