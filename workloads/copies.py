@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import hashing
 from linewright.operators import dedup as D
+from linewright.plans.bitmaps import is_set
 from linewright.sources.writers import dedup_report
 from workloads.base import (
     DIRTY_DOCS_SQL,
@@ -215,11 +216,15 @@ def duplicate_flags(spark, sf_dir):
 
 @query(
     "duplicate_bitmap",
-    f"{EXACT} SELECT sum((row_id <> canonical_id)::int)::bigint AS duplicates FROM flags",
+    f"{EXACT} SELECT row_id, row_id <> canonical_id AS flagged FROM flags",
 )
 def duplicate_bitmap(spark, sf_dir):
-    packed = D.duplicate_bitmap(_exact(spark, sf_dir))
-    return packed.agg(F.sum("duplicates").alias("duplicates"))
+    """The bit of every row, read from the bitmaps."""
+    packed = D.duplicate_bitmap(_exact(spark, sf_dir)).withColumnRenamed("bucket", "_bucket")
+    rows = text_lines(spark, sf_dir).select("row_id", F.bitmap_bucket_number("row_id").alias("_bucket"))
+    return rows.join(packed, "_bucket", "left").select(
+        "row_id", is_set(F.col("bitmap")).alias("flagged")
+    )
 
 
 STATS = """SELECT count(*) AS total_lines,

@@ -453,3 +453,17 @@ SELECT row_id, case when row_id % 23 not in (0, 1) then line end AS canonical FR
 def canonical(spark, sf_dir):
     lines = dirty_lines(spark, sf_dir)
     return lines.select("row_id", canonical_json(F.col("line")).alias("canonical"))
+
+
+@query(
+    "canonical_json_order",
+    """SELECT doc_id AS row_id,
+  to_json({'a': {'x': lang, 'y': [1, 2]}, 'doc_id': doc_id, 'source': source})::varchar AS canonical
+FROM documents""",
+)
+def canonical_order(spark, sf_dir):
+    """Keys out of order at two depths, and white space between tokens."""
+    shape = '{ "source" : "%s" ,\t"doc_id": %d, "a" : {"y":[ 1,2 ] , "x":"%s"} }'
+    line = F.format_string(shape, "source", "doc_id", "lang")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("row_id"), canonical_json(line).alias("canonical"))
