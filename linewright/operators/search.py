@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from linewright.functions.text import UNICODE_FLAGS, numbered
 from linewright.operators.rows import first_n_matches, line_count
+from linewright.plans.bitmaps import with_flags
 from linewright.plans.durable import written
 
-# With this many wanted rows or fewer, their ids are sent to the lines instead of
-# shuffling the lines to them.
+# With this many wanted rows or fewer, their ids are sent to the lines.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -33,7 +33,8 @@ def search_with_context(
     The hit is marked ``>>>``; overlapping contexts repeat their lines.  Wanted row ids
     are spelled out and joined by equality; a group holds at most ``2 * context + 1`` rows.
     Without a limit the wanted ids are written first, so that their number decides whether
-    they go to the lines or the lines are shuffled to them.
+    they are broadcast.  If they are too many, bitmaps pick the wanted lines, and only those
+    are shuffled.
     """
     hits = search(lines, pattern, limit).select(F.col("row_id").alias("_hit"))
     around = F.sequence(
@@ -44,12 +45,16 @@ def search_with_context(
         wanted, rows = written(wanted, "context")
     else:
         rows = limit * (2 * context + 1)
+    readable = lines.filter(F.is_valid_utf8("line"))
     if rows <= MAX_BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
+    else:
+        # Lines that no hit wants are left out where they are read.
+        near = wanted.select("row_id", F.lit(True).alias("_near"))
+        readable = with_flags(readable, near, ["_near"]).filter("_near").drop("_near")
     row = F.col("row_id")
     marker = F.when(row == F.col("_hit"), ">>> ").otherwise("    ")
     text = F.concat(marker, numbered(row, F.col("line")), F.lit("\n"))
-    readable = lines.filter(F.is_valid_utf8("line"))
     pieces = readable.join(wanted, "row_id").select("_hit", row, text.alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("row_id", "text")))
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import tokens as T
 from linewright.operators import dedup, fix, lint, rows, search
+from linewright.operators.annotate import annotate
 from linewright.sources import readers
 from workloads.counting import word_tokenizer
 
@@ -70,6 +71,14 @@ def test_row_ranges_reach_the_scan(texts):
     assert "EqualTo(doc_id,7)" in plan(rows.get_line(texts, 7))
 
 
+def test_flags_do_not_move_lines(spark, texts):
+    issues = spark.range(3).select(F.col("id").alias("row_id"))
+    flags = issues.withColumn("is_duplicate", F.lit(True))
+    for frame in (annotate(texts, issues, flags), lint.rows_with_issues(texts, issues)):
+        lines_side = plan(frame).split("BroadcastHashJoin", 1)[1].split("BroadcastExchange", 1)[0]
+        assert "Exchange" not in lines_side
+
+
 def test_limits_are_top_k(texts):
     assert "TakeOrderedAndProject" in plan(search.search(texts, "a", limit=5))
     assert "TakeOrderedAndProject" in plan(rows.preview(texts))

@@ -65,6 +65,12 @@ def test_context(hundred):
     assert search.search_with_context(hundred, "line", 2, limit=None).count() == 100
 
 
+def test_many_hits_give_the_same_context(hundred, monkeypatch):
+    few = sorted(map(tuple, search.search_with_context(hundred, "[36]$", 2).collect()))
+    monkeypatch.setattr(search, "MAX_BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, search.search_with_context(hundred, "[36]$", 2).collect())) == few
+
+
 def test_nothing_is_cut_unless_asked(spark):
     lines = spark.range(3000).selectExpr("id as row_id", "concat('line ', id) as line")
     assert len(ids(rows.get_lines(lines, 100, 2000))) == 2000
