@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.llm.ranking import with_global_rank
-from linewright.llm.words import Words, chunks, split_words
+from linewright.llm.words import Words, split_words, text_chunks
+from linewright.plans.durable import written
 
 MAX_TOKENS = 4096
 END_TOKEN = 2
@@ -87,14 +88,14 @@ class WordEncoder:
         self.starts[known + 1 : known + len(words) + 1] = start + np.cumsum(sizes)
         self.index.update(zip(words, range(known, known + len(words)), strict=True))
 
-    def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text's."""
-        raw = words.data.tobytes()
         # Special tokens are found in a text as it is, so such chunks are left alone.
-        if b"<|" not in raw:
-            words = split_words(*_set_apart(words.data, words.offsets), lower=True)
-            raw = words.data.tobytes()
-        split = _spaced(words, raw)
+        plain = b"<|" not in data.tobytes()
+        if plain:
+            data, offsets = _set_apart(data, offsets)
+        words = split_words(data, offsets, lower=plain)
+        split = _spaced(words, words.data.tobytes())
         if len(self.index) > CACHED_WORDS:
             self._clear()
         index = self.index
@@ -155,8 +156,8 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for batch, words in chunks(batches):
-            ids, lengths = encoder.encode(words)
+        for batch, data, offsets in text_chunks(batches):
+            ids, lengths = encoder.encode(data, offsets)
             doc_ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
             at = 0
@@ -285,7 +286,9 @@ def pack(
         F.col("start"),
         F.col("ids_crc32"),
     ]
-    ranked, _ = with_global_rank(pieces, order, "pieces")
+    # Ranking looks at its input twice; the tokenizer should run once.
+    pieces, _ = written(pieces, "pieces", narrow=True)
+    ranked, _ = with_global_rank(pieces, order, "ranked-pieces")
     counts = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = {r["length"]: r["n"] for r in counts}
     before = np.zeros(max_tokens + 2, np.int64)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.words import chunks, mix
+from linewright.llm.words import mix, text_chunks
 
 UNIT_BYTES = 64
 SHARPNESS = 1.0
@@ -268,11 +268,10 @@ def _vocabulary(path: str, sharpness: float) -> Vocabulary:
 def _encoded(batches, path: str, seed: int, sharpness: float):
     with np.errstate(over="ignore"):
         vocabulary = _vocabulary(path, sharpness)
-        for batch, words in chunks(batches):
-            data, offsets = spaced(words.data, words.offsets)
+        for batch, data, offsets in text_chunks(batches):
             keys = np.asarray(batch.column("row_key")).view(np.uint64)
-            ids, counts = sample(vocabulary, data, offsets, keys, seed)
-            yield batch, words, vocabulary, ids, counts
+            ids, counts = sample(vocabulary, *spaced(data, offsets), keys, seed)
+            yield batch, (data, offsets), vocabulary, ids, counts
 
 
 def _slim(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -329,9 +328,9 @@ def sampling_digests(
     """Number and checksum of the sampled pieces, and the digest of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words, vocabulary, ids, counts in _encoded(batches, model, seed, sharpness):
+        for batch, source, vocabulary, ids, counts in _encoded(batches, model, seed, sharpness):
             texts = decode(vocabulary, ids, counts)
-            raw, bounds = words.data.tobytes(), words.offsets.tolist()
+            raw, bounds = source[0].tobytes(), source[1].tolist()
             flat, borders = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(counts)) * 4
             spans = list(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True))
             same = [t == raw[s:e] for t, s, e in zip(texts, bounds[:-1], bounds[1:], strict=True)]

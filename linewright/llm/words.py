@@ -80,10 +80,10 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     return Words(data, offsets, starts, ends, counts)
 
 
-def chunks(
-    batches: Iterable[pa.RecordBatch], lower: bool = False, text: str = "text"
-) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of record batches of about CHUNK_BYTES of text, with their words."""
+def text_chunks(
+    batches: Iterable[pa.RecordBatch], text: str = "text"
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of record batches of about CHUNK_BYTES of text: the bytes and the row offsets."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(text))
         row = 0
@@ -91,11 +91,18 @@ def chunks(
             last = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1
             last = min(max(last, row + 1), len(batch))
             part = data[offsets[row] : offsets[last]]
-            words = split_words(part, offsets[row : last + 1] - offsets[row], lower)
-            yield batch.slice(row, last - row), words
+            yield batch.slice(row, last - row), part, offsets[row : last + 1] - offsets[row]
             row = last
 
 
+def chunks(
+    batches: Iterable[pa.RecordBatch], lower: bool = False, text: str = "text"
+) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """The slices of ``text_chunks`` with their words."""
+    for batch, data, offsets in text_chunks(batches, text):
+        yield batch, split_words(data, offsets, lower)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread a 64-bit value over all its bits."""
     x = x ^ (x >> np.uint64(31))
