@@ -25,7 +25,7 @@ _SCHEMA = pa.schema(
     ]
 )
 # Entries gathered before they are dealt; more partitions need more, to fill their blocks.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def planes(values: np.ndarray) -> bytes:

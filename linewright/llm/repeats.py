@@ -33,8 +33,10 @@ from linewright.llm.words import Hasher, Words, chunks
 from linewright.plans.durable import written
 
 WINDOW = 20
-# Intervals of at most this many documents (about 100 bytes each) are broadcast.
-MAX_BROADCAST_DOCUMENTS = 400_000
+# Spans are broadcast if they take no more than this; a document about 120 bytes, a span 8.
+MAX_BROADCAST_BYTES = 128 << 20
+# Packed entries of a partition are unpacked in memory, so there are more partitions than usual.
+_FINER = 2
 
 _SPANS = "doc_id long, span_starts array<int>, span_ends array<int>"
 _QUESTION, _ANSWER = 0, 1
@@ -244,23 +246,26 @@ def _later(parts: int):
 
 
 def _dealt(blocks: DataFrame, reduce, gather, label: str) -> tuple[DataFrame, int]:
-    """Two shuffles of blocks: to the keys, and back to the documents."""
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Two shuffles of blocks, to the keys and back to the documents; spans and their bytes."""
+    parts = _FINER * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     answers = blocks.repartition(parts, "part").mapInArrow(reduce, dealing.BLOCKS)
     spans = answers.repartition(parts, "part").mapInArrow(gather, _SPANS)
-    return written(spans, label)
+    table, documents = written(spans, label)
+    held = table.agg(F.sum(F.size("span_starts"))).first()[0] or 0
+    return table, 120 * documents + 8 * held
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, count: int, how: str) -> DataFrame:
+def _with_spans(docs: DataFrame, spans: DataFrame, size: int, how: str) -> DataFrame:
+    """Join the spans by broadcast if their measured size allows, else by a shuffle."""
     side = spans.withColumnRenamed("doc_id", "_doc_id")
-    side = F.broadcast(side) if count <= MAX_BROADCAST_DOCUMENTS else side
+    side = F.broadcast(side) if size <= MAX_BROADCAST_BYTES else side
     return docs.join(side, F.col("doc_id") == F.col("_doc_id"), how).drop("_doc_id")
 
 
 def repeated_spans(
     docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text"
 ) -> tuple[DataFrame, int]:
-    """Word spans to remove per document, ``doc_id, span_starts, span_ends``, and their count.
+    """Word spans to remove per document, ``doc_id, span_starts, span_ends``, and their bytes.
 
     Only documents with something to remove have a row.
     """
@@ -271,8 +276,8 @@ def repeated_spans(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")
     ).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     probes = slim.mapInArrow(_probes(window, parts), dealing.BLOCKS)
-    hits, count = _dealt(probes, _hits(parts), _gathered(1), "repeat-hits")
-    near = _with_spans(slim, hits, count, "inner")
+    hits, size = _dealt(probes, _hits(parts), _gathered(1), "repeat-hits")
+    near = _with_spans(slim, hits, size, "inner")
     windows = near.mapInArrow(_windows(window, parts), dealing.BLOCKS)
     return _dealt(windows, _later(parts), _gathered(window), "repeat-spans")
 
@@ -304,9 +309,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed`` and the SHA-256 of the kept words."""
-    spans, count = repeated_spans(docs, window)
+    spans, size = repeated_spans(docs, window)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(slim, spans, count, "left").mapInArrow(
+    return _with_spans(slim, spans, size, "left").mapInArrow(
         _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
@@ -335,14 +340,14 @@ def without_repeats(
 
     A text that loses nothing stays as it is, NULL included.
     """
-    spans, count = repeated_spans(docs, window, id_column, text_column)
+    spans, size = repeated_spans(docs, window, id_column, text_column)
     others = [F.col(c) for c in docs.columns if c != text_column]
     packed = docs.select(
         F.struct(*others).alias("row"),
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(text_column).alias("text"),
     )
-    cut = _with_spans(packed, spans, count, "left").mapInArrow(
+    cut = _with_spans(packed, spans, size, "left").mapInArrow(
         _cut, packed.select("row", "text").schema
     )
     return cut.select("row.*", F.col("text").alias(text_column)).select(*docs.columns)
