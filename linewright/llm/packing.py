@@ -35,8 +35,11 @@ CACHED_WORDS = 1_000_000
 # Letters that are themselves in normal form, each with its lower case: one run is one word of
 # the tokenizer, whatever stands around it.
 _LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_SMALL = np.zeros(256, bool)
-_SMALL[97:123] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x7F] = True
+_MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
 
 
 def _byte_letters() -> dict[int, int]:
@@ -70,6 +73,8 @@ class WordEncoder:
 
     def _ids(self, word: bytes) -> list[int]:
         text = word.decode()
+        if word.isascii() and word.isalpha() and word.islower():
+            return [token.id for token in self.model.tokenize(text)]
         if _LETTERS.fullmatch(text):
             written = text.lower().encode().decode("latin-1").translate(self.letters)
             return [token.id for token in self.model.tokenize(written)]
@@ -122,13 +127,17 @@ def _spaced(words: Words, raw: bytes) -> list[bytes]:
 
 
 def _set_apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a space before each ``.`` or ``,`` that ends a word of letters.
+    """The texts with a space before each mark that follows a letter.
 
-    The ids are the same, and a word is met more often without the mark after it.
+    The tokenizer cuts there anyway, and words are met more often without what follows them.
+    Latin-1 letters are lower-cased too, as the tokenizer would.
     """
-    marks = np.flatnonzero((data == 0x2E) | (data == 0x2C))
-    marks = marks[(marks > 0) & (marks + 1 < len(data))]
-    marks = marks[_SMALL[data[marks - 1]] & ((data[marks + 1] == 0x20) | (data[marks + 1] == 0x0A))]
+    accented = np.zeros(len(data), bool)
+    accented[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    data = np.where(accented & (data < 0x9F), data + np.uint8(0x20), data)
+    marks = np.flatnonzero(_MARK[data])
+    marks = marks[marks > 0]
+    marks = marks[_LETTER[data[marks - 1]] | accented[marks - 1]]
     # A mark that begins a text has no word before it.
     marks = np.setdiff1d(marks, offsets, assume_unique=False)
     moved = offsets + np.searchsorted(marks, offsets)
