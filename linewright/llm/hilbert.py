@@ -99,11 +99,8 @@ def ordinal(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("long")
 
 
-def quantised(df: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
-    """Cell of each dimension: the number of its quantile cuts below the value.
-
-    One aggregate over the metadata columns finds the cuts, from sketches of bounded size.
-    """
+def quantile_cuts(df: DataFrame, dimensions: list[str], bits: int) -> list[list[int]]:
+    """The cuts of each dimension into ``2**bits`` cells, by sketches of bounded size."""
     fractions = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = df.agg(
         *[
@@ -111,13 +108,26 @@ def quantised(df: DataFrame, dimensions: list[str], bits: int) -> list[Column]:
             for i, d in enumerate(dimensions)
         ]
     ).first()
+    return [cuts[i] or [] for i in range(len(dimensions))]
+
+
+def _cell(value: str, cuts: list[int]) -> Column:
+    """Number of cuts below the value; none for NULL.
+
+    ``value`` is a column of the step before, and it is named twice here so that it is not
+    computed anew for every cut.
+    """
+    known = F.array(*[F.lit(x).cast("long") for x in cuts]).cast("array<bigint>")
+    below = F.size(F.filter(known, lambda cut: cut < F.col(value)))
+    return F.when(F.col(value).isNull(), F.lit(0)).otherwise(below)
 
-    def cell(dimension: str, edges: list[int] | None) -> Column:
-        value = F.coalesce(ordinal(df, dimension), F.lit(-(1 << 63)))
-        known = F.array(*[F.lit(x).cast("long") for x in edges or []]).cast("array<bigint>")
-        return F.size(F.filter(known, lambda edge: edge < value))
 
-    return [cell(dimension, cuts[i]) for i, dimension in enumerate(dimensions)]
+def with_curve(df: DataFrame, cuts: list[list[int]], bits: int) -> DataFrame:
+    """Add ``curve`` from the ordinals ``_o0``, ``_o1``, ...; one projection for each step."""
+    names = range(len(cuts))
+    cells = df.withColumns({f"_c{i}": _cell(f"_o{i}", cuts[i]) for i in names})
+    index = hilbert_index([F.col(f"_c{i}") for i in names], bits)
+    return cells.withColumn("curve", index).drop(*[f"_{k}{i}" for i in names for k in "oc"])
 
 
 def hilbert_shards(
@@ -134,12 +144,13 @@ def hilbert_shards(
     """
     dimensions = list(dimensions or DIMENSIONS)
     text = F.coalesce(F.col(text_column), F.lit(""))
-    slim = docs.select(
+    plain = docs.select(
         F.col(id_column).alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        hilbert_index(quantised(docs, dimensions, bits), bits).alias("curve"),
+        *[ordinal(docs, d).alias(f"_o{i}") for i, d in enumerate(dimensions)],
     )
+    slim = with_curve(plain, quantile_cuts(docs, dimensions, bits), bits)
     order = [F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32")]
     ranked, total = with_global_rank(slim, order, "hilbert")
     # Whole-number division, exact at any size.
