@@ -347,7 +347,13 @@ def one_of_each(
     text_column: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component; rows without an id stay."""
-    found = simhash_components(docs, shingle, distance, id_column, text_column)
+    return named_by_component(
+        docs, simhash_components(docs, shingle, distance, id_column, text_column), id_column
+    )
+
+
+def named_by_component(docs: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """The rows of ``docs`` whose id is a ``component_id`` of ``found``; rows without id stay."""
     # A row may share its doc_id with others, so the id decides, once.
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("key"))
