@@ -53,14 +53,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application, once results are saved."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that no later step reads."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder = jvm.org.apache.hadoop.fs.Path(path)
     filesystem = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     filesystem.delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, once results are saved."""
+    discard(spark, _own_folder(spark))
+
+
 def written(
     df: DataFrame, label: str, counted: Column | None = None, narrow: bool = False
 ) -> tuple[DataFrame, int]:
