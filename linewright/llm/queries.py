@@ -15,9 +15,12 @@ from linewright.llm.packing import pack
 from linewright.llm.piece_sampling import sampling_digests
 from linewright.llm.private_data import private_spans
 from linewright.llm.repeats import repeat_digests
+from linewright.llm.shared_lines import shared_line_digests
 from linewright.llm.simhash_trees import simhash_components
+from linewright.llm.source_divergence import source_divergence
 from linewright.llm.suffix_tree import suffix_tree_scores
 from linewright.llm.top_k import top_k
+from linewright.llm.vector_codes import vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,6 +191,126 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def op11_active_entry_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """A full scan of every codebook in every round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT id, j, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM (
+    SELECT p.id, p.j, b.e,
+      list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM p JOIN b{r} b USING (j))
+  GROUP BY id, j)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT j, e, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT a.j, a.e, unnest(p.v) AS x, unnest(range(len(p.v))) AS i
+    FROM a{r} a JOIN p USING (id, j))
+  GROUP BY j, e, i),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.j, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT j, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+    FROM m{r} GROUP BY j, e) m USING (j, e))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label,
+    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT id, j, w[j * (len(w) // 8) + 1 : (j + 1) * (len(w) // 8)] AS v
+  FROM k, range(8) t(j)),
+b0 AS MATERIALIZED (SELECT j, id - 1 AS e, v FROM p WHERE id <= 16),
+{",".join(steps)},
+c AS (
+  SELECT id, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY j, e)) FROM b{rounds})
+    AS codebooks_sha256
+FROM c JOIN k USING (id)
+"""
+
+
+def op12_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_line_digests(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+shared AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (
+  SELECT k.*, first IS NOT NULL AND first <> doc_id AS gone FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op13_chunk_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+o AS (SELECT doc_id, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n FROM groups g
+  LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+p AS MATERIALIZED (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.n + 5 * v.v))::BIGINT AS p
+  FROM totals t JOIN v USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+q AS (
+  SELECT lang, term,
+    (1 + (1000000000::HUGEINT * (sum(p.n) + 5)) // (any_value(t.n) + 5 * any_value(v.v)))::BIGINT AS q
+  FROM p JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM totals GROUP BY lang) t USING (lang)
+  JOIN v USING (lang) GROUP BY lang, term),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN far f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT
+    AS rank
+  FROM (FROM pairs UNION ALL FROM terms))
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_block_anchors": op2_block_anchors,
@@ -199,6 +322,9 @@ QUERIES: dict[str, Query] = {
     "op8_relational_chat": op8_relational_chat,
     "op9_frequent_lines": op9_frequent_lines,
     "op10_term_at_a_time": op10_term_at_a_time,
+    "op11_active_entry_lloyd": op11_active_entry_lloyd,
+    "op12_shared_lines": op12_shared_lines,
+    "op13_chunk_factorization": op13_chunk_factorization,
 }
 
 ORACLES: dict[str, str] = {
@@ -206,4 +332,7 @@ ORACLES: dict[str, str] = {
     "op8_relational_chat": OP8_SQL,
     "op9_frequent_lines": OP9_SQL,
     "op10_term_at_a_time": OP10_SQL,
+    "op11_active_entry_lloyd": _lloyd_sql(6),
+    "op12_shared_lines": OP12_SQL,
+    "op13_chunk_factorization": OP13_SQL,
 }
