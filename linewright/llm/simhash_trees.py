@@ -346,16 +346,58 @@ def one_of_each(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; rows without an id stay."""
-    return named_by_component(
-        docs, simhash_components(docs, shingle, distance, id_column, text_column), id_column
+    """One row of ``docs`` for each component: a row of its least doc_id.
+
+    Rows decide, not ids: where several rows share a doc_id, only those stay whose own component
+    it names, once for each fingerprint.  Rows without an id stay only where no row with an id is
+    in their component, once for each fingerprint.
+    """
+    found, _ = written(simhash_components(docs, shingle, distance, id_column, text_column), "placed")
+    named = (
+        found.filter("doc_id = component_id")
+        .select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print"))
+        .distinct()
     )
+    doubtful, n_doubtful = written(
+        found.filter("doc_id IS NOT NULL")
+        .groupBy(F.col("doc_id").alias("_shared"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter("_rows > 1")
+        .select("_shared"),
+        "shared-ids",
+    )
+    packed = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_column).cast("long").alias("key"),
+        F.col(text_column).alias("text"),
+    )
+    names = F.col("key") == F.col("_id")
+    if not n_doubtful:
+        clear = packed.filter("key IS NOT NULL").join(named, names, "left_semi")
+        kept = clear.select("row")
+    else:
+        shared = F.col("key") == F.col("_shared")
+        clear = packed.filter("key IS NOT NULL").join(doubtful, shared, "left_anti")
+        printed = _with_prints(packed.join(doubtful, shared, "left_semi"), shingle)
+        own = printed.join(named, names & (F.col("print") == F.col("_print")), "left_semi")
+        kept = clear.join(named, names, "left_semi").select("row")
+        kept = kept.unionByName(own.dropDuplicates(["key", "print"]).select("row"))
+    bare = found.filter("doc_id IS NULL AND component_id IS NULL").select(
+        F.col("fingerprint").alias("_print")
+    )
+    strays = _with_prints(packed.filter("key IS NULL"), shingle).dropDuplicates(["print"])
+    strays = strays.join(bare.distinct(), F.col("print") == F.col("_print"), "left_semi")
+    return kept.unionByName(strays.select("row")).select("row.*")
+
 
+def _with_prints(packed: DataFrame, shingle: int) -> DataFrame:
+    """``row, key`` and the hexadecimal ``print`` of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in chunks(batches, lower=True):
+            prints = [f"{p:016x}" for p in fingerprints_of(words, shingle).tolist()]
+            columns = [batch.column("row"), batch.column("key"), pa.array(prints, pa.string())]
+            yield pa.record_batch(columns, names=["row", "key", "print"])
 
-def named_by_component(docs: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
-    """The rows of ``docs`` whose id is a ``component_id`` of ``found``; rows without id stay."""
-    # A row may share its doc_id with others, so the id decides, once.
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("key"))
-    keyed = packed.join(kept, F.col("key") == F.col("_id"), "left_semi")
-    return keyed.unionByName(packed.filter(F.col("key").isNull())).select("row.*")
+    schema = packed.select("row", "key", F.lit("").cast("string").alias("print")).schema
+    return packed.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from llm_support import SF_DIR
+from pyspark.sql import functions as F
 from test_private_data import brute as brute_spans
 from test_repeats import brute as brute_kept
 from test_simhash_trees import brute_labels, brute_print
@@ -86,5 +87,40 @@ def test_all_queries_are_registered():
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_stages_take_awkward_rows(spark, awkward, docs_of):
+    """Each stage over NULLs, empty and long texts, repeated rows and clashing names."""
+    extra = ["row", "key", "print", "_id", "part", "line", "spans", "band"]
+    docs = docs_of([*awkward, (20, awkward[3][1]), (21, None, None)])
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(i))
+    before = [tuple(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF_DIR)
+        rows = made.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r[0] for r in before}
+            continue
+        assert made.columns == docs.columns
+        ids = [r["doc_id"] for r in rows]
+        if name == "quality_rules":
+            assert {None, 5, 20} <= set(ids) and not {1, 2, 3, 6, 21} & set(ids)
+        elif name == "simhash_near_dedup":
+            assert sorted(ids) == [1, 4, 5, 6, 7, 8]
+        elif name == "substring_dedup":
+            texts = [(r["doc_id"], r["text"]) for r in rows]
+            assert len(rows) == len(before) and (1, None) in texts and (2, "") in texts
+            assert (None, awkward[5][1]) in texts and (5, awkward[6][1]) in texts
+            # A repeated row is the same document; the later copy of its text loses all words.
+            assert [t.split() for i, t in texts if i == 20] == [[]]
+            assert [t for i, t in texts if i == 4] == [awkward[3][1]] * 2
+        else:
+            assert len(rows) == len(before) and (21, None) in [(r["doc_id"], r["text"]) for r in rows]
+
+
+def test_stages_take_an_empty_table(spark, docs_of):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs_of([]), SF_DIR).collect() == []

@@ -118,7 +118,19 @@ def test_one_of_each(docs_of, prose, awkward):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert 8 in ids and 9 not in ids and 1 in ids and 2 not in ids and None in ids
+    assert 8 in ids and 9 not in ids and 1 in ids and 2 not in ids
+    # Rows decide: the repeated row 4 stays once, the row without an id is a copy of row 5.
+    assert sorted(ids) == [1, 4, 5, 6, 7, 8, 8]
     assert one_of_each(docs_of([])).collect() == []
     assert simhash_components(docs_of([])).collect() == []
     assert by_id(simhash_components(docs_of([(3, None)])))[3]["fingerprint"] == "0" * 16
+
+
+def test_one_of_each_of_shared_ids_and_none(docs_of, prose):
+    one, two, three = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, one), (1, one), (1, two), (2, two), (3, one), (None, three), (None, three), (None, one)]
+    prints = {t: brute_print(t) for t in (one, two, three)}
+    assert min((prints[a] ^ prints[b]).bit_count() for a, b in [(one, two), (one, three), (two, three)]) > 4
+    # Row 1 names the components of both its texts.
+    kept = [(r["doc_id"], r["text"]) for r in one_of_each(docs_of(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (1, two), (None, three)], key=str)
