@@ -165,6 +165,27 @@ def near_duplicate_pairs(
     return pairs.select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), "distance")
 
 
+def copy_pairs(flags: DataFrame) -> DataFrame:
+    """Each distinct duplicate fingerprint with the kept row it copies: one row per link.
+
+    ``row_id`` is the first row of the fingerprint, ``members`` its rows, ``distance`` how far it is
+    from the kept row.  Every duplicate is in one link, however many rows are close to it, so
+    the result has at most a row per distinct fingerprint.
+    """
+    prints = (
+        flags.filter(F.col("fingerprint").isNotNull())
+        .groupBy("fingerprint", "canonical_id")
+        .agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("members"))
+    )
+    kept = prints.filter("row_id = canonical_id").select(
+        "canonical_id", F.col("fingerprint").alias("_kept")
+    )
+    # A kept row may have very many copies; adaptive execution splits its side.
+    linked = prints.filter("row_id <> canonical_id").join(kept, "canonical_id")
+    distance = hamming_distance(F.col("fingerprint"), F.col("_kept"))
+    return linked.select("canonical_id", "row_id", "members", distance.alias("distance"))
+
+
 def canonical_map(flags: DataFrame) -> DataFrame:
     return flags.select("row_id", "canonical_id")
 

@@ -1,7 +1,8 @@
 """Row addressing by line number: count, get, ranges, pages, previews.
 
 Every operator is a range filter on ``row_id``; on a table written in ``row_id`` order
-the Parquet statistics skip everything outside the range.
+the Parquet statistics skip everything outside the range.  For files as they are, a
+``RowManifest`` has the same operators and reads only the files a range needs.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ def get_line(lines: DataFrame, index: int) -> DataFrame:
 
 def get_lines(lines: DataFrame, start: int = 0, count: int = DEFAULT_RANGE) -> DataFrame:
     """Lines ``[start, start + count)`` in order."""
-    return _window(lines, start, count)
+    return window(lines, start, count)
 
 
-def _window(lines: DataFrame, start: int | Column, count: int) -> DataFrame:
+def window(lines: DataFrame, start: int | Column, count: int) -> DataFrame:
+    """Rows ``[start, start + count)`` in order."""
     row = F.col("row_id")
     return lines.filter((row >= start) & (row < F.lit(start) + count)).orderBy("row_id")
 
@@ -61,7 +63,7 @@ def rows_around(lines: DataFrame, line_number: int, height: int) -> DataFrame:
     """A page of ``height`` rows centred on a 1-based line number, clamped to the data."""
     wanted = F.least(F.lit(max(line_number - 1, 0)), total_lines(lines) - 1)
     top = F.greatest(wanted - height // 2, F.lit(0))
-    return _window(lines, top, height)
+    return window(lines, top, height)
 
 
 def _last_top(lines: DataFrame, height: int) -> Column:
@@ -70,11 +72,11 @@ def _last_top(lines: DataFrame, height: int) -> Column:
 
 def page(lines: DataFrame, number: int, height: int) -> DataFrame:
     """The 0-based page ``number``; scrolling stops at the last full page."""
-    return _window(lines, F.least(F.lit(number * height), _last_top(lines, height)), height)
+    return window(lines, F.least(F.lit(number * height), _last_top(lines, height)), height)
 
 
 def tail(lines: DataFrame, height: int) -> DataFrame:
-    return _window(lines, _last_top(lines, height), height)
+    return window(lines, _last_top(lines, height), height)
 
 
 def first_n_matches(matches: DataFrame, limit: int) -> DataFrame:

@@ -11,6 +11,8 @@ kept ids are settled, and everything later that is close to one of them is dropp
 the next prefix is taken.  Kept fingerprints are pairwise far apart, so a later one is
 close to few of them.  Early prefixes keep few enough ids to be broadcast against the
 rest; the number of prefixes grows with the logarithm of the input.
+
+Inputs small enough for their distance are settled by dense tiles instead, which list no pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from linewright.plans.durable import written
 from linewright.plans.hamming import BITS, BlockScheme, bit_balance, pairs_within
+from linewright.plans.tiles import TILE_ROWS, cheaper, settle_by_tiles
 
 FIRST_PREFIX = 50_000
 GROWTH = 8
@@ -98,17 +101,21 @@ def first_fit(
     blocks: int | None = None,
     first_prefix: int = FIRST_PREFIX,
     growth: int = GROWTH,
+    tiles: bool = True,
     **limits,
 ) -> DataFrame:
     """``id``, ``canonical`` for written rows ``id``, ``fp`` with distinct fingerprints.
 
-    Kept ids are their own canonical.
+    Kept ids are their own canonical.  ``tiles`` off never compares all rows with all.
     """
     if k <= 0 or rows == 0:
         return prints.select("id", F.col("id").alias("canonical"))
     if k >= BITS:
         return prints.select("id", prints.agg(F.min("id")).scalar().alias("canonical"))
+    if tiles and (rows <= TILE_ROWS or cheaper(rows, rows, BlockScheme.build(k).key_count)):
+        return settle_by_tiles(prints, rows, k)
     scheme = BlockScheme.build(k, bit_balance(prints, rows), blocks)
+    limits["tiles"] = tiles
     parts = []
     remaining, left_over = prints.select("id", "fp"), rows
     for bound in [*_prefix_bounds(prints, rows, first_prefix, growth), None]:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions.hashing import hamming_distance
 from linewright.plans.durable import written
+from linewright.plans.tiles import cheaper, tile_pairs
 
 BITS = 64
 _SIGN = 1 << 63
@@ -96,6 +97,10 @@ class BlockScheme:
             masks[place if lap % 2 == 0 else count - 1 - place] |= 1 << bit
         return cls(k, tuple(masks))
 
+    @property
+    def key_count(self) -> int:
+        return comb(len(self.blocks), self.k)
+
     @property
     def choices(self) -> list[tuple[int, ...]]:
         return list(combinations(range(len(self.blocks)), len(self.blocks) - self.k))
@@ -262,6 +267,7 @@ def pairs_within(
     bucket_limit: int | None = None,
     cell_tests: int = CELL_TESTS,
     broadcast_keys: int = BROADCAST_KEYS,
+    tiles: bool = True,
 ) -> DataFrame:
     """All pairs ``a < b``, ``a`` on the left and ``b`` on the right, within ``scheme.k``.
 
@@ -271,7 +277,11 @@ def pairs_within(
     Buckets of more than ``cell_tests`` pairs are split.  Of these, the ones with more than
     ``bucket_limit`` left rows go by variants; by default that is where variants, which are so
     many per row, become cheaper than pairs, and at larger distances that is never.
+    Where comparing all rows is cheaper than making their keys, dense tiles do it, unless
+    ``tiles`` is off.
     """
+    if tiles and cheaper(left_rows, right_rows, scheme.key_count):
+        return tile_pairs(left, right, scheme.k, left_rows, right_rows)
     limit = bucket_limit if bucket_limit is not None else scheme.variants()
     small_left = left_rows * len(scheme.masks) <= broadcast_keys
     keyed_left, keyed_right = _keyed(left, scheme, "a"), _keyed(right, scheme, "b")

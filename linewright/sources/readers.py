@@ -158,6 +158,24 @@ def read_csv_lines(
     column.  A ragged row fails the query.  Quoted newlines need ``multiline``, which makes
     each file one task; switch it off for large files that have none, so they split.
     """
+    scan = scan_csv_lines(spark, paths, sep, multiline)
+    if scan is None:
+        empty = "row_id bigint, line string" + (", source_path string" if keep_source else "")
+        return spark.createDataFrame([], empty)
+    return numbered_rows(scan, ["line"], keep_source)
+
+
+def scan_csv_lines(
+    spark: SparkSession,
+    paths: Paths,
+    sep: str = ",",
+    multiline: bool = True,
+    extra: Sequence[Column] = (),
+) -> DataFrame | None:
+    """``line`` with the columns that place a row in its scan; None if no file has a header.
+
+    ``extra`` are more columns of the scan's metadata.
+    """
     groups = _by_header(spark, _as_list(paths), sep)
     options = {"sep": sep, "escape": '"', "multiLine": multiline, "header": True}
     scans = []
@@ -169,11 +187,8 @@ def read_csv_lines(
         last = dict(zip(header, columns))
         pairs = [F.coalesce(named(last[n]), F.lit("")).alias(n) for n in sorted(last)]
         frame = scan_position(reader.schema(schema).csv([unquote(f) for f in files]))
-        scans.append(frame.select(F.to_json(F.struct(*pairs)).alias("line"), *POSITION))
-    if not scans:
-        empty = "row_id bigint, line string" + (", source_path string" if keep_source else "")
-        return spark.createDataFrame([], empty)
-    return numbered_rows(reduce(DataFrame.unionByName, scans), ["line"], keep_source)
+        scans.append(frame.select(F.to_json(F.struct(*pairs)).alias("line"), *POSITION, *extra))
+    return reduce(DataFrame.unionByName, scans) if scans else None
 
 
 def read_tsv_lines(spark: SparkSession, paths: Paths, **options) -> DataFrame:

@@ -48,11 +48,13 @@ def frame_of(spark, rows):
         (0, {}),
         (1, {}),
         (3, {}),
-        (3, {"blocks": 4}),
-        (3, {"first_prefix": 40, "growth": 2}),
-        (3, {"bucket_limit": 2, "cell_tests": 5, "broadcast_keys": 0}),
-        (2, {"bucket_limit": 1, "cell_tests": 3, "first_prefix": 50, "growth": 3}),
-        (7, {"cell_tests": 10, "broadcast_keys": 0}),
+        (8, {}),
+        (3, {"tiles": False}),
+        (3, {"blocks": 4, "tiles": False}),
+        (3, {"first_prefix": 40, "growth": 2, "tiles": False}),
+        (3, {"bucket_limit": 2, "cell_tests": 5, "broadcast_keys": 0, "tiles": False}),
+        (2, {"bucket_limit": 1, "cell_tests": 3, "first_prefix": 50, "growth": 3, "tiles": False}),
+        (7, {"cell_tests": 10, "broadcast_keys": 0, "tiles": False}),
         (64, {}),
     ],
 )
@@ -73,7 +75,7 @@ def test_one_dense_cluster(spark):
     rows = [(i, rng.getrandbits(64)) for i in range(200)]
     rows += [(200 + i, fixed ^ rng.getrandbits(12)) for i in range(100)]
     expected = first_fit(rows, 3)
-    got = D.dedup_fingerprints(frame_of(spark, rows), 3, bucket_limit=10, cell_tests=50).collect()
+    got = D.dedup_fingerprints(frame_of(spark, rows), 3, bucket_limit=10, cell_tests=50, tiles=False).collect()
     assert {r.row_id: r.canonical_id for r in got} == expected
 
 
@@ -82,11 +84,14 @@ def test_one_dense_cluster(spark):
     [
         (3, {}),
         (5, {}),
-        (1, {"bucket_limit": 2, "cell_tests": 4}),
-        (3, {"bucket_limit": 2, "cell_tests": 4}),
-        (4, {"bucket_limit": 1, "cell_tests": 2, "broadcast_keys": 0}),
-        (5, {"cell_tests": 3, "broadcast_keys": 0}),
-        (8, {"cell_tests": 6}),
+        (9, {}),
+        (3, {"tiles": False}),
+        (5, {"tiles": False}),
+        (1, {"bucket_limit": 2, "cell_tests": 4, "tiles": False}),
+        (3, {"bucket_limit": 2, "cell_tests": 4, "tiles": False}),
+        (4, {"bucket_limit": 1, "cell_tests": 2, "broadcast_keys": 0, "tiles": False}),
+        (5, {"cell_tests": 3, "broadcast_keys": 0, "tiles": False}),
+        (8, {"cell_tests": 6, "tiles": False}),
     ],
 )
 def test_pairs_are_complete_and_unique(spark, k, options):
@@ -115,9 +120,10 @@ def test_two_sided_pairs(spark):
         data = [(i, signed(v)) for i, v in rows]
         return written(spark.createDataFrame(data, "id bigint, fp bigint"), "t")[0]
 
-    got = pairs_within(table(left), table(right), scheme, 60, 60).collect()
     expected = {(a, b) for a, x in left for b, y in right if (x ^ y).bit_count() <= 3}
-    assert {(p.a, p.b) for p in got} == expected and len(got) == len(expected)
+    for tiles in (True, False):
+        got = pairs_within(table(left), table(right), scheme, 60, 60, tiles=tiles).collect()
+        assert {(p.a, p.b) for p in got} == expected and len(got) == len(expected)
 
 
 def test_block_scheme():
@@ -213,7 +219,7 @@ def test_one_wide_bucket_is_spread(spark):
     assert sizes and not any(r["wide"] for r in sizes)
     largest = max(sizes, key=lambda r: r["across"] * r["down"])
     assert len(values) ** 2 / (largest["across"] * largest["down"]) <= 110_000
-    got = pairs_within(frame, frame, scheme, len(values), len(values), cell_tests=100_000)
+    got = pairs_within(frame, frame, scheme, len(values), len(values), cell_tests=100_000, tiles=False)
     expected = sum(
         (values[i] ^ values[j]).bit_count() <= 8 for i in range(len(values)) for j in range(i)
     )
