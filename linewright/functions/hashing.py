@@ -10,7 +10,6 @@ Otherwise a filter or a generator above one makes the optimizer repeat it below.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linewright.functions.quoting import content_rows
+
 # The FNV-1a parameters for 64 bits.
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
@@ -31,29 +32,6 @@ _BLOCK = 1 << 17  # windows hashed at a time; keeps the work arrays inside the C
 _LANE_MAX = 255  # windows summed into one byte lane before it could overflow
 _LANES = np.uint64(0x0101010101010101)
 
-# A separator or a string of a JSON line; the quantifiers never give back what they took.
-_TOKEN = re.compile(rb'[:,}\]]|"((?:[^"\\]++|\\.)*+)("?)', re.DOTALL)
-
-
-def content_bytes(line: bytes) -> bytes:
-    """String values of a JSON line, each followed by a space, read by quoting alone.
-
-    A string is a value when the nearest separator before it, outside strings, is a colon.
-    So an array of strings yields its first element, and the first key of a nested object
-    counts as a value.  An escape keeps what follows the backslash (``\\n`` gives ``n``).
-    """
-    values, after_colon = [], False
-    for token in _TOKEN.finditer(line):
-        body = token.group(1)
-        if body is None:
-            after_colon = token.group() == b":"
-        elif after_colon:
-            if b"\\" in body:
-                body = b"\\".join(part.replace(b"\\", b"") for part in body.split(b"\\\\"))
-            values += (body, b" ") if token.group(2) else (body,)
-    return b"".join(values)
-
-
 def _byte_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The data bytes of a string/binary array and its row offsets (nulls read as empty)."""
     if array.null_count:
@@ -170,10 +148,8 @@ def _as_bigint(values: np.ndarray, array: pa.Array) -> pa.Array:
     return signed
 
 
-def _contents(lines: pa.Array) -> pa.Array:
-    texts = lines.cast(pa.large_binary()).to_pylist()
-    found = [None if text is None else content_bytes(text) for text in texts]
-    return pa.array(found, pa.large_binary())
+def _contents(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return content_rows(*_byte_view(lines))
 
 
 @lru_cache(maxsize=None)
@@ -190,10 +166,9 @@ def simhash64_udf(shingle: int = DEFAULT_SHINGLE, json_lines: bool = False, min_
     size = max(shingle, MIN_SHINGLE)
 
     def simhash64_batch(lines: pa.Array) -> pa.Array:
-        texts = _contents(lines) if json_lines else lines
-        raw, bounds = _byte_view(texts)
+        raw, bounds = _contents(lines) if json_lines else _byte_view(lines)
         starts, ends = bounds[:-1], bounds[1:]
-        prints = _as_bigint(simhash_rows(raw, starts, ends, size), texts)
+        prints = _as_bigint(simhash_rows(raw, starts, ends, size), lines)
         if min_bytes > 0:
             enough = pa.array(ends - starts >= min_bytes)
             prints = pc.if_else(enough, prints, pa.scalar(None, pa.int64()))
@@ -205,7 +180,10 @@ def simhash64_udf(shingle: int = DEFAULT_SHINGLE, json_lines: bool = False, min_
 @lru_cache(maxsize=None)
 def extract_content_udf():
     def extract_batch(lines: pa.Array) -> pa.Array:
-        return _contents(lines).cast(pa.binary()).cast(pa.string())
+        body, offsets = _contents(lines)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(body)]
+        found = pa.Array.from_buffers(pa.large_string(), len(lines), buffers).cast(pa.string())
+        return pc.if_else(lines.is_valid(), found, pa.scalar(None, pa.string()))
 
     return F.arrow_udf(extract_batch, "string").asNondeterministic()
 
@@ -234,7 +212,7 @@ def simhash64_json(line: Column, shingle: int = DEFAULT_SHINGLE, min_bytes: int
 
 
 def extract_content(line: Column) -> Column:
-    """String values of a JSON line; see :func:`content_bytes`."""
+    """String values of a JSON line, by quoting; see :mod:`linewright.functions.quoting`."""
     return extract_content_udf()(readable(line))
 
 
