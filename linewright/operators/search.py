@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions.text import UNICODE_FLAGS, numbered
+from linewright.operators.halo import hit_contexts
 from linewright.operators.rows import first_n_matches, line_count
-from linewright.plans.bitmaps import with_flags
-from linewright.plans.durable import written
 
 # With this many wanted rows or fewer, their ids are sent to the lines.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+def _is_hit(pattern: str) -> Column:
+    return F.col("line").rlike(UNICODE_FLAGS + pattern) & F.is_valid_utf8("line")
+
+
 def search(lines: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
     """Lines the pattern matches anywhere; the first ``limit`` in row order if given.
 
     Java syntax with Unicode classes; a malformed pattern fails the query.  Lines that
     are not valid UTF-8 never match.
     """
-    hit = F.col("line").rlike(UNICODE_FLAGS + pattern) & F.is_valid_utf8("line")
-    found = lines.filter(hit)
+    found = lines.filter(_is_hit(pattern))
     return found if limit is None else first_n_matches(found, limit)
 
 
@@ -30,38 +32,32 @@ def search_with_context(
 ) -> DataFrame:
     """Each hit with ``context`` lines on either side, as ``row_id``, ``context``.
 
-    The hit is marked ``>>>``; overlapping contexts repeat their lines.  Wanted row ids
-    are spelled out and joined by equality; a group holds at most ``2 * context + 1`` rows.
-    Without a limit the wanted ids are written first, so that their number decides whether
-    they are broadcast.  If they are too many, bitmaps pick the wanted lines, and only those
-    are shuffled.
+    The hit is marked ``>>>``; overlapping contexts repeat their lines.  Without a limit the lines
+    are scanned once, and contexts inside a run of consecutive rows are finished there; only the
+    first and last rows of runs are joined.  With a limit the few wanted row ids are sent to the
+    lines.
     """
-    hits = search(lines, pattern, limit).select(F.col("row_id").alias("_hit"))
-    around = F.sequence(
-        F.greatest(F.col("_hit") - context, F.lit(0)), F.col("_hit") + context
-    )
-    wanted = hits.select("_hit", F.explode(around).alias("row_id"))
     if limit is None:
-        wanted, rows = written(wanted, "context")
-    else:
-        rows = limit * (2 * context + 1)
-    readable = lines.filter(F.is_valid_utf8("line"))
-    if rows <= MAX_BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+        found = hit_contexts(lines, _is_hit(pattern), context, MAX_BROADCAST_ROWS)
     else:
-        # Lines that no hit wants are left out where they are read.
-        near = wanted.select("row_id", F.lit(True).alias("_near"))
-        readable = with_flags(readable, near, ["_near"]).filter("_near").drop("_near")
-    row = F.col("row_id")
-    marker = F.when(row == F.col("_hit"), ">>> ").otherwise("    ")
-    text = F.concat(marker, numbered(row, F.col("line")), F.lit("\n"))
-    pieces = readable.join(wanted, "row_id").select("_hit", row, text.alias("text"))
-    ordered = F.array_sort(F.collect_list(F.struct("row_id", "text")))
-    return (
-        pieces.groupBy(F.col("_hit").alias("row_id"))
-        .agg(ordered.alias("rows"))
-        .select("row_id", F.array_join(F.col("rows")["text"], "").alias("context"))
-    )
+        hits = search(lines, pattern, limit).select(F.col("row_id").alias("_hit"))
+        around = F.sequence(F.greatest(F.col("_hit") - context, F.lit(0)), F.col("_hit") + context)
+        wanted = hits.select("_hit", F.explode(around).alias("row_id"))
+        if limit * (2 * context + 1) <= MAX_BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        pieces = lines.filter(F.is_valid_utf8("line")).join(wanted, "row_id")
+        ordered = F.array_sort(F.collect_list(F.struct("row_id", "line")))
+        found = pieces.groupBy(F.col("_hit")).agg(ordered.alias("rows"))
+        found = found.withColumnRenamed("_hit", "row_id")
+    return found.select("row_id", _context_text().alias("context"))
+
+
+def _context_text() -> Column:
+    def text(row: Column) -> Column:
+        marker = F.when(row["row_id"] == F.col("row_id"), ">>> ").otherwise("    ")
+        return F.concat(marker, numbered(row["row_id"], row["line"]), F.lit("\n"))
+
+    return F.array_join(F.transform("rows", text), "")
 
 
 def search_summary(lines: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:

@@ -86,26 +86,68 @@ def fixed_output_path_col(path: Column) -> Column:
     return F.regexp_replace(path, r"^(|.*/)([^/]+?)(\.[^./]*)?$", "$1$2_fixed$3")
 
 
+class _Swap:
+    """The folders of a replacement in place: new data, old data, and the marker between them."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.path, self.staged, self.aside = path, f"{path}.tmp", f"{path}.old"
+        self.marker = f"{path}.swap"
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.filesystem = self.to_path(path).getFileSystem(conf)
+
+    def exists(self, path: str) -> bool:
+        return self.filesystem.exists(self.to_path(path))
+
+    def move(self, source: str, target: str) -> None:
+        if not self.filesystem.rename(self.to_path(source), self.to_path(target)):
+            raise OSError(f"cannot rename {source} to {target}")
+
+    def delete(self, path: str) -> None:
+        self.filesystem.delete(self.to_path(path), True)
+
+    def mark(self) -> None:
+        """From here on the staged data is complete and counts."""
+        self.filesystem.create(self.to_path(self.marker), True).close()
+
+    def finish(self) -> None:
+        """Carry on from wherever a marked replacement stopped; each step may be done already."""
+        if self.exists(self.staged):
+            if self.exists(self.path):
+                if self.exists(self.aside):
+                    self.delete(self.aside)
+                self.move(self.path, self.aside)
+            self.move(self.staged, self.path)
+        self.delete(self.marker)
+        self.delete(self.aside)
+
+
+def finish_overwrite(spark: SparkSession, path: str) -> bool:
+    """Complete a replacement at ``path`` that was stopped half way; whether there was one.
+
+    A replacement that stopped before its new data was complete is not taken up: the old data is
+    still in place.
+    """
+    swap = _Swap(spark, path)
+    marked = swap.exists(swap.marker)
+    if marked:
+        swap.finish()
+    return marked
+
+
 def overwrite_in_place(lines: DataFrame, path: str) -> None:
     """Replace the text at ``path`` by ``lines``, which may have been read from it.
 
-    The new data is complete under ``{path}.tmp`` before the old is touched; the old is
-    then moved aside, the new moved in, and the old deleted.
+    The new data is complete under ``{path}.tmp`` before the old is touched, and a marker
+    ``{path}.swap`` says so.  Then the old is moved aside, the new moved in, and the old deleted.
+    Stopped in between, ``finish_overwrite`` or the next call brings it to its end.
     """
     spark: SparkSession = lines.sparkSession
-    staged, aside = f"{path}.tmp", f"{path}.old"
-    write_lines(lines, staged, mode="overwrite")
-    jvm = spark.sparkContext._jvm
-    to_path = jvm.org.apache.hadoop.fs.Path
-    filesystem = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def move(source: str, target: str) -> None:
-        if not filesystem.rename(to_path(source), to_path(target)):
-            raise OSError(f"cannot rename {source} to {target}")
-
-    move(path, aside)
-    move(staged, path)
-    filesystem.delete(to_path(aside), True)
+    finish_overwrite(spark, path)
+    swap = _Swap(spark, path)
+    write_lines(lines, swap.staged, mode="overwrite")
+    swap.mark()
+    swap.finish()
 
 
 def dedup_report(stats: DataFrame) -> DataFrame:

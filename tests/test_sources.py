@@ -299,3 +299,98 @@ def test_dataset_info(spark, tmp_path):
     entry = catalog.dataset_catalog(spark, [str(path)]).first()
     assert entry.description == "JSONL file with 1 lines (2.00 KB)"
     assert catalog.info_text(catalog.dataset_info(spark, str(path))).first().text.endswith("Size: 2.00 KB (2048 bytes)")
+
+
+def _stop_after(monkeypatch, moves):
+    """A process that dies after so many renames."""
+    done = []
+    original = writers._Swap.move
+
+    def move(self, source, target):
+        if len(done) == moves:
+            raise KeyboardInterrupt
+        done.append(source)
+        original(self, source, target)
+
+    monkeypatch.setattr(writers._Swap, "move", move)
+
+
+@pytest.mark.parametrize("moves", [0, 1])
+def test_a_stopped_overwrite_is_finished(spark, tmp_path, monkeypatch, moves):
+    path = str(tmp_path / "data")
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(10)], "row_id long, line string")
+    writers.write_lines(lines, path)
+    with monkeypatch.context() as patch:
+        _stop_after(patch, moves)
+        with pytest.raises(KeyboardInterrupt):
+            writers.overwrite_in_place(readers.read_jsonl(spark, path).filter("row_id > 2"), path)
+    assert writers.finish_overwrite(spark, path)
+    assert [r.line for r in readers.read_jsonl(spark, path).collect()] == [f"l{i}" for i in range(3, 10)]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["data"]
+    assert not writers.finish_overwrite(spark, path)
+
+
+def test_the_next_overwrite_finds_complete_data(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "data")
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(6)], "row_id long, line string")
+    writers.write_lines(lines, path)
+    with monkeypatch.context() as patch:
+        _stop_after(patch, 1)
+        with pytest.raises(KeyboardInterrupt):
+            writers.overwrite_in_place(lines.filter("row_id > 3"), path)
+    # No data is at the path now; the next call brings the new data there before it replaces it.
+    writers.overwrite_in_place(lines.filter("row_id < 2"), path)
+    assert [r.line for r in readers.read_jsonl(spark, path).collect()] == ["l0", "l1"]
+
+
+def test_an_incomplete_overwrite_is_not_taken_up(spark, tmp_path):
+    path = str(tmp_path / "data")
+    lines = spark.createDataFrame([(0, "old")], "row_id long, line string")
+    writers.write_lines(lines, path)
+    (tmp_path / "data.tmp").mkdir()
+    (tmp_path / "data.tmp" / "part-0").write_text("half")
+    assert not writers.finish_overwrite(spark, path)
+    writers.overwrite_in_place(lines.selectExpr("row_id", "'new' AS line"), path)
+    assert [r.line for r in readers.read_jsonl(spark, path).collect()] == ["new"]
+
+
+def test_a_catalog_of_many_datasets_is_one_plan(spark, tmp_path):
+    made = []
+    for i in range(40):
+        folder = tmp_path / f"set {i}+{'x' * (i % 3)}"
+        folder.mkdir()
+        kind = ("jsonl", "csv", "tsv")[i % 3]
+        for part in range(i % 4):
+            rows = [f"{n}{',;'[i % 2]}v" for n in range(i + part)]
+            (folder / f"{part}.{kind}").write_text("\n".join(["a,b", *rows]) + "\n")
+        path = str(folder) if kind == "jsonl" else str(folder / f"0.{kind}")
+        if kind == "jsonl" or i % 4:
+            made.append(path)
+    parquet = str(tmp_path / "p.parquet")
+    spark.range(77).repartition(3).write.parquet(parquet)
+    empty = str(tmp_path / "e.parquet")
+    spark.range(0).write.parquet(empty)
+    made += [parquet, empty, str(tmp_path / "set 0+"), parquet]
+    together = catalog.dataset_infos(spark, made)
+    alone = [catalog.dataset_info(spark, path).first() for path in made]
+    assert [tuple(r) for r in together.collect()] == [tuple(r) for r in alone]
+    # The plan is the same for many paths as for a few.
+    few = catalog.dataset_infos(spark, [made[0], made[1], made[2], parquet])
+
+    def scans(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert scans(together) == scans(few)
+
+
+def test_catalog_entries(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("{}\n{}\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.jsonl").write_text("{}\n")
+    paths = [str(tmp_path / "a.jsonl"), str(tmp_path / "sub"), str(tmp_path / "*.jsonl")]
+    got = [tuple(r) for r in catalog.dataset_catalog(spark, paths).collect()]
+    texts = ["JSONL file with 2 lines (6 B)", "JSONL file with 1 lines (3 B)", "JSONL file with 2 lines (6 B)"]
+    assert got == [
+        (f"dataset/{path}", f"Dataset: {path}", text, "application/jsonl")
+        for path, text in zip(paths, texts, strict=True)
+    ]

@@ -167,3 +167,45 @@ def test_a_stream_refuses_what_a_batch_refuses(spark, tmp_path, name, body):
     rows = streams.stream_rows(spark, str(tmp_path), schema, "csv" if "csv" in name else "jsonl")
     with pytest.raises(Exception):
         streams.load_available(rows)
+
+
+def test_progress_of_a_query_the_user_starts(spark, tmp_path):
+    source, record = tmp_path / "units", str(tmp_path / "record")
+    source.mkdir()
+    settings = dict(spark.conf.getAll)
+
+    def run(first, last):
+        for i in range(first, last):
+            (source / f"{i:03}.jsonl").write_text("{}\n" * (1 + i % 3))
+        query = (
+            streams.stream_lines(spark, str(source))
+            .writeStream.format("parquet")
+            .option("path", str(tmp_path / "data"))
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        streams.follow_progress(query, record)
+        return query
+
+    one = run(0, 120)
+    two = run(120, 200)
+    assert one.id == two.id and one.runId != two.runId
+    units = streams.stream_progress(two).orderBy("batch").collect()
+    assert [u.batch for u in units] == list(range(200))
+    assert sum(u.rows for u in units) == sum(1 + i % 3 for i in range(200))
+    assert all(u.duration_ms >= 0 for u in units)
+    assert dict(spark.conf.getAll) == settings
+    assert streams.recorded_progress(spark, record).select("query").distinct().count() == 1
+
+
+def test_progress_on_record_is_bounded_on_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "UNITS_A_FILE", 5)
+    monkeypatch.setattr(streams, "LOOK_SECONDS", 0.05)
+    for i in range(30):
+        (tmp_path / f"{i:03}.jsonl").write_text("{}\n")
+    sizes = []
+    append = streams._append
+    monkeypatch.setattr(streams, "_append", lambda s, p, rows: (sizes.append(len(rows)), append(s, p, rows)))
+    query, _ = streams.load_available(streams.stream_lines(spark, str(tmp_path)))
+    assert sum(sizes) == 30 and streams.stream_progress(query).count() == 30
