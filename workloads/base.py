@@ -117,8 +117,17 @@ def exported(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return _WRITTEN[key]
 
 
-def _in_order(df: DataFrame, key: str, parts: int = 4) -> DataFrame:
-    return df.repartitionByRange(parts, key).sortWithinPartitions(key)
+# Rows of one exported file, about.
+FILE_ROWS = 250_000
+
+
+def _files(df: DataFrame, least: int) -> int:
+    """How many files the rows are written to."""
+    return max(least, -(-df.count() // FILE_ROWS))
+
+
+def _in_order(df: DataFrame, key: str, least: int = 4) -> DataFrame:
+    return df.repartitionByRange(_files(df, least), key).sortWithinPartitions(key)
 
 
 def _export_jsonl(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -142,27 +151,39 @@ def _export_tsv(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 def _export_csv_orders(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Two folders whose files repeat a name and have their columns in different orders."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    for part, columns in enumerate((["lang", "doc_id", "source"], ["source", "lang", "doc_id"])):
-        rows = docs.filter(F.col("doc_id") % 2 == part)
+    docs = table(spark, sf_dir, "documents")
+    orders = (
+        ["lang", "doc_id", "source", "text", "n_chars"],
+        ["text", "source", "lang", "n_chars", "doc_id"],
+    )
+    for number, columns in enumerate(orders):
+        rows = docs.filter(F.col("doc_id") % 2 == number)
+        files = _files(rows, 1)
+        extent = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        low, wide = extent["low"] or 0, (extent["high"] or 0) - (extent["low"] or 0) + 1
         # The name "lang" comes twice; the last of the two counts.
-        twice = rows.select(F.lit("no").alias("_0"), *columns)
-        named = twice.toDF("lang", *columns)
-        names = spark.createDataFrame([(0, *named.columns)], ["at", *[f"_{i}" for i in range(4)]])
-        values = twice.toDF(*[f"_{i}" for i in range(4)]).select(
-            F.col(f"_{1 + columns.index('doc_id')}").cast("bigint").alias("at"),
-            *[F.col(f"_{i}").cast("string") for i in range(4)],
+        names = ["lang", *columns]
+        values = rows.select(
+            F.floor((F.col("doc_id") - low) * files / F.lit(float(wide))).cast("int").alias("file"),
+            F.col("doc_id").alias("at"),
+            F.lit("no").alias("_0"),
+            *[F.col(c).cast("string").alias(f"_{i + 1}") for i, c in enumerate(columns)],
         )
-        both = names.withColumn("at", F.lit(-1).cast("bigint")).unionByName(values)
-        ordered = both.repartition(1).sortWithinPartitions("at").drop("at")
-        ordered.write.csv(f"{path}/{part}", escape='"')
+        header = spark.range(files).select(
+            F.col("id").cast("int").alias("file"),
+            F.lit(low - 1).cast("long").alias("at"),
+            *[F.lit(name).alias(f"_{i}") for i, name in enumerate(names)],
+        )
+        placed = header.unionByName(values).repartitionById(files, F.col("file"))
+        ordered = placed.sortWithinPartitions("at").drop("file", "at")
+        ordered.write.csv(f"{path}/{number}", escape='"')
 
 
 def _export_drift(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Shards of which only some have a column."""
     docs = table(spark, sf_dir, "documents")
     for part in range(2):
-        rows = docs.filter(F.col("doc_id") % 2 == part).select("doc_id", "lang", "text")
+        rows = docs.filter(F.col("doc_id") % 2 == part)
         shard = rows.withColumn("extra", F.length("text")) if part else rows
         _in_order(shard, "doc_id", 1).write.parquet(f"{path}/part={part}")
 
@@ -179,7 +200,7 @@ def _export_events(spark: SparkSession, sf_dir: str, path: str) -> None:
 def _export_splits(spark: SparkSession, sf_dir: str, path: str) -> None:
     docs = table(spark, sf_dir, "documents").withColumn("config", F.col("lang"))
     split = F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train")
-    docs.withColumn("split", split).repartition(2, "doc_id").write.partitionBy(
+    docs.withColumn("split", split).repartition(_files(docs, 2), "doc_id").write.partitionBy(
         "config", "split"
     ).parquet(path)
 

@@ -170,6 +170,18 @@ def dedup_simhash_k10(spark, sf_dir):
     return _with_hex(_near(spark, sf_dir, 10))
 
 
+@query(
+    "copy_pairs_k6",
+    f"""{_fit(6)}, kept_prints AS (SELECT row_id, fp FROM fit WHERE row_id = canonical_id)
+SELECT f.canonical_id, min(f.row_id) AS row_id, count(*) AS members,
+  bit_count(xor(f.fp, k.fp))::int AS distance
+FROM fit f JOIN kept_prints k ON k.row_id = f.canonical_id WHERE f.fp <> k.fp
+GROUP BY f.canonical_id, f.fp, k.fp""",
+)
+def copy_pairs_k6(spark, sf_dir):
+    return D.copy_pairs(_near(spark, sf_dir, 6))
+
+
 @query(
     "dedup_json_lines",
     f"{CONTENT}, {sql_first_fit('prints', 3)} {FIT_ROWS}",

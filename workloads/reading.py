@@ -11,7 +11,7 @@ from linewright.operators.dedup import dedup_exact
 from linewright.operators.fix import fix
 from linewright.operators.lint import lint
 from linewright.plans.durable import fresh_path
-from linewright.sources import addresses, formats, parquet_meta, readers, writers
+from linewright.sources import addresses, formats, manifest, parquet_meta, readers, writers
 from linewright.streaming import lines as streams
 from workloads.base import (
     DIRTY_DOCS_SQL,
@@ -34,20 +34,16 @@ def read_jsonl(spark, sf_dir):
 
 @query(
     "with_row_id",
-    """SELECT count(*) AS n, min(row_id) AS lo, max(row_id) AS hi, count(DISTINCT row_id) AS ids,
-  count(*) AS in_order
-FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents)""",
+    """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, sha256(text) AS text_sha256
+FROM documents""",
 )
 def with_row_id(spark, sf_dir):
     lines = readers.read_jsonl(spark, exported(spark, sf_dir, "jsonl"))
-    key = F.get_json_object("line", "$.doc_id").cast("bigint")
-    ranked = table(spark, sf_dir, "documents").agg(F.min("doc_id")).scalar()
-    return lines.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("row_id").alias("lo"),
-        F.max("row_id").alias("hi"),
-        F.countDistinct("row_id").alias("ids"),
-        F.count_if(key - ranked == F.col("row_id")).alias("in_order"),
+    record = F.from_json("line", "doc_id bigint, text string")
+    return lines.select(
+        "row_id",
+        record["doc_id"].alias("doc_id"),
+        F.sha2(record["text"], 256).alias("text_sha256"),
     )
 
 
@@ -68,8 +64,10 @@ def read_parquet_lines(spark, sf_dir):
     "read_parquet_drift",
     """SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS row_id,
   case when doc_id % 2 = 0 then
-    to_json({'doc_id': doc_id, 'lang': lang, 'text': text, 'part': 0})::varchar
-  else to_json({'doc_id': doc_id, 'lang': lang, 'text': text, 'extra': length(text), 'part': 1})::varchar
+    to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars,
+      'part': 0})::varchar
+  else to_json({'doc_id': doc_id, 'text': text, 'lang': lang, 'source': source, 'n_chars': n_chars,
+    'extra': length(text), 'part': 1})::varchar
   end AS line FROM documents""",
 )
 def read_parquet_drift(spark, sf_dir):
@@ -112,9 +110,7 @@ def read_tsv_lines(spark, sf_dir):
 
 @query(
     "read_csv_orders",
-    """SELECT row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS row_id,
-  to_json({'doc_id': doc_id::varchar, 'lang': lang, 'source': source})::varchar AS line
-FROM documents""",
+    CSV_SQL.replace("ORDER BY doc_id", "ORDER BY doc_id % 2, doc_id"),
 )
 def read_csv_orders(spark, sf_dir):
     path = exported(spark, sf_dir, "csv_orders")
@@ -359,14 +355,20 @@ def dataset_info(spark, sf_dir):
 @query(
     "dataset_catalog",
     f"""WITH {DOC_LINES_SQL}, {DIRTY_DOCS_SQL}, s AS (
-  SELECT count(*) AS n, sum(octet_length(encode(line)) + 1)::bigint AS b FROM doc_lines
-  UNION ALL SELECT count(*), sum(octet_length(encode(line)) + 1)::bigint FROM dirty)
+  SELECT 'jsonl' AS kind, count(*) AS n, sum(octet_length(encode(line)) + 1)::bigint AS b
+  FROM doc_lines
+  UNION ALL SELECT 'dirty', count(*), sum(octet_length(encode(line)) + 1)::bigint FROM dirty)
 SELECT 'JSONL file with ' || n || ' lines (' || {SIZE_CASE.format(s="b", d=2)} || ')' AS description,
-  'application/jsonl' AS mime_type FROM s""",
+  'application/jsonl' AS mime_type, 'dataset/' || kind AS uri, 'Dataset: ' || kind AS name FROM s""",
 )
 def dataset_catalog(spark, sf_dir):
     paths = [exported(spark, sf_dir, kind) for kind in ("jsonl", "dirty")]
-    return catalog.dataset_catalog(spark, paths).select("description", "mime_type")
+    entries = catalog.dataset_catalog(spark, paths)
+    # Exported folders have a random tail.
+    for column in ("uri", "name"):
+        tail = "^(dataset/|Dataset: ).*/export-([a-z]+)-[0-9a-f]+$"
+        entries = entries.withColumn(column, F.regexp_replace(column, tail, "$1$2"))
+    return entries.select("description", "mime_type", "uri", "name")
 
 
 SCALED = "(o_orderkey * o_custkey * (o_orderkey % 13 + 1) * (o_custkey % 7 + 1))"
@@ -467,3 +469,62 @@ def canonical_order(spark, sf_dir):
     line = F.format_string(shape, "source", "doc_id", "lang")
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("row_id"), canonical_json(line).alias("canonical"))
+
+
+# --- row ranges by a written manifest -------------------------------------------------------
+
+
+def _manifest(spark, sf_dir, kind="jsonl", fmt="auto"):
+    path = exported(spark, sf_dir, kind)
+    return manifest.write_manifest(spark, path, fresh_path(spark, "manifest"), fmt)
+
+
+@query("manifest_lines", NUMBERED_DOCS)
+def manifest_lines(spark, sf_dir):
+    return _manifest(spark, sf_dir).lines()
+
+
+@query("manifest_csv_lines", CSV_SQL)
+def manifest_csv_lines(spark, sf_dir):
+    return _manifest(spark, sf_dir, "csv", "csv").lines()
+
+
+@query(
+    "manifest_splits",
+    """SELECT count(*) AS line_count, min(row_id) AS first_row, max(row_id) + 1 AS next_row
+FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents)""",
+)
+def manifest_splits(spark, sf_dir):
+    return _manifest(spark, sf_dir, "parquet", "parquet").entries().agg(
+        F.sum("rows").alias("line_count"),
+        F.min("first_row").alias("first_row"),
+        F.max(F.col("first_row") + F.col("rows")).alias("next_row"),
+    )
+
+
+def _range(low: str, high: str) -> str:
+    return f"""WITH {DOC_LINES_SQL}, n AS (
+  SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, line FROM doc_lines),
+t AS (SELECT count(*) AS total FROM n)
+SELECT row_id, line FROM n, t WHERE row_id BETWEEN {low} AND {high}"""
+
+
+@query("manifest_get_lines", _range("100", "10099"))
+def manifest_get_lines(spark, sf_dir):
+    return _manifest(spark, sf_dir).get_lines(100, 10_000)
+
+
+@query("manifest_rows_around", _range("total - 20", "total - 1"))
+def manifest_rows_around(spark, sf_dir):
+    rows = _manifest(spark, sf_dir)
+    return rows.rows_around(rows.total() - 9, 20)
+
+
+@query("manifest_tail", _range("total - 25", "total - 1"))
+def manifest_tail(spark, sf_dir):
+    return _manifest(spark, sf_dir).tail(25)
+
+
+@query("manifest_page", _range("75", "99"))
+def manifest_page(spark, sf_dir):
+    return _manifest(spark, sf_dir).page(3, 25)
