@@ -33,6 +33,8 @@ from linewright.plans.durable import written
 LEAST_CHARS = 10
 DOCUMENTS = 2
 MAX_BROADCAST_BYTES = 64 << 20
+# Lines of more documents than this, and of more than one pair in 10,000, are joined by broadcast.
+HOT_HOLDERS = 2_000
 # Hashes a task holds before it hands them on, beside those of one text.
 _EMIT_ROWS = 200_000
 
@@ -107,7 +109,8 @@ def lines_to_drop(
         .agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("first"))
         .filter(F.col("members") >= documents)
     )
-    lost = attach_groups(held, shared, "line", pairs).filter("doc_id <> first")
+    hot = attach_groups(held, shared, "line", pairs, cold_members=HOT_HOLDERS)
+    lost = hot.filter("doc_id <> first")
     lists, losers = written(
         lost.groupBy("doc_id").agg(F.collect_list("line.low").alias("lost")), "lost-lines"
     )

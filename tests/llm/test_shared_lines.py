@@ -83,7 +83,7 @@ def test_texts_come_back(docs_of, awkward, documents, least, monkeypatch):
 
 
 def test_a_line_of_every_document(docs_of, monkeypatch):
-    monkeypatch.setattr("linewright.plans.attach.COLD_MEMBERS", 10)
+    monkeypatch.setattr("linewright.llm.shared_lines.HOT_HOLDERS", 10)
     rows = [(i, f"a line that all of them hold\nown line of {i} alone") for i in range(300)]
     got = {r["doc_id"]: r["n_dropped"] for r in shared_line_digests(docs_of(rows)).collect()}
     assert got == {i: int(i > 0) for i in range(300)}
