@@ -4,10 +4,12 @@ Lines are normalised (A-Z lower-cased, white space collapsed), hashed, and count
 the distinct documents that hold them.  Lines above the limit are removed; a document that
 keeps too little of itself is rejected.
 
-Copies of one document are not distinct documents.  A document is known here by the two
-smallest hashes of its lines, which near copies mostly share, so a line counts as shared only
-when the documents around it differ: more than ``max_documents`` of them, and more than half
-of all rows that hold it.
+Copies of one document are not distinct documents.  Documents with the same set of normalised
+lines are one, exactly.  A line that more than ``max_documents`` of them hold is a candidate.
+Documents that are candidate lines for more than 80 % of their words are near copies where these
+lines are the same, and count once; they are known by the two least hashes of these lines, as one
+near copy may lack a line of the other.  All others count each.  A candidate that still has more
+than ``max_documents`` documents is removed.
 
 Everything is built from DataFrame functions.  The text is read once; a narrow table of line
 hashes is written and all counting runs on it.
@@ -34,9 +36,12 @@ MAX_REPEAT_PERCENT = 20
 MAX_DOCUMENTS = 10
 # A document with less than this share of its words left is rejected.
 MIN_LEFT_PERCENT = 30
+# Documents with more than this share of their words in the same shared lines are near copies.
+NEAR_COPY_PERCENT = 80
 # At most this many frequent lines (about 50 bytes each) are broadcast.
 MAX_BROADCAST_LINES = 500_000
-SALTS = 32
+# Rows of one line that a salt stands for, where frequent lines are too many to broadcast.
+SALT_ROWS = 200_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -115,37 +120,70 @@ def base_failed() -> Column:
     )
 
 
-def frequent_lines(keyed: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """``host, key, n_documents, n_rows`` of the lines above the limit.
+def _marked(lines: DataFrame, frequent: DataFrame, n_frequent: int) -> DataFrame:
+    """``lines`` (``row, host, key, ...``) with ``marked``: whether the line is in ``frequent``.
 
-    ``keyed`` has ``host``, ``lines`` and ``sketch``.  The first aggregation spreads a line
-    over the documents that hold it, so a line of every document meets in no single task.
+    A table of checked size is broadcast; beyond it hot lines are salted by their measured rows.
     """
-    held = keyed.select(
-        "host", "sketch", F.explode(F.array_distinct(F.col("lines.key"))).alias("key")
+    wanted = frequent.select(
+        F.col("host").alias("_host"), F.col("key").alias("_key"), F.lit(True).alias("_mark")
     )
-    by_document = held.groupBy("host", "key", "sketch").agg(F.count(F.lit(1)).alias("_rows"))
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key"))
+    if n_frequent <= MAX_BROADCAST_LINES:
+        joined = lines.join(F.broadcast(wanted), same, "left")
+    else:
+        largest = frequent.agg(F.max("n_rows")).first()[0] or 1
+        salts = -(-largest // SALT_ROWS)
+        salted = lines.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+        spread = wanted.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(spread, same & (F.col("_salt") == F.col("_slot")), "left")
+    marked = F.coalesce(F.col("_mark"), F.lit(False)).alias("marked")
+    return joined.select(*lines.columns, marked)
+
+
+def _candidates(keyed: DataFrame, max_documents: int) -> DataFrame:
+    """``host, key, n_rows`` of the lines of more than ``max_documents`` different line sets.
+
+    The first aggregation spreads a line over the documents that hold it, so a line of every
+    document meets in no single task.
+    """
+    held = keyed.select("host", "whole", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
+    by_document = held.groupBy("host", "key", "whole").agg(F.count(F.lit(1)).alias("_rows"))
     by_line = by_document.groupBy("host", "key").agg(
-        F.count(F.lit(1)).alias("n_documents"), F.sum("_rows").alias("n_rows")
-    )
-    return by_line.filter(
-        (F.col("n_documents") > max_documents) & (F.col("n_documents") * 2 > F.col("n_rows"))
+        F.count(F.lit(1)).alias("_documents"), F.sum("_rows").alias("n_rows")
     )
+    return by_line.filter(F.col("_documents") > max_documents).drop("_documents")
 
 
-def _matched(lines: DataFrame, frequent: DataFrame, n_frequent: int) -> DataFrame:
-    """Rows of ``lines`` (``row, host, key, words``) whose line is frequent.
+def frequent_lines(keyed: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """``host, key, n_rows`` of the lines above the limit.
 
-    A frequent table of checked size is broadcast; beyond it hot lines are salted.
+    ``keyed`` has ``row``, ``host``, ``whole`` (hash of the line set) and ``lines``.
     """
-    wanted = frequent.select(F.col("host").alias("_host"), F.col("key").alias("_key"))
-    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key"))
-    if n_frequent <= MAX_BROADCAST_LINES:
-        return lines.join(F.broadcast(wanted), same, "left_semi")
-    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    spread = wanted.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = same & (F.col("_salt") == F.col("_slot"))
-    return salted.join(spread, same, "left_semi").drop("_salt")
+    candidates, n_candidates = written(
+        _candidates(keyed, max_documents), "candidate-lines", narrow=True
+    )
+    lines = keyed.select("row", "host", "whole", F.inline("lines"))
+    # One row per document again: its lines are in one task, so little is shuffled.
+    known = (
+        _marked(lines, candidates, n_candidates)
+        .groupBy("row", "host", "whole")
+        .agg(
+            F.collect_set(F.when(F.col("marked"), F.col("key"))).alias("keys"),
+            F.sum(F.when(F.col("marked"), F.col("words")).otherwise(0)).alias("shared"),
+            F.sum("words").alias("words"),
+        )
+        .filter(F.size("keys") > 0)
+    )
+    near = F.col("shared") * 100 > F.col("words") * NEAR_COPY_PERCENT
+    least = F.slice(F.array_sort("keys"), 1, 2)
+    document = F.struct(near.alias("near"), F.when(near, F.xxhash64(least)).otherwise(F.col("whole")))
+    counted = (
+        known.select("host", document.alias("document"), F.explode("keys").alias("key"))
+        .groupBy("host", "key")
+        .agg(F.countDistinct("document").alias("_documents"), F.count(F.lit(1)).alias("n_rows"))
+    )
+    return counted.filter(F.col("_documents") > max_documents).drop("_documents")
 
 
 def line_verdicts(
@@ -170,14 +208,14 @@ def line_verdicts(
     lines = F.transform(
         "_lines",
         lambda line: F.struct(
-            line_key(line).alias("key"), F.size(words_of(line)).cast("long").alias("words")
+            line_key(line).alias("key"),
+            F.size(words_of(line)).cast("long").alias("words"),
         ),
     )
     counted = text_statistics(source).withColumn("lines", lines).drop("text", "_lines")
-    smallest = F.slice(F.array_sort(F.array_distinct(F.col("lines.key"))), 1, 2)
-    sketch = F.aggregate(smallest, F.lit(0).cast("long"), lambda total, key: total + key)
+    whole = F.xxhash64(F.array_sort(F.array_distinct(F.col("lines.key"))))
     keyed, _ = written(
-        counted.withColumns({"sketch": sketch, "row": F.monotonically_increasing_id()}),
+        counted.withColumns({"whole": whole, "row": F.monotonically_increasing_id()}),
         "line-keys",
     )
     frequent, n_frequent = written(
@@ -185,7 +223,8 @@ def line_verdicts(
     )
     # A common line stays hot here only as rows on the far side of a broadcast or salted join.
     removed = (
-        _matched(keyed.select("row", "host", F.inline("lines")), frequent, n_frequent)
+        _marked(keyed.select("row", "host", F.inline("lines")), frequent, n_frequent)
+        .filter("marked")
         .groupBy("row")
         .agg(F.sum("words").alias("n_removed"), F.collect_set("key").alias("keys"))
     )

@@ -141,18 +141,31 @@ again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win
 places AS (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS p FROM again WHERE n > 1),
 repeated AS (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id),
 l AS (SELECT doc_id, source, unnest(lines) AS line FROM d),
+n AS (
+  SELECT doc_id, source, line, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM l),
 k AS (
   SELECT doc_id, source, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-    substr(md5(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15) AS key
-  FROM l),
-sketches AS (
-  SELECT doc_id, array_to_string(list_sort(list(DISTINCT key))[1:2], '+') AS sketch
+    substr(md5(norm), 1, 15) AS key
+  FROM n),
+sets AS (
+  SELECT doc_id, array_to_string(list_sort(list(DISTINCT key)), '+') AS whole, sum(words) AS words
   FROM k GROUP BY doc_id),
-held AS (SELECT DISTINCT k.doc_id, source, key, sketch FROM k JOIN sketches USING (doc_id)),
+held AS (SELECT doc_id, source, key, sum(words) AS words FROM k GROUP BY doc_id, source, key),
+candidates AS (
+  SELECT source, key FROM held JOIN sets USING (doc_id)
+  GROUP BY source, key HAVING count(DISTINCT whole) > 10),
+known AS (
+  SELECT doc_id, source, list(key) AS keys,
+    CASE WHEN sum(h.words) * 100 > any_value(s.words) * 80
+      THEN 'near ' || array_to_string(list_sort(list(key))[1:2], '+') ELSE any_value(whole) END
+      AS document
+  FROM held h JOIN candidates USING (source, key) JOIN sets s USING (doc_id)
+  GROUP BY doc_id, source),
 frequent AS (
-  SELECT source, key FROM held GROUP BY source, key
-  HAVING count(DISTINCT sketch) > 10 AND count(DISTINCT sketch) * 2 > count(*)),
+  SELECT source, key FROM (SELECT source, document, unnest(keys) AS key FROM known)
+  GROUP BY source, key HAVING count(DISTINCT document) > 10),
 removed AS (
   SELECT doc_id, sum(words) AS n FROM k JOIN frequent USING (source, key) GROUP BY doc_id),
 counted AS (

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from linewright.llm import queries
@@ -85,3 +86,46 @@ def test_against_sql(spark):
     expected = {r[0]: r for r in duck.execute(queries.OP9_SQL).fetchall()}
     got = queries.op9_frequent_lines(spark, SF_DIR).collect()
     assert {r["doc_id"]: tuple(r) for r in got} == expected
+
+
+def test_copies_do_not_protect_a_line(docs_of, prose):
+    """A footer of 400 different pages goes, however often one of them is copied."""
+    footer = "all rights are kept by the owner of this page"
+    pages = [(i, f"{prose(i, 40)}\n{footer}") for i in range(400)]
+    copies = [(1000 + i, pages[0][1]) for i in range(401)]
+    got = by_id(line_verdicts(docs_of(pages + copies)))
+    assert all(r["n_left"] == 40 and r["kept"] for r in got.values())
+
+
+def test_pages_of_one_template(docs_of, prose):
+    """300 pages a host of 20 shared and 5 own lines: every host loses the shared ones."""
+    rows = []
+    for host in range(4):
+        shared = "\n".join(prose(100_000 + host * 100 + i, 9, 5000) for i in range(20))
+        for page in range(300):
+            own = "\n".join(prose(host * 5000 + page * 5 + i, 9, 5000) for i in range(5))
+            rows.append((host * 1000 + page, f"{shared}\n{own}", f"h{host}"))
+    got = by_id(line_verdicts(docs_of(rows)))
+    assert {r["n_left"] for r in got.values()} == {45}
+    # What is left is a fifth, so the pages are depleted.
+    assert not any(r["kept"] for r in got.values())
+
+
+def test_a_large_group_of_near_copies_stays(docs_of, prose):
+    lines = [prose(i, 25, 5000) for i in range(8)]
+    rows = []
+    for i in range(700):
+        words = lines[i % 8].split()
+        words[i % 25] = f"changed{i}"
+        rows.append((i, "\n".join([*lines[: i % 8], " ".join(words), *lines[i % 8 + 1 :]])))
+    got = by_id(line_verdicts(docs_of(rows)))
+    assert all(r["kept"] and r["n_left"] == r["n_words"] for r in got.values())
+
+
+def test_pages_of_shared_lines_alone_are_rejected(docs_of, prose):
+    pool = [prose(i, 12, 5000) for i in range(40)]
+    draw = np.random.default_rng(3)
+    rows = [(i, "\n".join(pool[k] for k in draw.choice(40, 3, replace=False))) for i in range(600)]
+    got = by_id(line_verdicts(docs_of(rows)))
+    assert not any(r["kept"] for r in got.values())
+    assert {r["n_left"] for r in got.values()} == {0}
