@@ -49,156 +49,211 @@ TILE_TERMS = 4_096
 TILE_SOURCES = 64
 # Tables of at most this many rows, by count, are broadcast.
 BROADCAST_ROWS = 500_000
-# Texts are counted and handed on in slices of about this many bytes, or one text.
-_SLICE_BYTES = 4 << 20
-
-
-def chunks_of(text: bytes) -> Counter[bytes]:
-    """How often each white-space chunk occurs; very long ones are cut between their terms."""
-    counts = Counter(text.split())
-    for chunk in [c for c in counts if len(c) > CHUNK_BYTES]:
-        times = counts.pop(chunk)
-        for piece in _NO_TERM.split(chunk):
-            if piece:
-                counts[piece] += times
-    return counts
-
-
-_COUNTED = pa.schema(
-    [
-        ("lang", pa.string()),
-        ("source", pa.string()),
-        ("chunks", pa.list_(pa.binary())),
-        ("counts", pa.list_(pa.int64())),
-    ]
-)
+# Wanted chunks sent to where texts are read, at most so many bytes of them.
+_WANTED_BYTES = 16 << 20
+# Different chunks a task adds up before it hands them on, beside those of one text.
+_HELD_CHUNKS = 1_000_000
+_EMIT_ROWS = 50_000
+
+
+def chunks_of(text: bytes) -> tuple[list[bytes], set[bytes]]:
+    """The white-space chunks in order, and the different ones; very long ones are cut between terms."""
+    chunks = text.split()
+    own = set(chunks)
+    if own and max(map(len, own)) > CHUNK_BYTES:
+        cut = [[c] if len(c) <= CHUNK_BYTES else _NO_TERM.split(c) for c in chunks]
+        chunks = [piece for pieces in cut for piece in pieces if piece]
+        own = set(chunks)
+    return chunks, own
+
+
+def _rows(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    batch = pa.record_batch(columns, names=names)
+    for start in range(0, len(batch), _EMIT_ROWS):
+        yield batch.slice(start, _EMIT_ROWS)
+
+
+# A chunk's occurrences and its documents in one number.
+_DOCUMENT = 1 << 40
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(start: int, stop: int, found: list[Counter[bytes]]) -> pa.RecordBatch:
-        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        chunks = pa.array([c for counts in found for c in counts], pa.binary())
-        times = pa.array([n for counts in found for n in counts.values()], pa.int64())
-        columns = [batch.column(name).slice(start, stop - start) for name in ("lang", "source")]
-        return pa.record_batch(
-            [
-                *columns,
-                pa.ListArray.from_arrays(offsets, chunks),
-                pa.ListArray.from_arrays(offsets, times),
-            ],
-            schema=_COUNTED,
-        )
+    """Chunk counts of each document, added up over the documents of a group the task holds."""
+    held: dict[tuple[str, int], dict[bytes, int]] = {}
+    size = 0
+
+    def emitted() -> Iterator[pa.RecordBatch]:
+        for (lang, group), found in held.items():
+            both = np.fromiter(found.values(), np.int64, len(found))
+            columns = [
+                pa.array([lang], pa.string()).take(pa.array(np.zeros(len(found), np.int32))),
+                pa.array(np.full(len(found), group, np.int64)),
+                pa.array(list(found), pa.binary()),
+                pa.array(both & (_DOCUMENT - 1)),
+                pa.array(both >> 40),
+            ]
+            yield from _rows(columns, ["lang", "group", "chunk", "times", "documents"])
 
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        start, size, found = 0, 0, []
-        for row, text in enumerate(texts):
-            raw = text.as_py()
-            found.append(chunks_of(raw))
-            size += len(raw)
-            if size > _SLICE_BYTES:
-                yield rows(start, row + 1, found)
-                start, size, found = row + 1, 0, []
-        if found:
-            yield rows(start, len(batch), found)
-
-
-def document_chunks(
-    docs: DataFrame, lang_column: str = "lang", source_column: str = "source", text: str = "text"
-) -> DataFrame:
-    """``lang, source, document, chunk, times``: chunks of each document.
-
-    ``document`` tells the rows of one job apart; another job may number them otherwise.
-    """
-    slim = docs.select(
+        keys = zip(batch.column("lang").to_pylist(), batch.column("group").to_pylist(), strict=True)
+        for key, text in zip(keys, texts, strict=True):
+            found = held.setdefault(key, {})
+            size -= len(found)
+            known = found.get
+            for chunk, times in Counter(chunks_of(text.as_py())[0]).items():
+                found[chunk] = known(chunk, 0) + times + _DOCUMENT
+            size += len(found)
+            if size > _HELD_CHUNKS:
+                yield from emitted()
+                held.clear()
+                size = 0
+    yield from emitted()
+
+
+def _slim(docs: DataFrame, lang_column: str, source_column: str, text_column: str) -> DataFrame:
+    """``lang, source, group, text`` without NULLs; ``group`` is a hash of language and source."""
+    named = docs.select(
         F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
-    counted = slim.mapInArrow(
-        _count_chunks, "lang string, source string, chunks array<binary>, counts array<long>"
+    return named.withColumn("group", F.xxhash64("lang", "source"))
+
+
+def chunk_counts(slim: DataFrame) -> DataFrame:
+    """``lang, group, chunk, times, documents`` over all documents."""
+    counted = slim.select("lang", "group", "text").mapInArrow(
+        _count_chunks, "lang string, group long, chunk binary, times long, documents long"
     )
+    # The tasks have added up what they hold, so rows are dealt before they are grouped.
+    keys = ("lang", "group", "chunk")
     return (
-        counted.withColumn("document", F.monotonically_increasing_id())
-        .select("lang", "source", "document", F.inline(F.arrays_zip("chunks", "counts")))
-        .select(
-            "lang",
-            "source",
-            "document",
-            F.col("chunks").cast("string").alias("chunk"),
-            F.col("counts").alias("times"),
-        )
+        counted.withColumn("chunk", F.col("chunk").cast("string"))
+        .repartition(*keys)
+        .groupBy(*keys)
+        .agg(F.sum("times").alias("times"), F.sum("documents").alias("documents"))
     )
 
 
+def _open_rows(wanted: dict[str, frozenset[bytes]] | None):
+    """``lang, document, chunk``: the distinct chunks of each document, or the wanted ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            langs = batch.column("lang").to_pylist()
+            rows: list[int] = []
+            chunks: list[bytes] = []
+            for row, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+                own = chunks_of(text.as_py())[1]
+                if wanted is not None:
+                    own &= wanted.get(lang, frozenset())
+                rows += [row] * len(own)
+                chunks += own
+                if len(chunks) > _EMIT_ROWS or row == len(langs) - 1:
+                    taken = batch.select(["lang", "document"]).take(pa.array(rows, pa.int64()))
+                    yield pa.record_batch(
+                        [*taken.columns, pa.array(chunks, pa.binary())],
+                        names=["lang", "document", "chunk"],
+                    )
+                    rows, chunks = [], []
+
+    return run
+
+
+def document_chunks(slim: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """``lang, document, chunk`` of the wanted ``lang, chunk``, once per document.
+
+    ``document`` tells the rows of one job apart; another job may number them otherwise.  Up to
+    a measured size the wanted chunks are looked up where the text is read.  Beyond it the
+    commonest chunks that are not wanted are dropped first, so that they do not meet in one task.
+    """
+    marked = slim.select("lang", "text").withColumn("document", F.monotonically_increasing_id())
+    shape = "lang string, document long, chunk binary"
+    pairs = wanted.select("lang", "chunk").distinct()
+    size = wanted.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0
+    if n_wanted <= BROADCAST_ROWS and size <= _WANTED_BYTES:
+        sets: dict[str, set[bytes]] = {}
+        for row in pairs.toLocalIterator():
+            sets.setdefault(row["lang"], set()).add(row["chunk"].encode())
+        rows = marked.mapInArrow(_open_rows({k: frozenset(v) for k, v in sets.items()}), shape)
+        return rows.withColumn("chunk", F.col("chunk").cast("string"))
+    rows = marked.mapInArrow(_open_rows(None), shape)
+    return rows.withColumn("chunk", F.col("chunk").cast("string"))
+
+
 def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def chunk_terms(counts: DataFrame) -> DataFrame:
-    """``chunk, term``: each distinct chunk tokenised once, a row for each time it holds the term."""
+def lang_terms(counts: DataFrame) -> DataFrame:
+    """``lang, chunk, documents, term``: the documents and terms of each chunk, by language.
+
+    Chunks are dealt once; then each distinct chunk is one row with its languages, is tokenised once,
+    and gives a row for each language and each time it holds a term.
+    """
+    by_chunk = (
+        counts.repartition("chunk")
+        .groupBy("chunk", "lang")
+        .agg(F.sum("documents").alias("documents"))
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("lang", "documents")).alias("langs"))
+    )
     terms = F.regexp_extract_all(
         F.translate("chunk", _UPPER, _LOWER), F.lit(TERM_PATTERN), F.lit(0)
     )
-    return counts.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
+    tokenised = by_chunk.select("chunk", "langs", F.explode(terms).alias("term"))
+    return tokenised.select("chunk", "term", F.inline("langs"))
 
 
-def kept_terms(
-    docs: DataFrame,
-    counts: DataFrame,
-    least: int,
-    lang_column: str,
-    source_column: str,
-    text_column: str,
-) -> tuple[DataFrame, int, DataFrame]:
+def kept_terms(slim: DataFrame, counts: DataFrame, least: int) -> tuple[DataFrame, int, DataFrame]:
     """``lang, term`` found in ``least`` documents of the language, their number, and their chunks.
 
     The chunks are ``lang, chunk, term`` of the kept terms.
     """
-    terms, _ = written(chunk_terms(counts), "chunk-terms")
-    by_lang = counts.groupBy("lang", "chunk").agg(F.sum("documents").alias("documents"))
-    found, links = written(
-        by_lang.join(terms, "chunk").select(
-            "lang", "chunk", "documents", "term", F.struct("lang", "term").alias("word")
-        ),
-        "lang-terms",
-    )
-    bounds, _ = written(
-        found.groupBy("word")
+    found, links = written(lang_terms(counts), "lang-terms")
+    bounds = (
+        found.groupBy("lang", "term")
         .agg(
             F.max("documents").alias("some"),
             F.sum("documents").alias("most"),
             F.count(F.lit(1)).alias("members"),
         )
-        .filter(F.col("most") >= least),
-        "term-bounds",
+        .filter(F.col("most") >= least)
+        .select(F.struct("lang", "term").alias("word"), "members", (F.col("some") >= least).alias("sure"))
     )
-    sure = F.col("some") >= least
-    open_chunks, n_open = written(
-        attach_groups(found, bounds.filter(~sure), "word", links).select("lang", "chunk", "term"),
-        "open-chunks",
+    worded = found.select("lang", "chunk", "term", F.struct("lang", "term").alias("word"))
+    likely, _ = written(
+        attach_groups(worded, written(bounds, "term-bounds")[0], "word", links).select(
+            "lang", "chunk", "term", "sure"
+        ),
+        "likely-chunks",
     )
-    settled = bounds.filter(sure).select("word", "members")
+    sure = likely.filter("sure").drop("sure")
+    open_chunks, n_open = written(likely.filter("NOT sure").drop("sure"), "open-chunks")
+    chunks = sure
     if n_open:
-        rows = document_chunks(docs, lang_column, source_column, text_column)
-        rows = rows.select("lang", "chunk", "document")
+        rows = document_chunks(slim, open_chunks, n_open)
         if n_open > BROADCAST_ROWS:
-            # Open chunks are rare ones; common ones need not be shuffled to find that out.
-            common = by_lang.filter(F.col("documents") >= least).select("lang", "chunk", "documents")
-            common = common.orderBy(F.col("documents").desc()).limit(BROADCAST_ROWS)
-            rows = rows.join(F.broadcast(common.drop("documents")), ["lang", "chunk"], "left_anti")
-        counted = (
+            common = counts.groupBy("lang", "chunk").agg(F.sum("documents").alias("documents"))
+            common = common.filter(F.col("documents") >= least).orderBy(F.col("documents").desc())
+            common = common.limit(BROADCAST_ROWS).select("lang", "chunk")
+            rows = rows.join(F.broadcast(common), ["lang", "chunk"], "left_anti")
+        exact, n_exact = written(
             rows.join(_small(open_chunks, n_open), ["lang", "chunk"])
-            .select(F.struct("lang", "term").alias("word"), "document")
+            .select("lang", "term", "document")
             .distinct()
-            .groupBy("word")
+            .groupBy("lang", "term")
             .agg(F.count(F.lit(1)).alias("exact"))
             .filter(F.col("exact") >= least)
+            .select("lang", "term"),
+            "exact-terms",
         )
-        settled = settled.unionByName(bounds.join(counted, "word").select("word", "members"))
-    words, n_words = written(settled, "kept-terms")
-    chunks = attach_groups(found, words, "word", links).select("lang", "chunk", "term")
-    return words.select("word.lang", "word.term"), n_words, chunks
+        chunks = sure.unionByName(open_chunks.join(_small(exact, n_exact), ["lang", "term"]))
+    chunks, _ = written(chunks.select("lang", "chunk", "term"), "kept-chunks")
+    words, n_words = written(chunks.select("lang", "term").distinct(), "kept-terms")
+    return words, n_words, chunks
 
 
 # A smoothed frequency of ``count`` among ``total`` over ``terms`` terms, exact in decimals.
@@ -298,29 +353,25 @@ def source_divergence(
     Part ``pair``: the distance to each other source of the language, all ranks.  Part ``term``: the
     terms the source uses more than its language does, with the excess, up to ``term_ranks``.
     """
-    columns = (lang_column, source_column, text_column)
-    counts, _ = written(
-        document_chunks(docs, *columns)
-        .groupBy("lang", "source", "chunk")
-        .agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("documents")),
-        "chunk-counts",
-    )
-    words, n_words, chunks = kept_terms(docs, counts, least_documents, *columns)
+    slim = _slim(docs, lang_column, source_column, text_column)
+    counts, _ = written(chunk_counts(slim), "chunk-counts")
+    words, n_words, chunks = kept_terms(slim, counts, least_documents)
     held, _ = written(
-        counts.select("lang", "source", "chunk", "times")
-        .join(chunks, ["lang", "chunk"])
-        .groupBy("lang", "source", "term")
+        counts.select("lang", "group", "chunk", "times")
+        .join(chunks.hint("shuffle_hash"), ["lang", "chunk"])
+        .groupBy("lang", "group", "term")
         .agg(F.sum("times").alias("count")),
         "term-counts",
     )
-    named = docs.select(
-        F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
-    ).distinct()
-    totals = held.groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    totals = held.groupBy("group").agg(F.sum("count").alias("total"))
     summed, n_groups = written(
-        named.join(totals, ["lang", "source"], "left").fillna(0, ["total"]), "source-totals"
+        slim.select("lang", "source", "group").distinct().join(totals, "group", "left").fillna(
+            0, ["total"]
+        ),
+        "source-totals",
     )
+    if summed.select("group").distinct().count() != n_groups:
+        raise RuntimeError("two sources have one hash")
     langs = summed.groupBy("lang").agg(
         F.count(F.lit(1)).alias("sources"), F.sum("total").alias("lang_total")
     )
@@ -334,9 +385,9 @@ def source_divergence(
         .withColumn("base", F.expr(_SHARE)),
         "source-groups",
     )
-    sized = groups.select("lang", "source", "total", "terms", "sources")
+    sized = groups.select("lang", "group", "source", "total", "terms", "sources")
     shares, _ = written(
-        held.join(_small(sized, n_groups), ["lang", "source"]).withColumn("p", F.expr(_SHARE)),
+        held.join(_small(sized, n_groups), ["lang", "group"]).withColumn("p", F.expr(_SHARE)),
         "shares",
     )
     in_lang = held.groupBy("lang", "term").agg(F.sum("count").alias("count"))

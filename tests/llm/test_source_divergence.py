@@ -85,7 +85,8 @@ def test_against_brute_force(spark, least, monkeypatch):
 
 def test_without_broadcasts_and_with_few_ranks(spark, monkeypatch):
     monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
-    monkeypatch.setattr(module, "_SLICE_BYTES", 50)
+    monkeypatch.setattr(module, "_HELD_CHUNKS", 20)
+    monkeypatch.setattr(module, "_EMIT_ROWS", 7)
     rows = made_rows(5, 120, sources=11)
     assert got(spark.createDataFrame(rows, SCHEMA), least_documents=12, term_ranks=3) == brute(rows, 12, 3)
 
@@ -104,12 +105,12 @@ def test_terms_spread_over_rare_chunks(spark):
 
 def test_long_chunks_are_cut_between_terms():
     text = "a-b," * 40 + "ü" * 100 + " " + "z" * 200 + " 1" * 3 + " " + "9" * 100
-    found = chunks_of(text.encode())
+    found, own = chunks_of(text.encode())
+    assert own == set(found)
     assert all(len(c) <= 64 or len(terms_of(c.decode())) == 1 for c in found)
     total = Counter()
-    for chunk, times in found.items():
-        for term in terms_of(chunk.decode()):
-            total[term] += times
+    for chunk in found:
+        total.update(terms_of(chunk.decode()))
     assert total == Counter(terms_of(text))
 
 
