@@ -9,11 +9,12 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewright.functions.text import is_blank
+from linewright.sources.csv_records import csv_records
 from linewright.sources.formats import CSV, PARQUET, TSV, parse_format
 from linewright.sources.rowid import (
     POSITION,
@@ -151,13 +152,17 @@ def read_csv_lines(
     sep: str = ",",
     keep_source: bool = False,
     multiline: bool = True,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """Delimited text with a header row per file; every value is a string, keys are sorted.
 
     Files may have different headers; each is read by its own.  A repeated name keeps its last
-    column.  A ragged row fails the query.  Quoted newlines need ``multiline``, which makes
-    each file one task; switch it off for large files that have none, so they split.
+    column.  A ragged row fails the query.  With ``multiline``, quoted newlines belong to their
+    value: files of up to ``split_bytes`` (``spark.sql.files.maxPartitionBytes``) are one task
+    each, and if any is larger the records are found split by split.
     """
+    if multiline and _largest_file(spark, paths) > _split_bytes(spark, split_bytes):
+        return _split_csv_lines(spark, paths, sep, keep_source)
     scan = scan_csv_lines(spark, paths, sep, multiline)
     if scan is None:
         empty = "row_id bigint, line string" + (", source_path string" if keep_source else "")
@@ -165,6 +170,52 @@ def read_csv_lines(
     return numbered_rows(scan, ["line"], keep_source)
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path without escapes; listings and scans spell local files differently."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def _split_bytes(spark: SparkSession, split_bytes: int | None) -> int:
+    if split_bytes is not None:
+        return split_bytes
+    setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting))
+
+
+def _largest_file(spark: SparkSession, paths: Paths) -> int:
+    files = spark.read.format("binaryFile").load(_as_list(paths))
+    return files.agg(F.max("length")).first()[0] or 0
+
+
+def _split_csv_lines(spark: SparkSession, paths: Paths, sep: str, keep_source: bool) -> DataFrame:
+    """Record lines of large files; their records are found split by split, and then parsed."""
+    groups = _by_header(spark, _as_list(paths), sep)
+    records = csv_records(spark, _as_list(paths), sep)
+    rows = records.groupBy("file").agg(F.max("file_records").alias("records"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per file, as in the driver's own listing; the first record of a file is its header.
+    base = F.coalesce(F.sum(F.col("records") - 1).over(earlier), F.lit(0)).alias("base")
+    placed = records.filter("record > 0").join(F.broadcast(rows.select("file", base)), "file")
+    heads = [(file, number) for number, files in enumerate(groups.values()) for file in files]
+    known = spark.createDataFrame(heads, "path string, head int")
+    known = known.select(plain_path(F.col("path")).alias("plain"), "head")
+    plain = plain_path(F.col("file"))
+    placed = placed.withColumn("plain", plain).join(F.broadcast(known), "plain")
+    parts = []
+    for number, header in enumerate(groups):
+        schema = ", ".join(f"_c{i} string" for i in range(len(header)))
+        options = {"sep": sep, "escape": '"', "mode": "FAILFAST"}
+        values = F.from_csv("text", schema, options)
+        last = {name: f"_c{i}" for i, name in enumerate(header)}
+        own = placed.filter(F.col("head") == number).withColumn("values", values)
+        fields = [F.coalesce(F.col("values")[last[n]], F.lit("")).alias(n) for n in sorted(last)]
+        source = [F.col("file").alias("source_path")] if keep_source else []
+        row_id = (F.col("base") + F.col("record") - 1).alias("row_id")
+        parts.append(own.select(row_id, F.to_json(F.struct(*fields)).alias("line"), *source))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def scan_csv_lines(
     spark: SparkSession,
     paths: Paths,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,64 @@ def in_row_order(lines: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return lines.repartitionById(parts, slot).sortWithinPartitions("row_id")
 
 
+def _runs(lines: DataFrame, ids: DataFrame) -> list[int] | None:
+    """The first row id of each partition, if each is a run of consecutive ids; else None.
+
+    ``ids`` is ``lines`` before rows were left out.  Where no shuffle stands between the scan and
+    both, they have the same partitions.  An empty partition has a negative number.
+    """
+    for frame in (lines, ids):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        if re.search(r"(?<!Broadcast)(?<!Reused)Exchange|Coalesce|Union|CartesianProduct", plan):
+            return None
+    tick = F.monotonically_increasing_id()
+    placed = ids.select("row_id", F.spark_partition_id().alias("part"), tick.alias("tick"))
+    shift = F.col("row_id") - F.col("tick").bitwiseAND((1 << 33) - 1)
+    found = placed.groupBy("part").agg(F.min(shift).alias("low"), F.max(shift).alias("high"))
+    # One row per partition of the scan.
+    first = dict.fromkeys(range(ids.rdd.getNumPartitions()), -1)
+    for row in found.toLocalIterator():
+        if row["low"] != row["high"] or row["low"] < 0:
+            return None
+        first[row["part"]] = row["low"]
+    if lines.rdd.getNumPartitions() != len(first):
+        return None
+    return [first[part] for part in sorted(first)]
+
+
 def write_lines(
     lines: DataFrame, path: str, mode: str = "errorifexists", ids: DataFrame | None = None
 ) -> None:
-    """Write ``line`` as text; the part files follow each other in ``row_id`` order."""
-    in_row_order(lines, ids).select("line").write.mode(mode).text(path)
+    """Write ``line`` as text; the part files follow each other in ``row_id`` order.
+
+    Lines read in row order, each partition a run of consecutive ids, are written where they are:
+    their files are named by the first row of the run.  Others are dealt into ranges of ids.
+    """
+    runs = _runs(lines, lines if ids is None else ids)
+    if runs is None:
+        in_row_order(lines, ids).select("line").write.mode(mode).text(path)
+        return
+    spark = lines.sparkSession
+    folder = _Swap(spark, path)
+    if folder.exists(path):
+        if mode in ("errorifexists", "error"):
+            raise FileExistsError(f"{path} exists")
+        if mode == "ignore":
+            return
+        if mode == "append":
+            in_row_order(lines, ids).select("line").write.mode(mode).text(path)
+            return
+    staged = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.select("line").write.text(staged)
+    for status in folder.filesystem.listStatus(folder.to_path(staged)):
+        name = status.getPath().getName()
+        part = re.match(r"part-(\d+)-", name)
+        if part:
+            first = runs[int(part[1])]
+            folder.move(f"{staged}/{name}", f"{staged}/rows-{max(first, 0):019d}-{name}")
+    if folder.exists(path):
+        folder.delete(path)
+    folder.move(staged, path)
 
 
 def unique_lines(

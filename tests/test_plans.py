@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from linewright.functions import tokens as T
 from linewright.operators import dedup, fix, lint, rows, search
 from linewright.operators.annotate import annotate
-from linewright.sources import readers
+from linewright.plans.bitmaps import with_flags
+from linewright.sources import readers, writers
+from linewright.sources.manifest import write_manifest
+from linewright.sources.readers import read_jsonl
 from workloads.counting import word_tokenizer
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -90,3 +93,51 @@ def test_row_ids_do_not_shuffle_lines(spark, tmp_path):
     assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
     lines_side = shown.split("BroadcastHashJoin", 1)[1].split("BroadcastExchange", 1)[0]
     assert "Exchange" not in lines_side
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 5])
+def test_flags_beyond_the_limit_move_no_lines(spark, buckets):
+    lines = spark.range(0, 200_000, 1, 4).selectExpr("id AS row_id", "concat('line ', id) AS line")
+    marks = lines.filter("row_id % 7 = 0 OR row_id > 190000").selectExpr(
+        "row_id", "row_id % 7 = 0 AS a", "row_id > 190000 AS b"
+    )
+    marked = with_flags(lines, marks, ["a", "b"], bitmap_buckets=buckets)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange hashpartitioning" not in plan
+    wrong = marked.filter("a <> (row_id % 7 = 0) OR b <> (row_id > 190000)")
+    assert wrong.count() == 0 and marked.count() == 200_000
+
+
+def test_lines_in_row_order_are_written_where_they_are(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "in")
+    spark.range(0, 5000, 1, 6).selectExpr("concat('line ', id) AS value").write.text(source)
+    rows = write_manifest(spark, source, str(tmp_path / "manifest"))
+    lines = rows.lines()
+
+    def never(*_):
+        raise AssertionError("shuffled")
+
+    monkeypatch.setattr(writers, "in_row_order", never)
+    writers.write_lines(lines, str(tmp_path / "out"))
+    back = read_jsonl(spark, str(tmp_path / "out"))
+    assert back.count() == 5000
+    assert back.filter(F.col("line") != F.concat(F.lit("line "), F.col("row_id"))).count() == 0
+    # Rows left out do not change what is a run.
+    some = lines.filter("row_id % 3 = 0")
+    writers.write_lines(some, str(tmp_path / "out"), mode="overwrite", ids=lines)
+    back = read_jsonl(spark, str(tmp_path / "out"))
+    assert [r.line for r in back.orderBy("row_id").collect()] == [f"line {i}" for i in range(0, 5000, 3)]
+    with pytest.raises(FileExistsError):
+        writers.write_lines(some, str(tmp_path / "out"), ids=lines)
+    plan = some.select("line")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
+def test_lines_out_of_order_are_dealt_into_ranges(spark, tmp_path):
+    lines = spark.range(0, 1000, 1, 4).selectExpr("(id * 37) % 1000 AS row_id", "'x' AS line")
+    assert writers._runs(lines, lines) is None
+    shuffled = spark.range(0, 1000, 1, 4).selectExpr("id AS row_id", "string(id) AS line").repartition(5)
+    assert writers._runs(shuffled, shuffled) is None
+    writers.write_lines(shuffled, str(tmp_path / "out"))
+    back = read_jsonl(spark, str(tmp_path / "out"))
+    assert back.filter(F.col("line") != F.col("row_id").cast("string")).count() == 0
