@@ -37,10 +37,13 @@ HEADLINE = [
     "dedup_simhash",
     "dedup_simhash_k5",
     "dedup_simhash_k8",
+    "dedup_simhash_k10",
+    "copy_pairs_k6",
     "dedup_json_lines",
     "export_unique",
     "write_fixed",
     "search_all_with_context",
+    "manifest_get_lines",
     "count_tokens",
     "token_budget",
     "stream_fix",
