@@ -325,7 +325,7 @@ def test_a_stopped_overwrite_is_finished(spark, tmp_path, monkeypatch, moves):
         with pytest.raises(KeyboardInterrupt):
             writers.overwrite_in_place(readers.read_jsonl(spark, path).filter("row_id > 2"), path)
     assert writers.finish_overwrite(spark, path)
-    assert [r.line for r in readers.read_jsonl(spark, path).collect()] == [f"l{i}" for i in range(3, 10)]
+    assert [r.line for r in readers.read_jsonl(spark, path).orderBy("row_id").collect()] == [f"l{i}" for i in range(3, 10)]
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["data"]
     assert not writers.finish_overwrite(spark, path)
 
@@ -340,7 +340,7 @@ def test_the_next_overwrite_finds_complete_data(spark, tmp_path, monkeypatch):
             writers.overwrite_in_place(lines.filter("row_id > 3"), path)
     # No data is at the path now; the next call brings the new data there before it replaces it.
     writers.overwrite_in_place(lines.filter("row_id < 2"), path)
-    assert [r.line for r in readers.read_jsonl(spark, path).collect()] == ["l0", "l1"]
+    assert [r.line for r in readers.read_jsonl(spark, path).orderBy("row_id").collect()] == ["l0", "l1"]
 
 
 def test_an_incomplete_overwrite_is_not_taken_up(spark, tmp_path):
@@ -351,7 +351,7 @@ def test_an_incomplete_overwrite_is_not_taken_up(spark, tmp_path):
     (tmp_path / "data.tmp" / "part-0").write_text("half")
     assert not writers.finish_overwrite(spark, path)
     writers.overwrite_in_place(lines.selectExpr("row_id", "'new' AS line"), path)
-    assert [r.line for r in readers.read_jsonl(spark, path).collect()] == ["new"]
+    assert [r.line for r in readers.read_jsonl(spark, path).orderBy("row_id").collect()] == ["new"]
 
 
 def test_a_catalog_of_many_datasets_is_one_plan(spark, tmp_path):
