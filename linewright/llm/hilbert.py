@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is cut at its quantiles into ``2**bits`` cells, the cells of a row give its
+Each dimension is cut at its quantiles into ``2**bits`` cells (strings by their whole values, ranked
+by the rows before them), the cells of a row give its
 index on the curve, and the rows, sorted by that index, are cut into runs of equal length.
 Rows that are close in all dimensions fall into the same few shards, so a filter on any of
 them skips most shards by their minima and maxima (``shard_bounds``).
@@ -13,17 +14,18 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linewright.llm.ranking import with_global_rank
+from linewright.plans.attach import attach_groups
+from linewright.plans.durable import written
 
 DIMENSIONS = ("lang", "source", "n_chars")
 BITS = 6
-# Characters of a string that its order is taken from: as many bytes as a BIGINT holds.
-_PREFIX_BYTES = 7
-
+# Values of more rows than this, and of more than one row in 10,000, are joined by broadcast.
+HOT_ROWS = 10_000
 
 def _gray(i: int) -> int:
     return i ^ (i >> 1)
@@ -91,24 +93,53 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step, lambda at: at["index"])
 
 
-def ordinal(df: DataFrame, name: str) -> Column:
-    """A BIGINT that orders as the column does; strings by their first seven bytes."""
-    if isinstance(df.schema[name].dataType, StringType):
-        head = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, _PREFIX_BYTES))
-        return F.conv(F.rpad(head, 2 * _PREFIX_BYTES, "0"), 16, 10).cast("long")
-    return F.col(name).cast("long")
+def value_ranks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``value, members, ordinal`` of each distinct value, and all their rows; NULL is left out.
+
+    The ordinal is the number of rows with smaller values, so it orders whole values, whatever
+    they begin with.  Values are sorted in ranges; only one row per range meets in a window.
+    """
+    counts, _ = written(
+        df.filter(F.col(name).isNotNull())
+        .groupBy(F.col(name).alias("value"))
+        .agg(F.count(F.lit(1)).alias("members")),
+        "values",
+    )
+    ranges, _ = written(
+        counts.orderBy("value").withColumn("range", F.spark_partition_id()), "value-ranges"
+    )
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.groupBy("range").agg(F.sum("members").alias("rows")).select(
+        "range", F.coalesce(F.sum("rows").over(earlier.orderBy("range")), F.lit(0)).alias("base")
+    )
+    inside = F.coalesce(
+        F.sum("members").over(earlier.partitionBy("range").orderBy("value")), F.lit(0)
+    )
+    ranked, _ = written(
+        ranges.withColumn("inside", inside)
+        .join(F.broadcast(bases), "range")
+        .select("value", "members", (F.col("base") + F.col("inside")).alias("ordinal")),
+        "value-ranks",
+    )
+    return ranked, ranked.agg(F.sum("members")).first()[0] or 0
+
+
+def _fractions(bits: int) -> list[float]:
+    return [i / (1 << bits) for i in range(1, 1 << bits)]
+
+
+def _rank_cuts(ranked: DataFrame, rows: int, bits: int) -> list[int]:
+    """The ordinals of the values that hold each quantile of the rows."""
+    held = [
+        F.max(F.when(F.col("ordinal") <= int(f * rows), F.col("ordinal"))) for f in _fractions(bits)
+    ]
+    return [cut for cut in ranked.agg(*held).first() if cut is not None]
 
 
-def quantile_cuts(df: DataFrame, dimensions: list[str], bits: int) -> list[list[int]]:
-    """The cuts of each dimension into ``2**bits`` cells, by sketches of bounded size."""
-    fractions = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(
-        *[
-            F.percentile_approx(ordinal(df, d), fractions, 10_000).alias(f"cuts_{i}")
-            for i, d in enumerate(dimensions)
-        ]
-    ).first()
-    return [cuts[i] or [] for i in range(len(dimensions))]
+def quantile_cuts(df: DataFrame, name: str, bits: int) -> list[int]:
+    """The cuts of a numeric dimension into ``2**bits`` cells, by a sketch of bounded size."""
+    number = F.col(name).cast("long")
+    return df.agg(F.percentile_approx(number, _fractions(bits), 10_000)).first()[0] or []
 
 
 def _cell(value: str, cuts: list[int]) -> Column:
@@ -148,9 +179,22 @@ def hilbert_shards(
         F.col(id_column).alias("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        *[ordinal(docs, d).alias(f"_o{i}") for i, d in enumerate(dimensions)],
+        *[F.col(d).alias(f"_o{i}") for i, d in enumerate(dimensions)],
     )
-    slim = with_curve(plain, quantile_cuts(docs, dimensions, bits), bits)
+    cuts: list[list[int]] = []
+    for i, name in enumerate(dimensions):
+        at = f"_o{i}"
+        if not isinstance(docs.schema[name].dataType, StringType):
+            plain = plain.withColumn(at, F.col(at).cast("long"))
+            cuts.append(quantile_cuts(docs, name, bits))
+            continue
+        ranked, rows = value_ranks(docs, name)
+        cuts.append(_rank_cuts(ranked, rows, bits))
+        groups = ranked.withColumnRenamed("value", at)
+        # A few values may hold most rows, and NULL may, too.
+        joined = attach_groups(plain, groups, at, rows, "left", cold_members=HOT_ROWS, null_keys=True)
+        plain = joined.drop(at, "members").withColumnRenamed("ordinal", at)
+    slim = with_curve(plain, cuts, bits)
     order = [F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32")]
     ranked, total = with_global_rank(slim, order, "hilbert")
     # Whole-number division, exact at any size.

@@ -5,7 +5,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from linewright.llm.hilbert import curve_tables, hilbert_index, hilbert_shards, shard_bounds, write_shards
+from linewright.llm.hilbert import (
+    curve_tables,
+    hilbert_index,
+    hilbert_shards,
+    shard_bounds,
+    value_ranks,
+    write_shards,
+)
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 1)])
@@ -66,3 +73,35 @@ def test_filters_skip_shards(spark, tmp_path):
     bounds = shard_bounds(written, ["lang", "source", "n_chars"]).collect()
     hit = [b for b in bounds if b["min_lang"] <= "l0" <= b["max_lang"] and b["min_source"] <= "s0" <= b["max_source"]]
     assert 0 < len(hit) < len(bounds) / 3
+
+
+def test_long_values_with_a_common_head_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr("linewright.llm.hilbert.HOT_ROWS", 20)
+    rows = [
+        (i, f"text {i}", "en", f"https://a.long.name.example/site{i * i % 50:02}" if i % 9 else None, i % 13)
+        for i in range(600)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sources = sorted(r[3] for r in rows if r[3])
+    ordinals = {s: sources.index(s) for s in set(sources)}
+    ranked, total = value_ranks(docs, "source")
+    assert {r["value"]: r["ordinal"] for r in ranked.collect()} == ordinals and total == len(sources)
+
+    def cell(values, value):
+        """Cuts of 64 cells below the value."""
+        if value is None:
+            return 0
+        cuts = [max(v for v in values if v <= int(i / 64 * len(sources))) for i in range(1, 64)]
+        return sum(cut < value for cut in cuts)
+
+    got = {r["doc_id"]: r for r in hilbert_shards(docs, 8, ["source", "lang"]).collect()}
+    by_curve = sorted((r["curve"], i) for i, r in got.items())
+    cells = [(i, cell(set(ordinals.values()), ordinals.get(s)), 0) for i, _, _, s, _ in rows]
+    frame = spark.createDataFrame(cells, "doc_id long, one int, two int")
+    index = hilbert_index([F.col("one"), F.col("two")], 6)
+    expected = {r["doc_id"]: r["at"] for r in frame.withColumn("at", index).collect()}
+    assert {i: r["curve"] for i, r in got.items()} == expected
+    # Few values share a cell of 64, and none of the others share an index.
+    assert len(set(expected.values())) >= len(ordinals) // 2
+    for place, (_, doc_id) in enumerate(by_curve):
+        assert got[doc_id]["shard"] == place * 8 // len(rows)
