@@ -14,6 +14,7 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -42,6 +43,34 @@ _MARK[0x21:0x7F] = True
 _MARK[48:58] = _MARK[65:91] = _MARK[97:123] = False
 
 
+# The settings of tokenizers whose ids of a text are those of its words in order.
+WORD_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_MARK = "<|"
+
+
+def _goes_by_words(path: str) -> bool:
+    """Whether the file's normaliser, splitter and special tokens are those above."""
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    normalizer = settings.get("normalizer") or {}
+    splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    split = {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}
+    return (
+        settings["model"].get("type") == "BPE"
+        and normalizer.get("normalizers") == WORD_NORMALIZERS
+        and len(splits) == 2
+        and splits[0] == split
+        and byte_level.items() <= splits[1].items()
+        and all(t["content"].startswith(WORD_MARK) for t in settings.get("added_tokens", []))
+    )
+
+
 def _byte_letters() -> dict[int, int]:
     """How byte-level vocabularies write bytes: printable Latin-1 as is, others from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,7 +82,8 @@ class WordEncoder:
     """Encodes texts word by word, remembering the ids of words.
 
     Only for byte-level tokenizers that lower-case, drop white space, and split at it and
-    between letters and marks, so that the ids of a text are those of its words in order.
+    between letters and marks, so that the ids of a text are those of its words in order;
+    ``TextEncoder`` takes any.
     """
 
     def __init__(self, path: str) -> None:
@@ -117,6 +147,27 @@ class WordEncoder:
         return ids, np.diff(totals)
 
 
+class TextEncoder:
+    """Encodes whole texts, for any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each text's."""
+        raw, bounds = data.tobytes(), offsets.tolist()
+        found = [
+            self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+        ]
+        counts = np.array([len(ids) for ids in found], np.int64)
+        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+        return flat, counts
+
+
 def _spaced(words: Words, raw: bytes) -> list[bytes]:
     """The words; texts stand side by side, so a text that ends in a word is cut off first."""
     ends = words.offsets[1:-1]
@@ -145,12 +196,12 @@ def _set_apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> WordEncoder | TextEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path) if _goes_by_words(path) else TextEncoder(path)
     return _ENCODERS[path]
 
 

@@ -118,3 +118,21 @@ def test_no_rows(docs_of):
 def test_tables(spark, encoder):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     check(docs, [(r["doc_id"], r["text"]) for r in docs.collect()], 4096, encoder)
+
+
+def test_other_tokenizers_encode_whole_texts(docs_of):
+    """A tokenizer that keeps case and spaces does not go by words."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing._encoder(path)
+    assert isinstance(encoder, packing.TextEncoder) and isinstance(packing._encoder(TOKENIZER), WordEncoder)
+    rows = [(1, "Hello World, this is Fine."), (2, ""), (3, None), (4, "<|endoftext|> é  x\n\n"), (5, "ab " * 9000)]
+    got = pack(docs_of(rows), path, 1024).collect()
+    for doc_id, text in rows:
+        ids = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == doc_id)
+        expected = [
+            (s, len(ids[s : s + 1024]), zlib.crc32(np.array(ids[s : s + 1024], "<u4").tobytes()))
+            for s in range(0, len(ids), 1024)
+        ]
+        assert pieces == expected
+    assert encoder.tokenizer.encode(rows[0][1]).ids[:2] == [15496, 2159]
