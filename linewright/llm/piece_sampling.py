@@ -9,8 +9,10 @@ The draws are hashes of the row's key, the unit's place and the step, so a row g
 pieces on any cluster, while two occurrences of one word may be cut differently.
 
 A piece weighs 1 / (2 + its rank) ** ``sharpness``; the vocabulary only has ranks, no
-probabilities.  Units beyond UNIT_BYTES are cut between characters.  The lattice of a word is
-built once per chunk of texts, for all words of the chunk together.
+probabilities.  The lattice of a word is built once per chunk of texts, for all words of the chunk
+together.  Units beyond UNIT_BYTES, such as text without spaces, are taken one by one: their sums
+are kept as logarithms, so that a unit of any length has one lattice, and pieces are looked up
+again on the way back instead of being stored.
 
 Decoding joins the bytes of the pieces and drops the first space: it restores every text exactly,
 white space, control characters and U+2581 included.
@@ -23,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,6 +61,7 @@ class Vocabulary:
         self.pieces: list[bytes] = []
         by_length: dict[int, list[tuple[bytes, int, float]]] = {}
         rank = 0
+        ranked: list[tuple[bytes, int, int]] = []
         for i in range(size):
             text = model.id_to_piece(i)
             if model.is_byte(i):
@@ -73,7 +77,11 @@ class Vocabulary:
                 self.pieces.append(raw)
                 weight = (2.0 + rank) ** -sharpness * _LIFT ** len(raw)
                 by_length.setdefault(len(raw), []).append((raw, i, weight))
+                ranked.append((raw, i, rank))
                 rank += 1
+        # Logarithms of the weights as they are, for units of any length.
+        self.logs = {raw: (i, -sharpness * float(np.log(2.0 + rank))) for raw, i, rank in ranked}
+        self.byte_log = -sharpness * float(np.log(size))
         self.byte_weight = float(size) ** -sharpness * _LIFT
         self.longest = max(by_length)
         table = _table()
@@ -111,27 +119,58 @@ class Lattices:
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where units start: at a text, at a space after none, around a line end, at UNIT_BYTES."""
+    """Where units start: at a text, at a space after none, and around a line end."""
     start = np.zeros(len(data), bool)
     start[offsets[:-1][offsets[:-1] < len(data)]] = True
     space, line = data == 0x20, data == 0x0A
     start[1:] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
-    starts = np.flatnonzero(start)
-    sizes = np.diff(np.append(starts, len(data)))
-    if len(sizes) and sizes.max() > UNIT_BYTES:
-        # A character is at most four bytes: cut at the last one that begins in reach.
-        begins = (data & 0xC0) != 0x80
-        more: list[int] = []
-        for s, n in zip(starts[sizes > UNIT_BYTES].tolist(), sizes[sizes > UNIT_BYTES].tolist(), strict=True):
-            at, end = s, s + n
-            while end - at > UNIT_BYTES:
-                step = UNIT_BYTES
-                while step > UNIT_BYTES - 4 and not begins[at + step]:
-                    step -= 1
-                at += step
-                more.append(at)
-        starts = np.union1d(starts, np.array(more))
-    return starts
+    return np.flatnonzero(start)
+
+
+def _pieces_before(vocabulary: Vocabulary, unit: bytes, end: int) -> list[tuple[int, int, float]]:
+    """(length, id, log weight) of the pieces that end at a border, long ones first."""
+    known = vocabulary.logs
+    found = []
+    for size in range(min(vocabulary.longest, end), 0, -1):
+        piece = known.get(unit[end - size : end])
+        if piece is not None:
+            found.append((size, *piece))
+    found.append((1, int(vocabulary.byte_ids[unit[end - 1]]), vocabulary.byte_log))
+    return found
+
+
+def unit_logs(vocabulary: Vocabulary, unit: bytes) -> np.ndarray:
+    """The log of the sum of the weights of all ways to each border of one unit."""
+    logs = np.zeros(len(unit) + 1)
+    for end in range(1, len(unit) + 1):
+        ways = [logs[end - size] + log for size, _, log in _pieces_before(vocabulary, unit, end)]
+        most = max(ways)
+        logs[end] = most + math.log(sum(math.exp(way - most) for way in ways))
+    return logs
+
+
+def sample_unit(vocabulary: Vocabulary, unit: bytes, stream: np.uint64) -> list[int]:
+    """Piece ids of a unit of any length, drawn backwards from its end."""
+    logs = unit_logs(vocabulary, unit)
+    ids, end, step = [], len(unit), 0
+    while end:
+        uniform = float(_uniform(np.array([stream]), step)[0])
+        pieces = _pieces_before(vocabulary, unit, end)
+        for size, piece, log in pieces:
+            uniform -= math.exp(logs[end - size] + log - logs[end])
+            if uniform < 0:
+                break
+        # What rounding leaves goes to the last piece.
+        ids.append(piece)
+        end -= size
+        step += 1
+    return ids[::-1]
+
+
+def _uniform(streams: np.ndarray, step: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        draw = mix(mix(streams) + np.uint64(step)) >> np.uint64(11)
+    return draw.astype(np.float64) / float(1 << 53)
 
 
 def build_lattices(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray) -> Lattices:
@@ -186,20 +225,20 @@ def build_lattices(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray)
     return Lattices(first, keys, length[order], piece[order])
 
 
-def sample(
-    vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, row_keys: np.ndarray, seed: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts in a row, and the number of each text's."""
-    texts = len(offsets) - 1
-    starts = units_of(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(texts, np.int64)
-    sizes = np.diff(np.append(starts, len(data)))
-    owner = np.searchsorted(offsets, starts, "right") - 1
+def _sampled(
+    vocabulary: Vocabulary,
+    data: np.ndarray,
+    starts: np.ndarray,
+    sizes: np.ndarray,
+    streams: np.ndarray,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(units, ids) of the pieces drawn at each step backwards, for units of up to UNIT_BYTES."""
     # One lattice for all units of the same bytes.
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    bytes_ = data[place + np.repeat(starts, sizes)]
     powers = np.cumprod(np.append(np.uint64(1), np.full(UNIT_BYTES, _FACTOR)))
-    marks = mix(np.add.reduceat(_table()[data] * powers[place], starts) + sizes.astype(np.uint64))
+    marks = mix(np.add.reduceat(_table()[bytes_] * powers[place], first) + sizes.astype(np.uint64))
     _, chosen, unit = np.unique(marks, return_index=True, return_inverse=True)
     own_sizes = sizes[chosen]
     own_starts = np.cumsum(own_sizes) - own_sizes
@@ -207,33 +246,56 @@ def sample(
     lattices = build_lattices(
         vocabulary, data[within + np.repeat(starts[chosen], own_sizes)], own_starts
     )
-    first_unit = np.searchsorted(owner, np.arange(texts))
-    turn = (np.arange(len(starts)) - first_unit[owner]).astype(np.uint64)
-    streams = mix(row_keys.astype(np.uint64)[owner] + np.uint64(seed)) + turn * _FACTOR
     active = np.arange(len(starts))
     end = own_starts[unit] + sizes - 1
     taken: list[tuple[np.ndarray, np.ndarray]] = []
-    steps = np.zeros(len(starts), np.int64)
     left = sizes.copy()
-    step = 0
     while len(active):
-        draw = mix(mix(streams[active]) + np.uint64(step)) >> np.uint64(11)
-        uniform = draw.astype(np.float64) / float(1 << 53)
+        uniform = _uniform(streams[active], len(taken))
         edge = lattices.first[end[active]]
         beyond = np.flatnonzero(lattices.keys[edge] <= uniform)
         while len(beyond):
             edge[beyond] += 1
             beyond = beyond[lattices.keys[edge[beyond]] <= uniform[beyond]]
         taken.append((active, lattices.ids[edge]))
-        steps[active] += 1
         end[active] -= lattices.lengths[edge]
         left[active] -= lattices.lengths[edge]
         active = active[left[active] > 0]
-        step += 1
+    return taken
+
+
+def sample(
+    vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, row_keys: np.ndarray, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts in a row, and the number of each text's."""
+    texts = len(offsets) - 1
+    starts = units_of(data, offsets)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(texts, np.int64)
+    sizes = np.diff(np.append(starts, len(data)))
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    first_unit = np.searchsorted(owner, np.arange(texts))
+    turn = (np.arange(len(starts)) - first_unit[owner]).astype(np.uint64)
+    streams = mix(row_keys.astype(np.uint64)[owner] + np.uint64(seed)) + turn * _FACTOR
+    steps = np.zeros(len(starts), np.int64)
+    taken: list[tuple[np.ndarray, np.ndarray]] = []
+    short = np.flatnonzero(sizes <= UNIT_BYTES)
+    if len(short):
+        taken = _sampled(vocabulary, data, starts[short], sizes[short], streams[short])
+        taken = [(short[rows], pieces) for rows, pieces in taken]
+        for rows, _ in taken:
+            steps[rows] += 1
+    longer = {}
+    for row in np.flatnonzero(sizes > UNIT_BYTES).tolist():
+        unit = data[starts[row] : starts[row] + sizes[row]].tobytes()
+        longer[row] = sample_unit(vocabulary, unit, streams[row])
+        steps[row] = len(longer[row])
     base = np.cumsum(steps)
     ids = np.zeros(int(base[-1]), np.int64)
     for back, (rows, pieces) in enumerate(taken):
         ids[base[rows] - 1 - back] = pieces
+    for row, pieces in longer.items():
+        ids[base[row] - len(pieces) : base[row]] = pieces
     counts = np.bincount(owner, weights=steps, minlength=texts).astype(np.int64)
     return ids, counts
 

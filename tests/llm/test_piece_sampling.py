@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +19,7 @@ from linewright.llm.piece_sampling import (
     sample,
     sampling_digests,
     spaced,
+    unit_logs,
 )
 from linewright.llm.words import text_chunks
 from llm_support import SF_DIR, by_id
@@ -108,3 +110,44 @@ def test_digests_are_of_the_encoded_ids(spark):
     for r in sampling_digests(docs, MODEL).collect():
         raw = np.array(ids[r["doc_id"]]["ids"], "<u4").tobytes()
         assert r["ids_crc32"] == zlib.crc32(raw) and r["lossless"]
+
+
+def exact_ways(unit):
+    """Sums of weights to each border, in decimals of many digits."""
+    weights = {p: Decimal(1) / (2 + r) for r, p in enumerate([p for i, p in enumerate(VOCABULARY.pieces) if i >= 259])}
+    sums = [Decimal(1)]
+    for end in range(1, len(unit) + 1):
+        total = sums[-1] / 32000
+        for size in range(1, min(VOCABULARY.longest, end) + 1):
+            total += sums[end - size] * weights.get(unit[end - size : end], 0)
+        sums.append(total)
+    return sums, weights
+
+
+@pytest.mark.parametrize("text", ["theinformationofthenation" * 20, "日本語のテキスト" * 70, "aGVsbG8gd29ybGQ" * 40])
+def test_a_long_unit_has_one_lattice(text):
+    unit = f" {text}".encode()
+    assert len(unit) > 500
+    sums, weights = exact_ways(unit)
+    logs = unit_logs(VOCABULARY, unit)
+    assert all(abs(Decimal(float(log)).exp() / s - 1) < Decimal("1e-9") for log, s in zip(logs, sums, strict=True))
+    # The last piece is drawn with its exact probability, wherever a cut at 64 bytes would lie.
+    end, n = len(unit), 400
+    exact = {
+        size: float(sums[end - size] * weights.get(unit[end - size :], 0) / sums[end])
+        + (float(sums[end - 1] / 32000 / sums[end]) if size == 1 else 0.0)
+        for size in range(1, VOCABULARY.longest + 1)
+    }
+    drawn = Counter(len(VOCABULARY.pieces[ids[-1]]) for ids, _ in encoded([text] * n, range(n)))
+    assert all(abs(drawn[size] / n - p) < 0.1 for size, p in exact.items())
+    assert all(exact[size] > 0 for size in drawn)
+
+
+def test_pieces_reach_over_every_64th_byte():
+    text = "information" * 200
+    over = 0
+    for ids, back in encoded([text] * 20, range(20)):
+        assert back.decode() == text
+        ends = set(np.cumsum([len(VOCABULARY.pieces[i]) for i in ids]).tolist())
+        over += sum(at not in ends for at in range(64, 2200, 64))
+    assert over > 300
