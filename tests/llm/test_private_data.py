@@ -114,3 +114,68 @@ def test_masking_and_awkward_rows(docs_of, awkward):
     assert got[50]["text"] == "é <EMAIL>, 🙂 <IP>!" and got[1]["text"] is None
     assert private_spans(docs).count() == len(rows)
     assert private_spans(docs_of([])).collect() == [] and masked(docs_of([])).collect() == []
+
+
+def chain(length, kinds=3):
+    unary = np.zeros((length, kinds))
+    unary[0, 1] = 6.0
+    links = np.array([(i, i + 1, 0) for i in range(length - 1)])
+    return unary, links, 5.0 * np.eye(kinds)[None]
+
+
+def exact_chain(unary, pair):
+    """Forward and backward sums along a chain."""
+    before, after = np.zeros_like(unary), np.zeros_like(unary)
+    for i in range(1, len(unary)):
+        before[i] = np.logaddexp.reduce((before[i - 1] + unary[i - 1])[:, None] + pair, axis=0)
+        before[i] -= before[i].max()
+    for i in range(len(unary) - 2, -1, -1):
+        after[i] = np.logaddexp.reduce((after[i + 1] + unary[i + 1])[None, :] + pair, axis=1)
+        after[i] -= after[i].max()
+    odds = np.exp(unary + before + after)
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def test_evidence_travels_along_long_chains():
+    unary, links, pair = chain(400)
+    exact = exact_chain(unary, pair[0])
+    assert exact[20, 1] > 0.5
+    assert np.allclose(beliefs(unary, links, pair), exact, atol=1e-3)
+
+
+def test_a_text_does_not_depend_on_the_others():
+    draw = np.random.default_rng(2)
+    pair = draw.normal(size=(4, 5, 5))
+    alone, unary, links, text_of, at = [], [], [], [], 0
+    for t, size in enumerate([3, 80, 1, 20, 40, 7]):
+        own = draw.normal(size=(size, 5))
+        own_links = [(i, i + 1, int(draw.integers(4))) for i in range(size - 1)]
+        own_links += [(i, i + 3, 1) for i in range(size - 3)]
+        alone.append(beliefs(own, np.array(own_links, np.int64).reshape(-1, 3), pair))
+        unary.append(own)
+        links += [(a + at, b + at, k) for a, b, k in own_links]
+        text_of += [t] * size
+        at += size
+    together = beliefs(np.concatenate(unary), np.array(links), pair, np.array(text_of))
+    assert np.array_equal(together, np.concatenate(alone))
+
+
+def test_recall_of_planted_repeats(docs_of, prose):
+    """Numbers and names that a pattern finds once are found again where it misses them."""
+    rows, planted = list(corpus()), {}
+    for i in range(120):
+        number, again = f"+44 ({300 + i}) 555-{2000 + 31 * i}", f"555-{2000 + 31 * i}"
+        text = f"{prose(i, 20)} call {number} soon. {prose(i + 500, 20)} or {again}, {prose(i + 900, 9)} {again}!"
+        planted[1000 + i] = {(m.start(), m.end()) for m in re.finditer(f"(?<=[ ]){again}", text)} - {
+            (text.index(number) + len(number) - len(again), text.index(number) + len(number))
+        }
+        rows.append((1000 + i, text))
+    clean = [(5000 + i, f"{prose(i + 2000, 60)} in {1900 + i} there were {i + 3} of 12.5") for i in range(100)]
+    got = by_id(private_spans(docs_of(rows + clean)))
+
+    def spans(i):
+        return {tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s}
+
+    found = sum(len(places & spans(i)) for i, places in planted.items())
+    assert found >= 0.9 * sum(map(len, planted.values()))
+    assert sum(bool(spans(i)) for i, _ in clean) == 0
