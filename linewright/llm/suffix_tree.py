@@ -1,18 +1,19 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-The tree's contexts are runs of one to DEPTH words, read backwards from the word to predict.  A
-context is a candidate if it makes up at least CONTEXT_SHARE of the training tokens, and is kept
-if what follows it diverges enough from what follows its own suffix; suffixes of kept contexts
-are kept.  Next words that come often enough after a context (JOINT_SHARE of all tokens) have a
-probability of their own there, drawn towards the suffix's; all others take the suffix's
-probabilities, scaled so that the whole sums to one.  A word is scored in the state of the
-longest kept suffix of what stands before it.
-
-The alphabet of contexts is the words of CONTEXT_SHARE and the end of a text; all other words are
-one symbol, told apart by their frequency alone.  Shares, not counts, bound what is collected: at
-most 1/CONTEXT_SHARE contexts per depth, 1/JOINT_SHARE next words per depth and 1/COMMON_SHARE
-common words, at any size of the corpus.  Rarer words meet their counts in a join.  Words are
-known by a 64-bit hash.
+The tree's contexts are runs of one to DEPTH words, read backwards from the word to predict.  A run
+that occurs EVIDENCE times in the training texts is a candidate, and is kept if what follows it
+diverges enough from what follows its own suffix; suffixes of kept contexts are kept.  Words seen
+NEXT_COUNT times after a context have a probability of their own there, drawn towards the
+suffix's; all others take the suffix's probabilities, scaled so that the whole sums to one.  A word
+is scored in the state of the longest kept suffix of what stands before it.
+
+The counts needed are fixed, over all words, so the tree grows with the corpus.  Counts, contexts
+and next words are written tables, and contexts are judged by joins: a next word listed after a
+context is always listed after its suffix, so one join finds the probability to compare with.
+Before a longer run is counted, a bitmap of fixed size tells which shorter runs are frequent; what
+it lets through by chance is only counted in vain.  Texts are scored with the tree at hand where
+it has at most MODEL_ENTRIES states and next words, and by joins of their positions beyond that,
+with the same results.  Words and runs are known by 64-bit hashes.
 
 Defined results: a NULL text is its end token alone; a NULL doc_id belongs to the training rows
 (its text form is empty); repeated rows count and are scored each; with no training rows the
@@ -21,7 +22,7 @@ end token is unknown and N is 0; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,24 +30,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.words import Hasher, Words, chunks
+from linewright.llm.words import Hasher, Words, chunks, mix
 from linewright.plans.durable import written
 
 DEPTH = 3
+# Occurrences that make a run of words a candidate, and a next word one of its own.
+EVIDENCE = 128
+NEXT_COUNT = 8
+# Words of at least this share of all tokens are scored where the text is read.
 COMMON_SHARE = 1e-6
-CONTEXT_SHARE = 1e-4
-JOINT_SHARE = 1e-6
 # Nats of divergence from the suffix, in all its occurrences, that keep a context.
 KEEP_DIVERGENCE = 20.0
 # Weight of the suffix's distribution, in occurrences.
 SMOOTHING = 16.0
-FLUSH_WORDS = 2 << 20
+FLUSH_WORDS = 3 << 20
+# States and next words, about 16 bytes each, that are sent to where texts are read.
+MODEL_ENTRIES = 4_000_000
+# Bits of the bitmaps that tell frequent runs, as a power of two: 32 for each run, 32 MB at most.
+BITMAP_BITS = 28
+_BITS_A_RUN = 32
 
 END = np.uint64(0x0E)
-OTHER = 0
-_BITS = 15
 _HASHER_SEED = 5
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOG10 = np.log(10.0)
+_BUCKET = 1 << 15
 
 
 def held_out(id_column: str) -> Column:
@@ -64,19 +72,46 @@ def _places(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _tallies(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
-    """``key, n`` of the keys of many chunks, merged before they leave the task."""
-    held: list[np.ndarray] = []
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a run of words and one word more; the empty run is zero."""
+    with np.errstate(over="ignore"):
+        return context * _FACTOR + word
+
+
+def contexts_before(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """The key of the ``depth`` tokens before each token, whatever texts they are of."""
+    key = np.zeros(len(tokens), np.uint64)
+    for back in range(depth, 0, -1):
+        before = np.zeros(len(tokens), np.uint64)
+        before[back:] = tokens[:-back]
+        key = longer(key, before)
+    return key
+
+
+def _pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(contexts) ^ words)
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+def _tallies(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """``context, word, n`` of the keys of many chunks, merged before they leave the task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def merged() -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+        context, word = (np.concatenate(part) for part in zip(*held, strict=True))
+        _, first, n = np.unique(_pair_keys(context, word), return_index=True, return_counts=True)
+        columns = [_signed(context[first]), _signed(word[first]), pa.array(n)]
+        return pa.record_batch(columns, names=["context", "word", "n"])
 
     for _, words in chunks(batches, lower=True):
         keys = keys_of(words)
         held.append(keys)
-        size += len(keys)
+        size += len(keys[0])
         if size >= FLUSH_WORDS:
             yield merged()
             held, size = [], 0
@@ -84,151 +119,186 @@ def _tallies(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBa
         yield merged()
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    tallies = texts.mapInArrow(lambda batches: _tallies(batches, keys_of), "key long, n long")
-    return tallies.groupBy("key").agg(F.sum("n").alias("n"))
+def _counted(texts: DataFrame, keys_of: Callable) -> DataFrame:
+    tallies = texts.mapInArrow(
+        lambda batches: _tallies(batches, keys_of), "context long, word long, n long"
+    )
+    # Tasks have merged what they hold, so rows are dealt before they are added up.
+    return tallies.repartition("context", "word").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``key`` (word hash) and ``n`` over all texts, END included."""
     hasher = Hasher(_HASHER_SEED)
-    return _counted(texts, lambda words: _tokens(words, hasher)[0])
 
+    def keys_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        tokens = _tokens(words, hasher)[0]
+        return np.zeros(len(tokens), np.uint64), tokens
 
-def classes(tokens: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """1 + the index of each token in the sorted alphabet, or OTHER."""
-    if not len(alphabet):
-        return np.zeros(len(tokens), np.int64)
-    at = np.minimum(np.searchsorted(alphabet, tokens), len(alphabet) - 1)
-    return np.where(alphabet[at] == tokens, at + 1, OTHER)
+    return _counted(texts, keys_of).select(F.col("word").alias("key"), "n")
 
 
-def packed_contexts(symbols: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` symbols before each symbol, packed; -1 where one is OTHER or missing."""
-    key = np.zeros(len(symbols), np.int64)
-    known = _places(counts) >= depth
-    for back in range(depth, 0, -1):
-        before = np.zeros(len(symbols), np.int64)
-        before[back:] = symbols[:-back] if back else symbols
-        known &= before != OTHER
-        key = (key << _BITS) | before
-    return np.where(known, key, -1)
+class Bitmap:
+    """A set of keys as bits of fixed number: never misses one, may take others for it."""
 
+    def __init__(self, bits: np.ndarray, power: int) -> None:
+        self.bits, self.power = bits, power
 
-def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of each key in the sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            place = mix(keys) >> np.uint64(64 - self.power)
+        return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def next_counts(
-    texts: DataFrame, alphabet: np.ndarray, depth: int, shorter: np.ndarray | None
-) -> DataFrame:
-    """``key`` (context and next symbol) and ``n``, for contexts whose both ends are frequent.
+def _bitmap(keys: DataFrame, rows: int) -> Bitmap:
+    """Bits of runs (one column) or of runs and next words (two), set by Spark bucket by bucket."""
+    power = min(BITMAP_BITS, max(3, (_BITS_A_RUN * rows).bit_length()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.asarray(column).view(np.uint64) for column in batch.columns]
+            found = parts[0] if len(parts) == 1 else _pair_keys(*parts)
+            with np.errstate(over="ignore"):
+                place = (mix(found) >> np.uint64(64 - power)).astype(np.int64)
+            yield pa.record_batch([pa.array(place)], names=["place"])
 
-    ``shorter`` are the frequent contexts one word shorter: a context can only be frequent if
-    the contexts without its first and without its last word are.
+    places = keys.mapInArrow(placed, "place long")
+    packed = places.groupBy(F.floor(F.col("place") / _BUCKET).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("place") % _BUCKET).alias("bits")
+    )
+    bits = np.zeros((1 << power) // 8, np.uint8)
+    # At most 8,192 rows of 4 KB.
+    for row in packed.collect():
+        start = row["bucket"] * (_BUCKET // 8)
+        part = np.frombuffer(row["bits"], np.uint8)[: len(bits) - start]
+        bits[start : start + len(part)] = part
+    return Bitmap(bits, power)
+
+
+def next_counts(texts: DataFrame, depth: int, contexts: Bitmap, listed: Bitmap) -> DataFrame:
+    """``context, word, n`` of runs of ``depth`` words and what follows them.
+
+    Only frequent runs are counted, and only words that are listed after the run's suffix: no other
+    word can be often enough after the run itself.
     """
     hasher = Hasher(_HASHER_SEED)
-    known = texts.sparkSession.sparkContext.broadcast((alphabet, shorter))
-    last = (1 << (_BITS * (depth - 1))) - 1
+    # Plain arrays: a worker reads them before it knows any class.
+    sent = [(part.bits, part.power) for part in (contexts, listed)]
+    known = texts.sparkSession.sparkContext.broadcast(sent)
 
-    def keys_of(words: Words) -> np.ndarray:
-        letters, frequent = known.value
+    def keys_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        runs, after_suffix = (Bitmap(*part) for part in known.value)
         tokens, counts = _tokens(words, hasher)
-        symbols = classes(tokens, letters)
-        contexts = packed_contexts(symbols, counts, depth)
-        chosen = contexts >= 0
-        if frequent is not None:
-            chosen &= _found(contexts & last, frequent)[1]
-            chosen &= _found(contexts >> _BITS, frequent)[1]
-        return (contexts[chosen] << _BITS) | symbols[chosen]
+        chosen = np.flatnonzero(_places(counts) >= depth)
+        suffix = contexts_before(tokens, depth - 1)[chosen]
+        chosen = chosen[after_suffix.holds(_pair_keys(suffix, tokens[chosen]))]
+        context = contexts_before(tokens, depth)[chosen]
+        hit = runs.holds(context)
+        return context[hit], tokens[chosen[hit]]
 
     return _counted(texts, keys_of)
 
 
+def _longer_contexts(pairs: DataFrame) -> DataFrame:
+    """``context, suffix, total`` one word longer, from ``context, suffix, word, n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix, word = (
+                np.asarray(batch.column(name)).view(np.uint64) for name in ("context", "suffix", "word")
+            )
+            columns = [_signed(longer(context, word)), _signed(longer(suffix, word)), batch.column("n")]
+            yield pa.record_batch(columns, names=["context", "suffix", "total"])
+
+    frequent = pairs.filter((F.col("n") >= EVIDENCE) & (F.col("word") != int(END)))
+    return frequent.select("context", "suffix", "word", "n").mapInArrow(
+        run, "context long, suffix long, total long"
+    )
+
+
 @dataclass
 class Level:
-    """Kept contexts of one depth: their keys, their scale, and their own next words."""
+    """Written tables of one depth: ``context, suffix, scale`` and ``context, word, log``."""
 
-    contexts: np.ndarray
-    scale: np.ndarray
-    pairs: np.ndarray
-    logs: np.ndarray
+    states: DataFrame
+    pairs: DataFrame
+    n_states: int = 0
+    n_pairs: int = 0
 
 
-@dataclass
-class SuffixTree:
-    """The states by depth, over the base probabilities of the alphabet's symbols."""
-
-    alphabet: np.ndarray
-    base: np.ndarray
-    levels: list[Level] = field(default_factory=list)
-
-    def log_probability(self, contexts: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
-        """Natural log of each symbol after its longest kept suffix; ``contexts`` by depth."""
-        logs = self.base[symbols]
-        for level, keys in zip(self.levels, contexts, strict=True):
-            state, kept = _found(keys, level.contexts)
-            rows = np.flatnonzero(kept)
-            if not len(rows):
-                continue
-            own, explicit = _found((keys[rows] << _BITS) | symbols[rows], level.pairs)
-            scaled = logs[rows] + level.scale[state[rows]]
-            logs[rows] = np.where(explicit, level.logs[own] if len(level.logs) else 0.0, scaled)
-        return logs
-
-
-def _split_context(keys: np.ndarray, depth: int) -> list[np.ndarray]:
-    """The suffixes of packed contexts, one word to all words long."""
-    return [keys & ((1 << (_BITS * d)) - 1) for d in range(1, depth + 1)]
-
-
-def add_level(
-    tree: SuffixTree,
-    depth: int,
-    contexts: np.ndarray,
-    totals: np.ndarray,
-    pairs: np.ndarray,
-    n: np.ndarray,
-) -> np.ndarray:
-    """Judge the contexts of one depth against the tree so far.
-
-    ``pairs`` are sorted context-and-symbol keys with their counts.  Returns the contexts that
-    diverge, and appends a level of all candidates, to be cut to the kept ones at the end.
+def _judged(
+    counted: DataFrame, contexts: DataFrame, before: DataFrame, depth: int
+) -> tuple[DataFrame, int, DataFrame]:
+    """Own probabilities of the next words, their number, and scale and divergence of their contexts.
+
+    ``before`` has ``suffix, word, parent``: the probability of a word after the suffix.
     """
-    owner, there = _found(pairs >> _BITS, contexts)
-    pairs, n, owner = pairs[there], n[there], owner[there]
-    symbols = pairs & ((1 << _BITS) - 1)
-    before = _split_context(pairs >> _BITS, depth)[: depth - 1]
-    parent = np.exp(tree.log_probability(before, symbols))
-    total = totals[owner]
-    own = (n + SMOOTHING * parent) / (total + SMOOTHING)
-    size = len(contexts)
-    given = np.bincount(owner, weights=own, minlength=size)
-    taken = np.bincount(owner, weights=parent, minlength=size)
-    rest = np.maximum(1.0 - given, 1e-12)
-    scale = np.log(rest / np.maximum(1.0 - taken, 1e-12))
-    told = np.bincount(owner, weights=own * np.log(own / parent), minlength=size)
-    divergence = (told + rest * scale) * totals
-    tree.levels.append(Level(contexts, scale, pairs, np.log(own)))
-    return contexts[divergence >= KEEP_DIVERGENCE]
-
-
-def keep_only(tree: SuffixTree, diverging: list[np.ndarray]) -> None:
-    """Cut every level to the contexts that diverge and the suffixes of those that do."""
-    wanted = np.zeros(0, np.int64)
-    for depth in range(len(tree.levels), 0, -1):
-        level = tree.levels[depth - 1]
-        kept = np.union1d(diverging[depth - 1], wanted)
-        rows = np.isin(level.contexts, kept)
-        pairs = np.isin(level.pairs >> _BITS, kept)
-        tree.levels[depth - 1] = Level(
-            level.contexts[rows], level.scale[rows], level.pairs[pairs], level.logs[pairs]
+    joined = counted.join(contexts, "context").join(before, ["suffix", "word"])
+    own = (F.col("n") + SMOOTHING * F.col("parent")) / (F.col("total") + SMOOTHING)
+    pairs, n_pairs = written(joined.withColumn("own", own), f"next-words-{depth}")
+    told = F.sum(F.col("own") * F.log(F.col("own") / F.col("parent")))
+    summed = pairs.groupBy("context", "suffix", "total").agg(
+        F.sum("own").alias("given"), F.sum("parent").alias("taken"), told.alias("told")
+    )
+    rest = F.greatest(1 - F.col("given"), F.lit(1e-12))
+    scale = F.log(rest / F.greatest(1 - F.col("taken"), F.lit(1e-12)))
+    judged, _ = written(
+        summed.select(
+            "context",
+            "suffix",
+            scale.alias("scale"),
+            ((F.col("told") + rest * scale) * F.col("total")).alias("divergence"),
+        ),
+        f"contexts-{depth}",
+    )
+    return pairs, n_pairs, judged
+
+
+def fit(texts: DataFrame, counts: DataFrame, tokens: int, distinct: int) -> list[Level]:
+    """The tree of the training texts, by depth; one pass over them for each."""
+    smoothed = float(tokens + 0.5 * (distinct + 1))
+    frequent = counts.filter(F.col("n") >= NEXT_COUNT)
+    n_before = frequent.count()
+    root = F.lit(0).cast("long")
+    contexts, n_contexts = written(
+        counts.filter((F.col("n") >= EVIDENCE) & (F.col("key") != int(END))).select(
+            F.col("key").alias("context"), root.alias("suffix"), F.col("n").alias("total")
+        ),
+        "candidates",
+    )
+    before = frequent.select(
+        root.alias("suffix"),
+        F.col("key").alias("word"),
+        ((F.col("n") + 0.5) / F.lit(smoothed)).alias("parent"),
+    )
+    judged: list[tuple[DataFrame, DataFrame]] = []
+    for depth in range(1, DEPTH + 1):
+        if not n_contexts:
+            break
+        runs = _bitmap(contexts.select("context"), n_contexts)
+        listed = _bitmap(before.select("suffix", "word"), n_before)
+        counted = next_counts(texts, depth, runs, listed).filter(F.col("n") >= NEXT_COUNT)
+        pairs, n_before, found = _judged(counted, contexts, before, depth)
+        judged.append((pairs, found))
+        before = pairs.select(
+            F.col("context").alias("suffix"), "word", F.col("own").alias("parent")
+        )
+        contexts, n_contexts = written(_longer_contexts(pairs), "candidates")
+    levels: list[Level] = []
+    wanted: DataFrame | None = None
+    for pairs, found in reversed(judged):
+        kept = found.filter(F.col("divergence") >= KEEP_DIVERGENCE).select("context")
+        kept = kept if wanted is None else kept.unionByName(wanted).distinct()
+        states, n_states = written(found.join(kept, "context").drop("divergence"), "states")
+        own, n_pairs = written(
+            pairs.join(states.select("context"), "context").select(
+                "context", "word", F.log("own").alias("log")
+            ),
+            "state-words",
         )
-        wanted = np.unique(kept & ((1 << (_BITS * (depth - 1))) - 1)) if depth > 1 else wanted
+        levels.insert(0, Level(states, own, n_states, n_pairs))
+        wanted = states.select(F.col("suffix").alias("context")).distinct()
+    return levels
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -236,40 +306,60 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [np.asarray(table.column(name).combine_chunks()) for name in names]
 
 
-def fit(texts: DataFrame, counts: DataFrame, tokens: int, distinct: int) -> SuffixTree:
-    """The tree of the training texts; one pass over them for each depth."""
-    smoothed = tokens + 0.5 * (distinct + 1)
-    frequent = counts.filter(
-        (F.col("n") >= CONTEXT_SHARE * tokens) | (F.col("key") == int(END))
-    )
-    keys, n = _columns(frequent, "key", "n")
-    order = np.argsort(keys.view(np.uint64))
-    alphabet, n = keys.view(np.uint64)[order], n[order]
-    share = (n + 0.5) / smoothed
-    base = np.log(np.append(max(1.0 - share.sum(), 1e-12), share))
-    tree = SuffixTree(alphabet, base)
-    diverging: list[np.ndarray] = []
-    shorter = None
-    for depth in range(1, DEPTH + 1):
-        counted, _ = written(next_counts(texts, alphabet, depth, shorter), "next-words", narrow=True)
-        totals = (
-            counted.groupBy(F.shiftright("key", _BITS).alias("context"))
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= CONTEXT_SHARE * tokens)
-        )
-        contexts, sums = _columns(totals, "context", "n")
-        pairs, n = _columns(counted.filter(F.col("n") >= max(2, JOINT_SHARE * tokens)), "key", "n")
-        order, by_pair = np.argsort(contexts), np.argsort(pairs)
-        found = add_level(tree, depth, contexts[order], sums[order], pairs[by_pair], n[by_pair])
-        diverging.append(found)
-        shorter = contexts[order]
-    keep_only(tree, diverging)
-    return tree
+def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each key in the sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+@dataclass
+class SuffixTree:
+    """The levels as sorted arrays: (contexts, scales, pair keys, logs) for each depth."""
+
+    levels: list[tuple[np.ndarray, ...]] = field(default_factory=list)
+
+    @classmethod
+    def collected(cls, levels: list[Level]) -> SuffixTree:
+        tree = cls()
+        for level in levels:
+            contexts, scales = _columns(level.states, "context", "scale")
+            owners, words, logs = _columns(level.pairs, "context", "word", "log")
+            contexts = contexts.view(np.uint64)
+            keys = _pair_keys(owners.view(np.uint64), words.view(np.uint64))
+            order, by_key = np.argsort(contexts), np.argsort(keys)
+            tree.levels.append((contexts[order], scales[order], keys[by_key], logs[by_key]))
+        return tree
+
+    def after_contexts(
+        self, tokens: np.ndarray, places: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """What the longest kept suffix says of each token, in natural logs, and if it is the whole.
+
+        Where the flag is off, the base log probability of the token is to be added.
+        """
+        logs, whole = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        rows = np.arange(len(tokens))
+        for depth, (contexts, scales, keys, own) in enumerate(self.levels, 1):
+            # A context is only kept if its suffix is.
+            rows = rows[places[rows] >= depth]
+            before = contexts_before(tokens, depth)[rows]
+            state, kept = _found(before, contexts)
+            rows, before, state = rows[kept], before[kept], state[kept]
+            if not len(rows):
+                break
+            pair, listed = _found(_pair_keys(before, tokens[rows]), keys)
+            logs[rows] += scales[state]
+            if len(own):
+                logs[rows[listed]] = own[pair[listed]]
+                whole[rows[listed]] = True
+        return logs, whole
 
 
 _PARTS = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "rare array<struct<key:long,times:int>>"
+    "rare array<struct<key:long,times:int,open:int>>"
 )
 
 
@@ -280,30 +370,28 @@ def _scorer(shared):
         return np.add.reduceat(values, np.cumsum(counts) - counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, common_logs, tree = shared.value
+        common, common_logs, levels = shared.value
+        tree = SuffixTree(levels)
         for batch, words in chunks(batches, lower=True):
             tokens, counts = _tokens(words, hasher)
             at, known = _found(tokens, common)
             logs = np.where(known, common_logs[at] if len(common) else 0.0, 0.0)
-            symbols = classes(tokens, tree.alphabet)
-            contexts = [packed_contexts(symbols, counts, d + 1) for d in range(len(tree.levels))]
-            score = tree.log_probability(contexts, symbols)
-            # A word outside the alphabet has its share of what all of them have.
-            other = symbols == OTHER
-            score[other] += logs[other] - tree.base[OTHER]
+            score, whole = tree.after_contexts(tokens, _places(counts))
+            score = np.where(whole, score, score + logs)
             rare = np.flatnonzero(~known)
             owner = np.repeat(np.arange(len(counts)), counts)[rare]
             order = np.lexsort((tokens[rare], owner))
-            keys, owner = tokens[rare][order], owner[order]
+            keys, owner, open_ = tokens[rare][order], owner[order], ~whole[rare][order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(keys)))
+            left = np.add.reduceat(open_.astype(np.int32), first) if len(first) else times
             held = np.bincount(owner[first], minlength=len(counts))
             offsets = np.append(0, np.cumsum(held)).astype(np.int32)
             pairs = pa.StructArray.from_arrays(
-                [pa.array(keys[first].view(np.int64)), pa.array(times.astype(np.int32))],
-                ["key", "times"],
+                [_signed(keys[first]), pa.array(times.astype(np.int32)), pa.array(left.astype(np.int32))],
+                ["key", "times", "open"],
             )
             yield pa.record_batch(
                 [
@@ -321,26 +409,18 @@ def _scorer(shared):
     return run
 
 
-def suffix_tree_scores(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+def _scores_at_hand(
+    texts: DataFrame, counts: DataFrame, tokens: int, smoothed: float, levels: list[Level]
 ) -> DataFrame:
-    """Token counts, ``base_score`` and ``score`` (log10 probability) of every row."""
-    spark = docs.sparkSession
-    texts = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"),
-        F.col(text_column).alias("text"),
-        held_out(id_column).alias("held_out"),
-    )
-    training = texts.filter(~F.col("held_out")).select("text")
-    counts, distinct = written(word_counts(training), "word-counts", narrow=True)
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    smoothed = tokens + 0.5 * (distinct + 1)
-    tree = fit(training, counts, tokens, distinct)
+    """Scores where the texts are read; the words that are not common meet their counts in a join."""
+    spark = texts.sparkSession
     is_common = F.col("n") >= max(1, COMMON_SHARE * tokens)
     keys, n = _columns(counts.filter(is_common), "key", "n")
     order = np.argsort(keys.view(np.uint64))
     logs = np.log((n[order] + 0.5) / smoothed)
-    shared = spark.sparkContext.broadcast((keys.view(np.uint64)[order], logs, tree))
+    shared = spark.sparkContext.broadcast(
+        (keys.view(np.uint64)[order], logs, SuffixTree.collected(levels).levels)
+    )
     parts, _ = written(
         texts.mapInArrow(_scorer(shared), _PARTS).withColumn(
             "row", F.monotonically_increasing_id()
@@ -349,16 +429,16 @@ def suffix_tree_scores(
     )
     rare = parts.select("row", F.inline("rare"))
     seen = counts.filter(~is_common).select(F.col("key").alias("_key"), "n")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(smoothed)))
+    log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(smoothed))
     added = (
         rare.join(seen, F.col("key") == F.col("_key"), "left")
         .groupBy("row")
         .agg(
             F.sum(log * F.col("times")).alias("more"),
+            F.sum(log * F.col("open")).alias("more_open"),
             F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more_known"),
         )
     )
-    more = F.coalesce("more", F.lit(0.0))
     return (
         parts.drop("rare")
         .join(added, "row", "left")
@@ -367,8 +447,78 @@ def suffix_tree_scores(
             "held_out",
             "n_tokens",
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-            F.lit(int(tokens)).cast("long").alias("train_tokens"),
-            (F.col("base") + more).alias("base_score"),
-            (F.col("score") + more).alias("score"),
+            (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+            (F.col("score") + F.coalesce("more_open", F.lit(0.0))).alias("score"),
         )
     )
+
+
+def _positions(depths: int):
+    hasher = Hasher(_HASHER_SEED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in chunks(batches, lower=True):
+            tokens, counts = _tokens(words, hasher)
+            places = _places(counts)
+            owner = np.repeat(np.asarray(batch.column("row")), counts)
+            columns = [pa.array(owner), _signed(tokens)]
+            for depth in range(1, depths + 1):
+                key = contexts_before(tokens, depth).view(np.int64)
+                columns.append(pa.array(key, mask=places < depth))
+            names = ["row", "word", *[f"context_{d}" for d in range(1, depths + 1)]]
+            yield pa.record_batch(columns, names=names)
+
+    return run
+
+
+def _scores_by_joins(
+    texts: DataFrame, counts: DataFrame, smoothed: float, levels: list[Level]
+) -> DataFrame:
+    """The same scores, each position meeting its counts, states and next words in joins."""
+    rows, _ = written(texts.withColumn("row", F.monotonically_increasing_id()), "score-texts")
+    shape = "row long, word long" + "".join(f", context_{d + 1} long" for d in range(len(levels)))
+    at = rows.select("row", "text").mapInArrow(_positions(len(levels)), shape)
+    seen = counts.select(F.col("key").alias("word"), "n")
+    base = F.log((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(smoothed))
+    at = at.join(seen, "word", "left").withColumns({"base": base, "value": base})
+    for depth, level in enumerate(levels, 1):
+        key = f"context_{depth}"
+        states = level.states.select(F.col("context").alias(key), "scale")
+        own = level.pairs.withColumnRenamed("context", key)
+        # Positions without a context pass by the joins instead of meeting in one task.
+        bare = at.filter(F.col(key).isNull())
+        at = at.filter(F.col(key).isNotNull()).join(states, key, "left").join(own, [key, "word"], "left")
+        value = F.coalesce("log", F.col("value") + F.coalesce("scale", F.lit(0.0)))
+        at = at.withColumn("value", value).drop("scale", "log")
+        at = at.unionByName(bare)
+    summed = at.groupBy("row").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.count("n").alias("n_known"),
+        (F.sum("base") / F.lit(_LOG10)).alias("base_score"),
+        (F.sum("value") / F.lit(_LOG10)).alias("score"),
+    )
+    return rows.select("row", "doc_id", "held_out").join(summed, "row").drop("row")
+
+
+def suffix_tree_scores(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Token counts, ``base_score`` and ``score`` (log10 probability) of every row."""
+    texts = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.col(text_column).alias("text"),
+        held_out(id_column).alias("held_out"),
+    )
+    training = texts.filter(~F.col("held_out")).select("text")
+    counts, distinct = written(word_counts(training), "word-counts", narrow=True)
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    smoothed = float(tokens + 0.5 * (distinct + 1))
+    levels = fit(training, counts, tokens, distinct)
+    if sum(level.n_states + level.n_pairs for level in levels) <= MODEL_ENTRIES:
+        scores = _scores_at_hand(texts, counts, tokens, smoothed, levels)
+    else:
+        scores = _scores_by_joins(texts, counts, smoothed, levels)
+    total = F.lit(int(tokens)).cast("long")
+    return scores.withColumn("train_tokens", total).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

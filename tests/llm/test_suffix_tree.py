@@ -61,33 +61,126 @@ def test_held_out_text_is_better_predicted(docs_of):
     assert gain > 0.8
 
 
-def test_probabilities_after_any_context_sum_to_one(docs_of, prose, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "KEEP_DIVERGENCE", 0.5)
-    texts = docs_of([(i, prose(i % 7, 60, 20)) for i in range(60)]).select("text")
-    counts = suffix_tree.word_counts(texts).cache()
-    total, distinct = counts.agg(F.sum("n"), F.count("n")).first()
-    tree = suffix_tree.fit(texts, counts, total, distinct)
-    assert [len(level.contexts) > 0 for level in tree.levels] == [True] * 3
-    size = len(tree.base)
-    for context in [c for level in tree.levels for c in level.contexts[:20].tolist()] + [-1]:
-        keys = [
-            np.full(size, context & ((1 << (15 * d)) - 1) if context >= 0 else -1) for d in (1, 2, 3)
-        ]
-        depth = next((d for d in (1, 2, 3) if context < 1 << (15 * d)), 3) if context >= 0 else 0
-        keys = [k if d < depth else np.full(size, -1) for d, k in enumerate(keys)]
-        logs = tree.log_probability(keys, np.arange(size))
-        assert abs(np.exp(logs).sum() - 1) < 1e-6
-
-
-def test_suffixes_of_kept_contexts_are_kept(docs_of, prose):
-    texts = docs_of([(i, prose(i % 7, 60, 20)) for i in range(60)]).select("text")
-    counts = suffix_tree.word_counts(texts).cache()
-    total, distinct = counts.agg(F.sum("n"), F.count("n")).first()
-    levels = suffix_tree.fit(texts, counts, total, distinct).levels
-    assert len(levels[1].contexts)
-    for words in (2, 3):
-        suffixes = levels[words - 1].contexts & ((1 << (15 * (words - 1))) - 1)
-        assert set(suffixes.tolist()) <= set(levels[words - 2].contexts.tolist())
+class BruteTree:
+    """The model by its definition, with plain dictionaries."""
+
+    def __init__(self, texts, evidence, next_count, keep, smoothing=16.0, depth=3):
+        rows = [tokens(t) for t in texts]
+        self.count = Counter(w for r in rows for w in r)
+        self.total = sum(self.count.values())
+        self.smoothed = self.total + 0.5 * (len(self.count) + 1)
+        follow = {}
+        for r in rows:
+            for i, w in enumerate(r):
+                for d in range(1, min(depth, i) + 1):
+                    follow.setdefault(tuple(r[i - d : i]), Counter())[w] += 1
+        self.own, self.scale, diverging = {}, {}, set()
+        for context in sorted(follow, key=len):
+            n = sum(follow[context].values())
+            if n < evidence:
+                continue
+            listed = {w: c for w, c in follow[context].items() if c >= next_count}
+            parent = {w: self.own[context[1:]][w] if len(context) > 1 else self.base(w) for w in listed}
+            own = {w: (c + smoothing * parent[w]) / (n + smoothing) for w, c in listed.items()}
+            rest, taken = 1 - sum(own.values()), 1 - sum(parent.values())
+            scale = math.log(max(rest, 1e-12) / max(taken, 1e-12))
+            told = sum(own[w] * math.log(own[w] / parent[w]) for w in own)
+            self.own[context], self.scale[context] = own, scale
+            if listed and (told + max(rest, 1e-12) * scale) * n >= keep:
+                diverging.add(context)
+        self.kept = {c[i:] for c in diverging for i in range(len(c))}
+        self.depth = depth
+
+    def base(self, word):
+        return (self.count[word] + 0.5) / self.smoothed
+
+    def log(self, before, word):
+        value = math.log(self.base(word))
+        for d in range(1, min(self.depth, len(before)) + 1):
+            context = tuple(before[len(before) - d :])
+            if context not in self.kept:
+                break
+            own = self.own[context].get(word)
+            value = math.log(own) if own else value + self.scale[context]
+        return value
+
+    def score(self, text):
+        row = tokens(text)
+        return sum(self.log(row[:i], w) for i, w in enumerate(row)) / math.log(10)
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """Evidence that a small corpus has, and a bitmap that lets many runs through by chance."""
+    for name, value in (("EVIDENCE", 6), ("NEXT_COUNT", 2), ("KEEP_DIVERGENCE", 0.5), ("BITMAP_BITS", 12)):
+        monkeypatch.setattr(suffix_tree, name, value)
+
+
+def chained(seed, count):
+    draw = np.random.default_rng(seed)
+    follow = {w: draw.choice(25, 4, replace=False) for w in range(25)}
+    rows = []
+    for i in range(count):
+        word, out = int(draw.integers(25)), []
+        for _ in range(int(draw.integers(1, 60))):
+            word = int(draw.choice(follow[word])) if draw.random() < 0.9 else int(draw.integers(25))
+            out.append(f"t{word}" if draw.random() < 0.95 else f"rare{draw.integers(1000)}")
+        rows.append((i, " ".join(out)))
+    return rows
+
+
+@pytest.mark.parametrize("entries", [10**6, 0])
+@pytest.mark.parametrize("common", [1e-6, 0.02, 1.0])
+def test_scores_against_a_brute_force_tree(docs_of, awkward, small, monkeypatch, entries, common):
+    monkeypatch.setattr(suffix_tree, "MODEL_ENTRIES", entries)
+    monkeypatch.setattr(suffix_tree, "COMMON_SHARE", common)
+    rows = chained(3, 150) + [(i if i is None else 1000 + i, t) for i, t in awkward]
+    tree = BruteTree([t for i, t in rows if not is_held_out(i)], 6, 2, 0.5)
+    lengths = Counter(map(len, tree.kept))
+    assert lengths[1] > 10 and lengths[2] > 10 and lengths[3] > 3
+    docs = docs_of(rows).withColumns({"row": F.lit(1), "word": F.lit(2), "context": F.lit("c")})
+    got = suffix_tree_scores(docs).collect()
+    check_base(rows, got)
+    expected = Counter((i, round(tree.score(t), 6)) for i, t in rows)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == expected
+
+
+def test_probabilities_after_any_context_sum_to_one():
+    rows = chained(4, 200)
+    tree = BruteTree([t for _, t in rows], 6, 2, 0.5)
+    for context in [(), *sorted(tree.kept)[:60]]:
+        total = sum(math.exp(tree.log(list(context), w)) for w in tree.count)
+        # The rest is for a word that was never seen.
+        unseen = math.exp(tree.log(list(context), "never seen"))
+        assert abs(total + unseen - 1) < 1e-9
+
+
+def test_the_tree_grows_with_the_corpus(docs_of, small):
+    sizes = []
+    for count in (40, 400):
+        texts = docs_of(chained(5, count)).select("text")
+        counts = suffix_tree.word_counts(texts).cache()
+        total, distinct = counts.agg(F.sum("n"), F.count("n")).first()
+        levels = suffix_tree.fit(texts, counts, total, distinct)
+        sizes.append([level.n_states for level in levels])
+        for shorter, level in zip(levels, levels[1:], strict=False):
+            suffixes = {r["suffix"] for r in level.states.collect()}
+            assert suffixes <= {r["context"] for r in shorter.states.collect()}
+    assert sum(sizes[1]) > 2 * sum(sizes[0]) > 0
+
+
+def test_a_bitmap_misses_nothing(spark):
+    keys = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
+    frame = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    for power in (10, 17, 20):
+        suffix_tree_bits, suffix_tree.BITMAP_BITS = suffix_tree.BITMAP_BITS, power
+        try:
+            bitmap = suffix_tree._bitmap(frame, 10**6)
+        finally:
+            suffix_tree.BITMAP_BITS = suffix_tree_bits
+        assert bitmap.holds(keys.view(np.uint64)).all()
+    others = np.arange(10**5, dtype=np.uint64)
+    assert bitmap.holds(others).mean() < 0.01
 
 
 def test_empty_tables(docs_of):
