@@ -1,24 +1,32 @@
 """Token counts, ids and byte spans with existing tokenizer libraries, as Arrow UDFs.
 
 A tokenizer is loaded on the driver, sent once to each executor as a broadcast, and
-built once per task.
+built once per task.  Texts are encoded run by run (:mod:`linewright.functions.batches`): a token
+takes some hundred bytes in Python, so only the tokens of one run are held at a time.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import partial
+from itertools import chain
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from linewright.functions.batches import runs
+
 TIKTOKEN, HUGGINGFACE, GPT2 = "tiktoken", "huggingface", "gpt2"
 
+# Bytes of text encoded at once, unless a single text has more.
+ENCODED_BYTES = 1 << 17
+
 # Accepted spellings of backends and encodings.
 BACKENDS = {
     "tiktoken": TIKTOKEN,
@@ -70,14 +78,17 @@ class Tokenizer:
             found.ids for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def spans(self) -> Callable[[list[str]], list[tuple]]:
-        """A function from texts to ``(ids, byte spans, token texts)``, built in the task."""
+    def spans(self, shown: bool = True) -> Callable[[list[str]], list[tuple]]:
+        """A function from texts to ``(ids, byte spans, token texts)``, built in the task.
+
+        The spans are an array of starts and ends; without ``shown`` there are no token texts.
+        """
         if self.kind == TIKTOKEN:
             encoding = _tiktoken(self.payload.value)
-            return lambda texts: [_tiktoken_spans(encoding, text) for text in texts]
+            return lambda texts: [_tiktoken_spans(encoding, text, shown) for text in texts]
         tokenizer = _huggingface(self.payload.value)
         return lambda texts: [
-            (found.ids, _byte_spans(text, found.offsets), found.tokens)
+            (found.ids, _byte_spans(text, found.offsets), found.tokens if shown else [])
             for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False))
         ]
 
@@ -95,25 +106,23 @@ def _huggingface(definition: str):
     return tokenizers.Tokenizer.from_str(definition)
 
 
-def _tiktoken_spans(encoding, text: str) -> tuple:
+def _tiktoken_spans(encoding, text: str, shown: bool) -> tuple:
     """Spans from token lengths; a token that ends inside a character shows a replacement."""
-    raw = text.encode("utf-8")
     ids = encoding.encode(text, allowed_special="all")
-    spans, pieces, at = [], [], 0
-    for token in ids:
-        end = at + len(encoding.decode_single_token_bytes(token))
-        spans.append((at, end))
-        pieces.append(raw[at:end].decode("utf-8", errors="replace"))
-        at = end
-    return ids, spans, pieces
+    pieces = encoding.decode_tokens_bytes(ids)
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    spans = np.stack([np.append(0, ends)[:-1], ends], axis=1)
+    return ids, spans, [piece.decode("utf-8", errors="replace") for piece in pieces] if shown else []
 
 
-def _byte_spans(text: str, offsets: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _byte_spans(text: str, offsets: list[tuple[int, int]]) -> np.ndarray:
     """Character offsets as byte offsets; in ASCII text they are the same."""
+    spans = np.array(offsets, np.int64).reshape(-1, 2)
     if text.isascii():
-        return offsets
-    positions = [0, *accumulate(len(char.encode("utf-8")) for char in text)]
-    return [(positions[start], positions[end]) for start, end in offsets]
+        return spans
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    # Every byte but the later ones of a character begins one.
+    return np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))[spans]
 
 
 def tokenizer_from_file(spark: SparkSession, path: str) -> Tokenizer:
@@ -217,42 +226,74 @@ _SPAN = pa.struct([("byte_start", pa.int32()), ("byte_end", pa.int32())])
 _PIECE = pa.struct([("is_token", pa.bool_()), ("text", pa.string())])
 
 
-def _detail(text: str, encoding) -> list[dict]:
-    return [
-        {"token_id": i, "byte_start": s, "byte_end": e, "text": t} for i, (s, e), t in zip(*encoding)
-    ]
+def _lists(ids: list[list[int]], values: pa.Array) -> pa.Array:
+    """Flat values of tokens as one list per text."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), values)
+
+
+def _flat(parts: Iterable, kind: pa.DataType) -> pa.Array:
+    return pa.array(list(chain.from_iterable(parts)), kind)
+
+
+def _bounds(found: list[tuple]) -> list[pa.Array]:
+    spans = np.concatenate([np.zeros((0, 2), np.int64), *[f[1] for f in found]]).astype(np.int32)
+    return [pa.array(np.ascontiguousarray(spans[:, side])) for side in (0, 1)]
+
+
+def _counts(texts: list[str], ids: list[list[int]]) -> pa.Array:
+    return pa.array([len(found) for found in ids], pa.int32())
 
 
-def _span(text: str, encoding) -> list[dict]:
-    return [{"byte_start": s, "byte_end": e} for s, e in encoding[1]]
+def _ids(texts: list[str], ids: list[list[int]]) -> pa.Array:
+    return _lists(ids, _flat(ids, pa.int32()))
 
 
-def _token_udf(
-    tokenizer: Tokenizer, shape: Callable, arrow_type: pa.DataType, sql_type: str, spans: bool = True
-):
+def _details(texts: list[str], found: list[tuple]) -> pa.Array:
+    ids = [f[0] for f in found]
+    shown = _flat((f[2] for f in found), pa.string())
+    values = [_flat(ids, pa.int32()), *_bounds(found), shown]
+    return _lists(ids, pa.StructArray.from_arrays(values, fields=list(_DETAIL)))
+
+
+def _spans(texts: list[str], found: list[tuple]) -> pa.Array:
+    return _lists([f[0] for f in found], pa.StructArray.from_arrays(_bounds(found), fields=list(_SPAN)))
+
+
+def _segments(texts: list[str], found: list[tuple]) -> pa.Array:
+    cut = [token_pieces(t.encode("utf-8"), f[1].tolist()) for t, f in zip(texts, found, strict=True)]
+    return pa.array(cut, pa.list_(_PIECE))
+
+
+def _token_udf(make_encoder: Callable[[], Callable], shape: Callable, sql_type: str):
+    """A column function: ``shape`` makes an array of texts and what the encoder found in them."""
+
     def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = tokenizer.spans() if spans else tokenizer.ids()
+        encode = make_encoder()
         for batch in batches:
-            texts = batch.to_pylist()
-            present = [text for text in texts if text is not None]
-            shaped = map(shape, present, encode(present))
-            yield pa.array([None if t is None else next(shaped) for t in texts], arrow_type)
+            for run in runs(batch, ENCODED_BYTES):
+                present = run.drop_null().to_pylist()
+                shaped = shape(present, encode(present))
+                if run.null_count:
+                    place = np.cumsum(np.asarray(run.is_valid())) - 1
+                    shaped = shaped.take(pa.array(place, mask=np.asarray(run.is_null())))
+                yield shaped
 
     return F.arrow_udf(encode_batches, sql_type).asNondeterministic()
 
 
 def count_tokens_udf(tokenizer: Tokenizer):
-    return _token_udf(tokenizer, lambda _, ids: len(ids), pa.int32(), "int", spans=False)
+    return _token_udf(tokenizer.ids, _counts, "int")
 
 
 def token_ids_udf(tokenizer: Tokenizer):
-    kind = pa.list_(pa.int32())
-    return _token_udf(tokenizer, lambda _, ids: ids, kind, "array<int>", spans=False)
+    return _token_udf(tokenizer.ids, _ids, "array<int>")
 
 
 def token_details_udf(tokenizer: Tokenizer):
     kind = "array<struct<token_id:int,byte_start:int,byte_end:int,text:string>>"
-    return _token_udf(tokenizer, _detail, pa.list_(_DETAIL), kind)
+    return _token_udf(tokenizer.spans, _details, kind)
 
 
 def _readable(text: Column) -> Column:
@@ -276,14 +317,10 @@ def token_details(text: Column, tokenizer: Tokenizer) -> Column:
 def token_offsets(text: Column, tokenizer: Tokenizer) -> Column:
     """``array<struct<byte_start, byte_end>>``."""
     kind = "array<struct<byte_start:int,byte_end:int>>"
-    return _token_udf(tokenizer, _span, pa.list_(_SPAN), kind)(_readable(text))
+    return _token_udf(partial(tokenizer.spans, False), _spans, kind)(_readable(text))
 
 
 def token_segments(text: Column, tokenizer: Tokenizer) -> Column:
     """``array<struct<is_token, text>>``: token pieces and the gaps between them."""
     kind = "array<struct<is_token:boolean,text:string>>"
-
-    def shape(text: str, found) -> list[dict]:
-        return token_pieces(text.encode("utf-8"), found[1])
-
-    return _token_udf(tokenizer, shape, pa.list_(_PIECE), kind)(_readable(text))
+    return _token_udf(tokenizer.spans, _segments, kind)(_readable(text))
