@@ -274,7 +274,7 @@ def parquet_row_groups(spark, sf_dir):
   'doc_id,text,lang,source,n_chars' AS columns FROM documents""",
 )
 def parquet_file_meta(spark, sf_dir):
-    meta = parquet_meta.parquet_file_meta(spark, exported(spark, sf_dir, "parquet"))
+    meta = parquet_meta.parquet_file_meta(spark, exported(spark, sf_dir, "parquet_wide"))
     return meta.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("total_rows").alias("total_rows"),
@@ -395,9 +395,9 @@ def format_size_query(spark, sf_dir):
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _document_stream(spark, sf_dir):
+def _document_stream(spark, sf_dir, kind="parquet"):
     schema = table(spark, sf_dir, "documents").schema
-    path = exported(spark, sf_dir, "parquet")
+    path = exported(spark, sf_dir, kind)
     return streams.stream_record_lines(spark, path, schema, "doc_id", files=1)
 
 
@@ -415,7 +415,8 @@ def stream_lines(spark, sf_dir):
     "SELECT 4::bigint AS units, count(*)::bigint AS loaded, true AS complete FROM documents",
 )
 def stream_progress(spark, sf_dir):
-    query_run, _ = streams.load_available(_document_stream(spark, sf_dir))
+    stream = _document_stream(spark, sf_dir, "parquet_wide")
+    query_run, _ = streams.load_available(stream)
     progress = streams.stream_progress(query_run)
     return progress.agg(
         F.count(F.lit(1)).alias("units"),
