@@ -13,6 +13,8 @@ close to few of them.  Early prefixes keep few enough ids to be broadcast agains
 rest; the number of prefixes grows with the logarithm of the input.
 
 Inputs small enough for their distance are settled by dense tiles instead, which list no pairs.
+So are the first ids of larger ones, as long as few are kept and many dropped: at wide distances the
+few kept ids are compared with all rows at a fraction of what keys of all rows would cost, and move.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from linewright.plans.durable import written
 from linewright.plans.hamming import BITS, BlockScheme, bit_balance, pairs_within
-from linewright.plans.tiles import TILE_ROWS, cheaper, settle_by_tiles
+from linewright.plans.tiles import tile_rounds
 
 FIRST_PREFIX = 50_000
 GROWTH = 8
@@ -112,13 +114,14 @@ def first_fit(
         return prints.select("id", F.col("id").alias("canonical"))
     if k >= BITS:
         return prints.select("id", prints.agg(F.min("id")).scalar().alias("canonical"))
-    if tiles and (rows <= TILE_ROWS or cheaper(rows, rows, BlockScheme.build(k).key_count)):
-        return settle_by_tiles(prints, rows, k)
-    scheme = BlockScheme.build(k, bit_balance(prints, rows), blocks)
+    parts, remaining, left_over = [], prints.select("id", "fp"), rows
+    if tiles:
+        parts, remaining, left_over = tile_rounds(prints, rows, k, BlockScheme.build(k).key_count)
+    if not left_over:
+        return reduce(DataFrame.unionAll, [part.select("id", "canonical") for part in parts])
+    scheme = BlockScheme.build(k, bit_balance(remaining, left_over), blocks)
     limits["tiles"] = tiles
-    parts = []
-    remaining, left_over = prints.select("id", "fp"), rows
-    for bound in [*_prefix_bounds(prints, rows, first_prefix, growth), None]:
+    for bound in [*_prefix_bounds(remaining, left_over, first_prefix, growth), None]:
         if bound is None:
             parts.append(_settle(remaining, left_over, scheme, **limits))
             break

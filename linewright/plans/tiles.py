@@ -7,7 +7,8 @@ distance 8).  Plans that know their row counts choose by :func:`cheaper`.
 * ``tile_pairs`` deals both sides into tiles and tests each tile against each.
 * ``settle_by_tiles`` makes the first-fit choice: a tile of ids in order is settled by itself, in one
   task of bounded size, and its kept ids are swept over the rest, so pairs are never listed.  A row
-  that has found the first kept id it is close to is not compared any further.
+  that has found the first kept id it is close to is not compared any further.  ``tile_rounds`` does
+  the same as long as a tile's few kept ids drop more rows than keys would for the same cost.
 """
 
 from __future__ import annotations
@@ -150,10 +151,22 @@ def _sweep(kept: np.ndarray, kept_prints: np.ndarray, k: int):
     return run
 
 
-def settle_by_tiles(prints: DataFrame, rows: int, k: int) -> DataFrame:
-    """``id``, ``canonical`` of the first-fit choice, TILE_ROWS ids after each other.
+def sweep_pays(kept: int, rows: int, keys: int) -> bool:
+    """Whether comparing a row with the kept ids of a tile costs less than the keys it saves.
+
+    A later row is dropped about as often as a row of the tile was.
+    """
+    return kept * PAIR_SECONDS <= (1 - kept / rows) * keys * KEY_SECONDS
 
-    What a round tells the next is its kept ids, at most TILE_ROWS of them.
+
+def tile_rounds(
+    prints: DataFrame, rows: int, k: int, keys: int | None = None
+) -> tuple[list[DataFrame], DataFrame, int]:
+    """Settled parts (``id``, ``canonical``), and the ``id``, ``fp`` rows left, with their count.
+
+    What a round tells the next is its kept ids, at most TILE_ROWS of them.  No row is left unless
+    ``keys`` per row is given: then rounds end where making keys for the rows left costs less, and
+    none of these is close to a kept id.
     """
     shape = "id long, fp long, canonical long"
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,16 +178,25 @@ def settle_by_tiles(prints: DataFrame, rows: int, k: int) -> DataFrame:
             share = 0.99 * TILE_ROWS / left
             bound = remaining.agg(F.percentile_approx("id", share, 1_000_000)).first()[0]
             tile = remaining.filter(F.col("id") <= bound)
-        done, _ = written(tile.repartition(1).mapInArrow(_settle(k), shape), "tile")
-        parts.append(done)
+        done, size = written(tile.repartition(1).mapInArrow(_settle(k), shape), "tile")
         if left <= TILE_ROWS:
-            break
+            parts.append(done)
+            return parts, remaining.limit(0), 0
         kept = done.filter("id = canonical").select("id", "fp").orderBy("id").toArrow()
+        if keys is not None and not cheaper(left, left, keys) and not sweep_pays(kept.num_rows, size, keys):
+            break
+        parts.append(done)
         later = remaining.filter(F.col("id") > bound).repartition(spread)
         sweep = _sweep(np.asarray(kept.column("id").combine_chunks()), _prints(kept.column("fp")), k)
         swept, left = written(later.mapInArrow(sweep, shape), "swept", F.col("canonical").isNull())
         parts.append(swept.filter(F.col("canonical").isNotNull()))
         remaining = swept.filter(F.col("canonical").isNull()).select("id", "fp")
+    return parts, remaining, left
+
+
+def settle_by_tiles(prints: DataFrame, rows: int, k: int) -> DataFrame:
+    """``id``, ``canonical`` of the first-fit choice, TILE_ROWS ids after each other."""
+    parts, _, _ = tile_rounds(prints, rows, k)
     if not parts:
         return prints.select("id", F.col("id").alias("canonical"))
     return reduce(DataFrame.unionAll, [part.select("id", "canonical") for part in parts])
