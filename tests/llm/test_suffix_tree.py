@@ -183,6 +183,24 @@ def test_a_bitmap_misses_nothing(spark):
     assert bitmap.holds(others).mean() < 0.01
 
 
+@pytest.mark.parametrize("limits", [{}, {"PART_TOKENS": 500, "FLUSH_WORDS": 700}])
+def test_pairs_that_are_not_often_enough_are_not_counted(docs_of, monkeypatch, limits):
+    for name, value in ({"EVIDENCE": 20, "NEXT_COUNT": 4} | limits).items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    draw = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{n}" for n in draw.integers(0, 150, 90))) for i in range(150)]
+    rows += [(1000 + i, "often met") for i in range(5)] + [(2000, "w1 w2 " * 100)]
+    texts = docs_of(rows).select("text").repartition(5)
+    pairs = Counter(p for _, t in rows for w in [tokens(t)] for p in zip(w, w[1:], strict=False))
+    words = suffix_tree.word_counts(texts).withColumn("root", F.lit(0).cast("long"))
+    runs = suffix_tree._bitmap(words.filter("n >= 4").select("key"), 200)
+    listed = suffix_tree._bitmap(words.filter("n >= 4").select("root", "key"), 200)
+    found = suffix_tree.next_counts(texts, 1, runs, listed, len(rows) * 91)
+    counted = [r["n"] for r in found.collect()]
+    assert sorted(n for n in counted if n >= 4) == sorted(n for n in pairs.values() if n >= 4)
+    assert sum(n < 4 for n in counted) < 0.1 * sum(n < 4 for n in pairs.values())
+
+
 def test_empty_tables(docs_of):
     assert suffix_tree_scores(docs_of([])).collect() == []
     alone = suffix_tree_scores(docs_of([(i, "a b") for i in range(40) if is_held_out(i)])).collect()
