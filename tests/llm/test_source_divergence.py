@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linewright.llm import source_divergence as module
-from linewright.llm.source_divergence import chunks_of, source_divergence
+from linewright.llm.source_divergence import chunk_counts, chunks_of, source_divergence, term_chunks
+from linewright.llm.words import numbered
 
 SCHEMA = "doc_id bigint, lang string, source string, text string"
 
@@ -114,6 +115,32 @@ def test_long_chunks_are_cut_between_terms():
     assert total == Counter(terms_of(text))
 
 
+def test_chunks_of_texts_side_by_side():
+    draw = np.random.default_rng(3)
+    letters = list("aB,. \n-ü日0\x00") + ["", " ", "x" * 70]
+    texts = ["".join(draw.choice(letters, draw.integers(0, 60))) for _ in range(300)]
+    raw = [text.encode() for text in texts]
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    words = term_chunks(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    numbers, different = numbered(words)
+    found = [different[n].as_py() for n in numbers.tolist()]
+    ends = np.cumsum(words.counts).tolist()
+    for text, start, end in zip(texts, [0, *ends], ends, strict=False):
+        expected = []
+        for chunk in re.split("[ \n]+", text):
+            terms = terms_of(chunk)
+            inner = re.sub(r"^[\x00-\x40]+|[\x00-\x40]+$", "", chunk).replace("B", "b")
+            expected += [inner] if terms and len(inner.encode()) <= 64 else terms
+        assert [c.decode() for c in found[start:end]] == expected
+
+
+def test_spellings_of_a_term_are_one_chunk(spark):
+    rows = [(i, "en", "s0", text) for i, text in enumerate(["Word, word", "(word) a-b", "WORD. A-b!", "--"])]
+    slim = module._slim(spark.createDataFrame(rows, SCHEMA).coalesce(1), "lang", "source", "text")
+    counts = chunk_counts(slim).select("chunk", "times", "documents").collect()
+    assert sorted(map(tuple, counts)) == [("a-b", 2, 2), ("word", 4, 3)]
+
+
 def test_no_rows(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == []
     assert got(spark.createDataFrame([(1, None, None, None)], SCHEMA)) == []
