@@ -45,6 +45,34 @@ def test_special_tokens_and_a_small_cache(encoder, monkeypatch):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_looked_up_once_for_many_texts():
+    class Watched(dict):
+        looked_up = 0
+
+        def _look(self, name, *key):
+            Watched.looked_up += 1
+            return getattr(super(), name)(*key)
+
+        def get(self, *key):
+            return self._look("get", *key)
+
+        def __getitem__(self, key):
+            return self._look("__getitem__", key)
+
+        def __contains__(self, key):
+            return self._look("__contains__", key)
+
+    own = WordEncoder(TOKENIZER)
+    own.index = Watched()
+    texts = ["The cat, the dog"] * 500 + ["the"]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    ids, lengths = own.encode(*next(iter(text_chunks([batch])))[1:])
+    expected = own.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert ids.tolist() == expected * 500 + expected[:1]
+    assert lengths.tolist() == [len(expected)] * 500 + [1]
+    assert Watched.looked_up <= 2 * len(own.index)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 200), max_size=12))
 def test_patterns_place_every_piece_once(histogram):
