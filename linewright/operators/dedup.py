@@ -24,6 +24,7 @@ from linewright.plans.attach import COLD_MEMBERS, attach_groups
 from linewright.plans.durable import written
 from linewright.plans.first_fit import first_fit
 from linewright.plans.hamming import BlockScheme, bit_balance, pairs_within
+from linewright.plans.tiles import own_pairs, own_tiles_pay
 
 DEFAULT_THRESHOLD = 3
 EXACT, SIMHASH = "exact", "simhash"
@@ -156,12 +157,16 @@ def near_duplicate_pairs(
 
     Each fingerprint is represented by its first row.  Rows with equal fingerprints are
     not paired with each other, since a group of ``n`` copies would give ``n * n`` rows.
+    Where many rows would meet on keys, all are compared with all in tiles instead.
     """
     first = prints.filter(F.col("fingerprint").isNotNull()).groupBy("fingerprint")
     nodes = first.agg(F.min("row_id").alias("id")).select("id", F.col("fingerprint").alias("fp"))
     table, count = written(nodes, "distinct")
     scheme = BlockScheme.build(threshold, bit_balance(table, count), blocks)
-    pairs = pairs_within(table, table, scheme, count, count, **limits)
+    if limits.get("tiles", True) and own_tiles_pay(table, count, scheme.masks):
+        pairs = own_pairs(table, count, threshold)
+    else:
+        pairs = pairs_within(table, table, scheme, count, count, **limits)
     return pairs.select(F.col("a").alias("row_a"), F.col("b").alias("row_b"), "distance")
 
 

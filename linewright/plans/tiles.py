@@ -5,6 +5,9 @@ the distance it is cheaper to compare everything than to make keys (a fingerprin
 distance 8).  Plans that know their row counts choose by :func:`cheaper`.
 
 * ``tile_pairs`` deals both sides into tiles and tests each tile against each.
+* ``own_pairs`` does so for one table with itself, each two tiles once, and hands pairs on as they are
+  found.  ``own_tiles_pay`` tells from a sample if keys would have rows meet so often that testing what
+  meets costs more than comparing everything.
 * ``settle_by_tiles`` makes the first-fit choice: a tile of ids in order is settled by itself, in one
   task of bounded size, and its kept ids are swept over the rest, so pairs are never listed.  A row
   that has found the first kept id it is close to is not compared any further.  ``tile_rounds`` does
@@ -29,8 +32,18 @@ TILE_ROWS = 16_384
 PAIR_ROWS = 8_192
 # Measured costs: a pair in a tile, and a key made, shuffled and joined.
 PAIR_SECONDS, KEY_SECONDS = 4e-9, 1.5e-6
-# Cells of a matrix held at once.
+# The same for a pair of ``own_pairs``, which are tested in blocks of the cache, and for two rows that
+# met on a key.
+OWN_PAIR_SECONDS, MET_SECONDS = 1.5e-9, 2e-8
+# Rows of a tile of ``own_pairs`` at most, and the tiles of smaller tables.
+OWN_ROWS, OWN_TILES = 65_536, 16
+# Rows looked at to tell how many meet on keys.
+MEET_ROWS = 20_000
+# Pairs handed on at once.
+PAIR_BATCH = 1 << 20
+# Cells of a matrix held at once, and of a block in the cache.
 _CELLS = 1 << 21
+_BLOCK_ROWS, _BLOCK_COLUMNS = 8, 4096
 
 
 def cheaper(left_rows: int, right_rows: int, keys: int) -> bool:
@@ -93,6 +106,95 @@ def tile_pairs(
     return one.cogroup(two).applyInArrow(_pairs(k), "a long, b long, distance int")
 
 
+def own_tiles_pay(prints: DataFrame, rows: int, masks: list[int]) -> bool:
+    """Whether comparing all rows with all costs less than keys by ``masks``, with what meets on them."""
+    if cheaper(rows, rows, len(masks)):
+        return True
+    some = prints.select("fp")
+    if rows > MEET_ROWS:
+        some = some.sample(MEET_ROWS / rows, seed=0)
+    values = _prints(some.toArrow().column("fp"))
+    met = 0
+    for mask in masks:
+        sizes = np.unique(values & np.uint64(mask), return_counts=True)[1]
+        met += int((sizes * (sizes - 1)).sum())
+    share = met / max(1, len(values) * (len(values) - 1))
+    keyed = 2 * rows * len(masks) * KEY_SECONDS + share * rows * rows * MET_SECONDS
+    return rows * rows / 2 * OWN_PAIR_SECONDS <= keyed
+
+
+def _near_blocks(
+    left: np.ndarray, right: np.ndarray, k: int, same: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, distance) of the cells within ``k``, block by block; if same, above the diagonal."""
+    for top in range(0, len(left), _BLOCK_ROWS):
+        some = left[top : top + _BLOCK_ROWS, None]
+        for start in range(top if same else 0, len(right), _BLOCK_COLUMNS):
+            apart = np.bitwise_count(some ^ right[None, start : start + _BLOCK_COLUMNS])
+            row, column = np.nonzero(apart <= k)
+            found = apart[row, column]
+            row, column = row + top, column + start
+            if same:
+                above = column > row
+                row, column, found = row[above], column[above], found[above]
+            if len(row):
+                yield row, column, found
+
+
+def _own_pairs(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        ids, prints = np.asarray(rows.column("id")), _prints(rows.column("fp"))
+        place = np.asarray(rows.column("place"))
+        # A tile with itself has one side.
+        first, second = place == 0, place == 1
+        same = not second.any() and rows.column("y")[0].as_py() == rows.column("x")[0].as_py()
+        a, b = ids[first], ids[first if same else second]
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def merged() -> pa.RecordBatch:
+            columns = [np.concatenate(part) for part in zip(*held, strict=True)]
+            return pa.record_batch(columns, names=["a", "b", "distance"])
+
+        for row, column, apart in _near_blocks(
+            prints[first], prints[first if same else second], k, same
+        ):
+            one, two = a[row], b[column]
+            held.append([np.minimum(one, two), np.maximum(one, two), apart.astype(np.int32)])
+            size += len(row)
+            if size >= PAIR_BATCH:
+                yield merged()
+                held, size = [], 0
+        if size:
+            yield merged()
+
+    return run
+
+
+def own_pairs(prints: DataFrame, rows: int, k: int) -> DataFrame:
+    """All pairs ``a < b`` of the ``id, fp`` rows of one table within ``k``, with their distance.
+
+    A row goes once to each tile, so what is shuffled grows with rows x tiles; no pair is.
+    """
+    size = min(OWN_ROWS, max(PAIR_ROWS, -(-rows // OWN_TILES)))
+    tiles = max(1, -(-rows // size))
+    dealt = prints.select(
+        "id",
+        "fp",
+        F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"),
+        F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"),
+    ).select(
+        "id",
+        "fp",
+        F.least("tile", "other").alias("y"),
+        F.greatest("tile", "other").alias("x"),
+        (F.col("tile") > F.col("other")).cast("int").alias("place"),
+    )
+    cells = dealt.repartition(tiles * (tiles + 1) // 2, "y", "x").groupBy("y", "x")
+    return cells.applyInArrow(_own_pairs(k), "a long, b long, distance int")
+
+
 def settled(ids: np.ndarray, prints: np.ndarray, k: int) -> np.ndarray:
     """The canonical id of each row, going through the rows in order."""
     canonical = np.full(len(ids), -1, np.int64)

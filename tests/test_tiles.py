@@ -49,6 +49,45 @@ def test_tiled_pairs_equal_keyed_pairs(spark, monkeypatch, k):
     assert one == two and one
 
 
+@pytest.mark.parametrize("k, rows, batch", [(3, 30, 5), (6, 30, 1 << 20), (8, 1000, 50)])
+def test_a_table_with_itself_tests_each_pair_once(spark, monkeypatch, k, rows, batch):
+    for name, value in (("OWN_ROWS", rows), ("PAIR_ROWS", 10), ("PAIR_BATCH", batch), ("_BLOCK_COLUMNS", 7)):
+        monkeypatch.setattr(tiles, name, value)
+    values = noisy_prints(250, seed=k, centres=4, flips=k)
+    first = {value: row for row, value in reversed(values)}
+    expected = sorted(
+        (min(i, j), max(i, j), (x ^ y).bit_count())
+        for x, i in first.items()
+        for y, j in first.items()
+        if i < j and (x ^ y).bit_count() <= k
+    )
+    table = spark.createDataFrame([(i, signed(x)) for x, i in first.items()], "id long, fp long")
+    got = sorted(map(tuple, tiles.own_pairs(table, len(first), k).collect()))
+    assert got == expected and got
+    assert tiles.own_pairs(table.limit(0), 0, k).collect() == []
+
+
+def test_rows_that_meet_on_most_keys_are_compared_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "cheaper", lambda *_: False)
+    monkeypatch.setattr(D, "pairs_within", lambda *_, **__: pytest.fail("keys were made"))
+    values = noisy_prints(400, seed=5, centres=2, flips=5)
+    pairs = D.near_duplicate_pairs(frame_of(spark, values), 6)
+    first = {value: row for row, value in reversed(values)}
+    expected = sum((x ^ y).bit_count() <= 6 for x in first for y in first if first[x] < first[y])
+    assert pairs.count() == expected > 1000
+
+
+def test_keys_are_made_where_few_rows_meet(spark):
+    draw = np.random.default_rng(1)
+    prints = draw.integers(-(2**63), 2**63, 3000)
+    table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints)], "id long, fp long")
+    masks = BlockScheme.build(6).masks
+    assert tiles.own_tiles_pay(table, 3000, masks)
+    assert not tiles.own_tiles_pay(table, 10**7, masks)
+    near = table.withColumn("fp", table["fp"].bitwiseAND(0xFFF))
+    assert tiles.own_tiles_pay(near, 10**7, masks)
+
+
 def test_the_plan_follows_the_measured_rows():
     keys = {k: BlockScheme.build(k).key_count for k in (3, 8, 10)}
     assert keys == {3: 20, 8: 165, 10: 286}
