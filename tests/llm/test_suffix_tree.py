@@ -145,6 +145,69 @@ def test_scores_against_a_brute_force_tree(docs_of, awkward, small, monkeypatch,
     assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == expected
 
 
+@pytest.mark.parametrize("entries, words", [(10**6, 0), (600, 40), (1500, 10**6)])
+def test_a_large_tree_is_scored_in_slices(docs_of, awkward, small, monkeypatch, entries, words):
+    monkeypatch.setattr(suffix_tree, "MODEL_ENTRIES", entries)
+    monkeypatch.setattr(suffix_tree, "COMMON_WORDS", words)
+    monkeypatch.setattr(suffix_tree, "COMMON_SHARE", 0.02)
+    monkeypatch.setattr(suffix_tree, "COMMON_COUNT", 3)
+    monkeypatch.setattr(suffix_tree, "WHOLE_TOKENS", 0 if entries == 600 else 10**6)
+    monkeypatch.setattr(suffix_tree, "_scores_by_joins", lambda *_: pytest.fail("positions were joined"))
+    sent, collected = [], suffix_tree.SuffixTree.collected
+
+    def seen(levels, *slice_):
+        tree = collected(levels, *slice_)
+        sent.append(sum(len(level[0]) + len(level[2]) for level in tree.levels))
+        return tree
+
+    monkeypatch.setattr(suffix_tree.SuffixTree, "collected", seen)
+    rows = chained(3, 150) + [(i if i is None else 1000 + i, t) for i, t in awkward]
+    rows += rows[:20]
+    tree = BruteTree([t for i, t in rows if not is_held_out(i)], 6, 2, 0.5)
+    got = suffix_tree_scores(docs_of(rows)).collect()
+    check_base(rows, got)
+    expected = Counter((i, round(tree.score(t), 6)) for i, t in rows)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == expected
+    assert len(sent) == -(-sum(sent) // entries) and (entries > 1500 or max(sent) < sum(sent))
+
+
+def test_words_are_sent_up_to_a_number(docs_of, monkeypatch):
+    rows = [(0, "a " * 40 + "b " * 9 + "c " * 9 + "d d e f")]
+    counts = suffix_tree.word_counts(docs_of(rows).select("text"))
+    found = []
+    for share, words, count in (
+        *((0.2, words, 1) for words in (0, 1, 2, 3, 4, 10**6)),
+        *((0.2, 10**6, count) for count in (3, 10)),
+        (1.0, 0, 1),
+    ):
+        monkeypatch.setattr(suffix_tree, "COMMON_SHARE", share)
+        monkeypatch.setattr(suffix_tree, "COMMON_WORDS", words)
+        monkeypatch.setattr(suffix_tree, "COMMON_COUNT", count)
+        least = suffix_tree._common_count(counts, 63)
+        found.append(counts.filter(F.col("n") >= least).count())
+    assert found == [1, 1, 1, 3, 4, 7, 3, 1, 0]
+
+
+def test_longer_runs_of_a_large_corpus_are_looked_over(docs_of, monkeypatch):
+    for name, value in {"EVIDENCE": 20, "NEXT_COUNT": 4}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    draw = np.random.default_rng(7)
+    rows = [(i, "a b " + " ".join(f"a b w{n}" for n in draw.integers(0, 400, 5))) for i in range(150)]
+    texts = docs_of(rows).select("text").repartition(5)
+    words = [t.split() for _, t in rows]
+    after = Counter()
+    for w in words:
+        after.update(zip(w, w[1:], [*w[2:], None], strict=False))
+    every = suffix_tree.Bitmap(np.full(1, 255, np.uint8), 3)
+    sizes = []
+    for whole in (10**9, 0):
+        monkeypatch.setattr(suffix_tree, "WHOLE_TOKENS", whole)
+        found = [r["n"] for r in suffix_tree.next_counts(texts, 2, every, every, 3000).collect()]
+        assert sum(n >= 4 for n in found) == sum(n >= 4 for n in after.values())
+        sizes.append(sum(n < 4 for n in found))
+    assert sizes[1] < 0.1 * sizes[0]
+
+
 def test_probabilities_after_any_context_sum_to_one():
     rows = chained(4, 200)
     tree = BruteTree([t for _, t in rows], 6, 2, 0.5)
